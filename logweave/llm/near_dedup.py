@@ -6,9 +6,9 @@
    MATCHES values can't match any other.
 3. Two classes that agree on MATCHES of K coordinates share one of the K - MATCHES + 1 rarest
    values of each (prefix filter), so only those are posted.
-4. Short postings give their pairs.  Long postings are not merged pair by pair: a pivot is
-   compared with all members, and the distance to it settles most other pairs by the triangle
-   inequality of the Jaccard distance; what it can't settle goes on with another pivot.
+4. Short postings give their pairs.  Long postings are skipped in that merge: pivots are compared
+   with all members, and the triangle inequality of the Jaccard distance settles most other
+   pairs; what it can't settle goes on with more pivots.
 5. Pairs whose signatures agree often enough are confirmed on the full shingle sets; links give
    components by alternating large-star and small-star steps.
 """
@@ -111,82 +111,98 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "inter", "total"])
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str = "") -> DataFrame:
     """(node, root) of every node in ``links`` (a, b): root is the least node reachable.
 
     Large-star and small-star steps in turn; a neighbourhood is only ever reduced to its minimum,
     so a hub is no group in one task.  Stops when a round changes nothing.
     """
-    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges0")
-    number = 0
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"edges{name}0")
+    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    number, was = 0, mark(edges)
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         number += 1
-        large = scratch.keep(large, f"large{number}")
+        large = scratch.keep(large, f"large{name}{number}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"edges{number}")
-        new = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()
-        scratch.drop(f"large{number}", f"edges{number - 1}")
-        edges = small
-        if new:
+        edges = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"edges{name}{number}")
+        now = mark(edges)
+        scratch.drop(f"large{name}{number}", f"edges{name}{number - 1}")
+        if now == was:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        was = now
 
 
 class _Pairs:
     """Compares pairs of classes: signatures first, then full sets."""
 
-    def __init__(self, scratch: Scratch, sigs: DataFrame, sets: DataFrame) -> None:
-        self.scratch, self.sigs, self.sets, self.number = scratch, sigs, sets, 0
+    def __init__(self, scratch: Scratch, sigs: DataFrame, sets: DataFrame, percent: int) -> None:
+        self.scratch, self.sigs, self.sets, self.percent, self.number = scratch, sigs, sets, percent, 0
 
     def _both(self, pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
         return pairs.join(side.select(F.col("uid").alias("a"), F.col(value).alias(f"{value}_a")), "a").join(
             side.select(F.col("uid").alias("b"), F.col(value).alias(f"{value}_b")), "b")
 
-    def measured(self, pairs: DataFrame, matches: int) -> DataFrame:
-        """(a, b, inter, total) of the pairs whose signatures agree on ``matches`` coordinates."""
+    def compare(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) that are near by their signatures, and those of them that are linked."""
         self.number += 1
-        agreeing = self._both(pairs, self.sigs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long, m int").where(F.col("m") >= matches)
-        agreeing = self.scratch.keep(agreeing.select("a", "b"), f"agreeing{self.number}")
-        sized = self._both(agreeing, self.sets, "set").select("a", "b", "set_a", "set_b").mapInArrow(_measure, "a long, b long, inter long, total long")
-        return self.scratch.keep(sized, f"measured{self.number}")
-
-
-def _links(postings: DataFrame, pairs: _Pairs, scratch: Scratch, percent: int) -> DataFrame:
-    """Verified links that connect whatever the pairs of each posting connect."""
-    linked = F.col("inter") * 100 >= F.col("total") * percent
-    counts = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = scratch.keep(postings.join(counts, "key"), "sized")
-    short = sized.where(F.col("n") <= SHORT).groupBy("key").agg(F.array_sort(F.collect_list("uid")).alias("l"))
+        near = self._both(pairs, self.sigs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long, m int").where(F.col("m") >= NEAR_MATCHES)
+        near = self.scratch.keep(near, f"near{self.number}")
+        sized = self._both(near.where(F.col("m") >= MATCHES).select("a", "b"), self.sets, "set").select("a", "b", "set_a", "set_b")
+        linked = sized.mapInArrow(_measure, "a long, b long, inter long, total long").where(F.col("inter") * 100 >= F.col("total") * self.percent)
+        return near, self.scratch.keep(linked.select("a", "b"), f"linked{self.number}")
+
+
+def _short_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs of lists of at most SHORT members."""
     pick = "flatten(transform(l, (x, i) -> transform(filter(l, (y, j) -> j > i), y -> struct(x AS a, y AS b))))"
-    found = [pairs.measured(short.select(F.expr(f"inline({pick})")).distinct(), MATCHES).where(linked).select("a", "b")]
-    # Long postings. label: members with one label are known to be connected.
-    lists = sized.where(F.col("n") > SHORT).select("key", "uid", F.col("uid").alias("label"))
-    number = 0
-    while not lists.isEmpty():
+    return lists.groupBy("key").agg(F.array_sort(F.collect_list("uid")).alias("l")).select(F.expr(f"inline({pick})"))
+
+
+def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFrame:
+    """(node, root) of the components over all links between members of a posting.
+
+    Postings whose members are one component by the links so far are settled.  Of the others, short
+    ones give all their pairs.  A long one is compared with some pivots, four times as many each round:
+    members linked to a pivot p can only be linked to members near p (within twice the link
+    distance), so p's near members go on as one list, and those linked to no pivot as another.
+    As pivots leave their list and their share grows, every list ends.
+    """
+    lists, links, number = postings, None, 0
+    while True:
+        if links is not None:
+            roots = components(links, scratch, f"r{number}-")
+            lists = lists.join(roots, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("label"))
+        else:
+            lists = lists.withColumn("label", F.col("uid"))
+        sizes = lists.groupBy("key").agg(
+            F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("uid")).alias("x"),
+            F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y"), F.min_by("uid", F.xxhash64("uid", F.lit(number))).alias("first")).where("lo < hi")
+        # Lists with the same members count once.
+        sizes = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min_by("first", "key").alias("first"))
+        lists = scratch.keep(lists.join(sizes.select("key", "n", "first"), "key"), f"lists{number}")
+        if lists.isEmpty():
+            return roots if links is not None else components(lists.select(F.col("uid").alias("a"), F.col("uid").alias("b")), scratch)
         number += 1
-        alive = lists.groupBy("key").agg(
-            F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-            F.min_by(F.struct("uid", "label"), F.struct(F.col("uid") != F.col("label"), F.xxhash64("uid"))).alias("p")).where("lo < hi")
-        lists = lists.join(alive.select("key", F.col("p.uid").alias("pivot"), F.col("p.label").alias("pivot_label")), "key").where("uid != pivot")
-        lists = scratch.keep(lists, f"lists{number}")
-        got = pairs.measured(lists.select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct(), NEAR_MATCHES)
-        found.append(got.where(linked).select("a", "b"))
-        far = 1 - percent / 100
-        near = got.select(F.col("a").alias("pivot"), F.col("b").alias("uid"), (1 - F.col("inter") / F.col("total")).alias("d"), linked.alias("linked")).where(F.col("linked") | (F.col("d") <= 2 * far + 1e-9))
-        state = lists.join(near, ["pivot", "uid"], "left")
-        # F: not linked but so near that members linked to the pivot may be linked to it.
-        ring = state.where("NOT linked").groupBy("key").agg(F.min("d").alias("ring"))
-        rest = state.where("NOT coalesce(linked, false)").select("key", "uid", "label")
-        edge = state.join(ring, "key").where(F.when(F.col("linked"), F.col("d") >= F.col("ring") - far - 1e-9).otherwise(F.col("d").isNotNull()))
-        edge = edge.select(F.xxhash64("key", "pivot").alias("key"), "uid", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("label")).alias("label"))
-        lists = scratch.keep(rest.unionByName(edge), f"next{number}")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        long = lists.where(F.col("n") > SHORT)
+        share = F.lit(float(4**number)) / F.col("n")
+        chosen = (F.pmod(F.xxhash64("uid", "key", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share) | (F.col("uid") == F.col("first"))
+        pivots = scratch.keep(long.where(chosen).select("key", F.col("uid").alias("pivot")), f"pivots{number}")
+        met = long.select("key", "uid").join(pivots, "key").where("uid != pivot")
+        met = scratch.keep(met, f"met{number}")
+        every = _short_pairs(lists.where(F.col("n") <= SHORT)).unionByName(met.select(F.least("pivot", "uid").alias("a"), F.greatest("pivot", "uid").alias("b")))
+        near, linked = pairs.compare(every.distinct())
+        links = linked if links is None else scratch.keep(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), f"links{number}")
+        both = lambda d: d.select("a", "b").unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "pivot", "b": "uid"})
+        left = met.join(pivots.withColumnRenamed("pivot", "uid"), ["key", "uid"], "left_anti")  # members that are no pivots
+        left = scratch.keep(left, f"left{number}")
+        around = left.join(both(near), ["pivot", "uid"]).select(F.xxhash64("key", "pivot").alias("key"), "uid")
+        tied = left.join(both(linked), ["pivot", "uid"], "left_semi").select("key", "uid").distinct()
+        alone = left.select("key", "uid").distinct().join(tied, ["key", "uid"], "left_anti")
+        lists = scratch.keep(around.unionByName(alone), f"next{number}")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,8 +239,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
     sets = rows.select(F.col(UID).alias("uid"), "text").join(some, "uid", "left_semi").mapInArrow(full_sets, "uid long, set binary")
     sets = scratch.keep(sets, "sets")
-    links = _links(prefix, _Pairs(scratch, sigs, sets), scratch, percent)
-    roots = components(links, scratch)
+    roots = _components(prefix, _Pairs(scratch, sigs, sets, percent), scratch)
     classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("root", "rep").alias("root"))
     placed = sketched.join(classes, "same", "left").select("uid", "doc_id", "n", F.coalesce("root", "uid").alias("root"), F.col("root").isNotNull().alias("shared"))
     placed = scratch.keep(placed, "placed")
