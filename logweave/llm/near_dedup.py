@@ -175,34 +175,41 @@ def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFra
     while True:
         if links is not None:
             roots = components(links, scratch, f"r{number}-")
-            lists = lists.join(roots, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("label"))
+            large = roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
+            lists = lists.join(large, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("label"), F.coalesce("members", F.lit(1)).alias("members"))
         else:
-            lists = lists.withColumn("label", F.col("uid"))
+            lists = lists.withColumns({"label": F.col("uid"), "members": F.lit(1).cast("long")})
+        order = F.struct("members", F.xxhash64("label"), F.xxhash64("uid"))
         sizes = lists.groupBy("key").agg(
-            F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("uid")).alias("x"),
-            F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y"), F.min_by("uid", F.xxhash64("uid", F.lit(number))).alias("first")).where("lo < hi")
+            F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y"),
+            F.max_by(F.struct("uid", "label"), order).alias("top"), F.min_by("uid", order).alias("low")).where("lo < hi")
         # Lists with the same members count once.
-        sizes = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min_by("first", "key").alias("first"))
-        lists = scratch.keep(lists.join(sizes.select("key", "n", "first"), "key"), f"lists{number}")
+        sizes = sizes.groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "top", "low"), "key").alias("s")).select("n", "s.*")
+        before = lists
+        lists = scratch.keep(lists.join(sizes, "key"), f"lists{number}")
+        scratch.drop(f"next{number}")
         if lists.isEmpty():
-            return roots if links is not None else components(lists.select(F.col("uid").alias("a"), F.col("uid").alias("b")), scratch)
+            return roots if links is not None else components(before.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0), scratch)
         number += 1
         long = lists.where(F.col("n") > SHORT)
-        share = F.lit(float(4**number)) / F.col("n")
-        chosen = (F.pmod(F.xxhash64("uid", "key", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share) | (F.col("uid") == F.col("first"))
-        pivots = scratch.keep(long.where(chosen).select("key", F.col("uid").alias("pivot")), f"pivots{number}")
-        met = long.select("key", "uid").join(pivots, "key").where("uid != pivot")
+        # Pivots: one of the largest component, met by all, and some of the others, met by all but their own.
+        share = F.lit(float(4 ** (number - 1))) / F.col("n")
+        drawn = (F.col("label") != F.col("top.label")) & (F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+        chosen = drawn | (F.col("uid") == F.col("top.uid")) | (F.col("uid") == F.col("low"))
+        pivots = scratch.keep(long.where(chosen).select("key", F.col("uid").alias("pivot"), F.when(F.col("uid") != F.col("top.uid"), F.col("label")).alias("own")), f"pivots{number}")
+        met = long.select("key", "uid", "label").join(pivots, "key").where("uid != pivot AND (own IS NULL OR own != label)").select("key", "uid", "pivot")
         met = scratch.keep(met, f"met{number}")
         every = _short_pairs(lists.where(F.col("n") <= SHORT)).unionByName(met.select(F.least("pivot", "uid").alias("a"), F.greatest("pivot", "uid").alias("b")))
         near, linked = pairs.compare(every.distinct())
         links = linked if links is None else scratch.keep(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), f"links{number}")
         both = lambda d: d.select("a", "b").unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "pivot", "b": "uid"})
-        left = met.join(pivots.withColumnRenamed("pivot", "uid"), ["key", "uid"], "left_anti")  # members that are no pivots
-        left = scratch.keep(left, f"left{number}")
+        gone = pivots.select("key", F.col("pivot").alias("uid"))
+        left = met.join(gone, ["key", "uid"], "left_anti")  # members that are no pivots
         around = left.join(both(near), ["pivot", "uid"]).select(F.xxhash64("key", "pivot").alias("key"), "uid")
         tied = left.join(both(linked), ["pivot", "uid"], "left_semi").select("key", "uid").distinct()
-        alone = left.select("key", "uid").distinct().join(tied, ["key", "uid"], "left_anti")
+        alone = long.select("key", "uid").join(gone.unionByName(tied), ["key", "uid"], "left_anti")
         lists = scratch.keep(around.unionByName(alone), f"next{number}")
+        scratch.drop(f"met{number}", f"pivots{number}", f"near{number}", f"lists{number - 1}")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,6 +236,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     # The rarest values: of the K - MATCHES + 1 that a prefix has, those that the class alone has come first and go.
     prefix = enough.select("uid", F.explode(F.expr(f"slice(l, 1, greatest(1, size(l) - {MATCHES} + 1))")).alias("v"))
     prefix = scratch.keep(prefix.select(F.col("v.key").alias("key"), "uid"), "prefix")
+    scratch.drop("shared")
     some = prefix.select("uid").distinct()
     sigs = scratch.keep(sigs.join(some, "uid"), "sigs")
 
