@@ -40,7 +40,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cut = state.withColumns({"digit": F.substring("rest", 1, digit), "ended": ended, "rest": F.when(~ended, F.expr(f"substring(rest, {digit + 1})"))})
         groups = cut.groupBy("gid", "digit", "ended").agg(F.count("*").alias("n")).where("n > 1")
         groups = scratch.keep(groups.withColumn("new_gid", F.monotonically_increasing_id()).drop("n"), f"groups{number}")
-        split = cut.join(groups, ["gid", "digit", "ended"], "left")
+        # Always a sort-merge join: the plan, and so the disk it needs, is the same at every size.
+        split = cut.join(groups.hint("merge"), ["gid", "digit", "ended"], "left")
         goes_on = F.col("new_gid").isNotNull() & ~F.col("ended")
         split = split.select(
             UID, "doc_id", "points", "text_sha256", F.col("new_gid").alias("gid"), goes_on.alias("goes_on"),
