@@ -39,6 +39,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/
 _ATTR = re.compile(r"(class|id|role|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _NESTED = frozenset("li dd dt tr td th option p".split())
+#: Elements nested deeper than this are kept as children of the deepest one, as browsers do.
+MAX_DEPTH = 200
 
 
 class Node:
@@ -56,6 +58,7 @@ def parse(text: str | None) -> Node:
     """The tree of a page; unclosed and misnested elements are closed as browsers do."""
     root = Node("#root")
     stack, at, source = [root], 0, text or ""
+    deeper: dict[str, int] = {}
     while at < len(source):
         m = _TOKEN.match(source, at)
         at = m.end()
@@ -72,7 +75,9 @@ def parse(text: str | None) -> Node:
             continue
         name = name.lower()
         if closing:
-            if any(x.name == name for x in stack[1:]):
+            if deeper.get(name):
+                deeper[name] -= 1
+            elif any(x.name == name for x in stack[1:]):
                 while stack.pop().name != name:
                     pass
             continue
@@ -96,7 +101,10 @@ def parse(text: str | None) -> Node:
             end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif name not in VOID and not (attrs or "").rstrip().endswith("/"):
-            stack.append(node)
+            if len(stack) < MAX_DEPTH:
+                stack.append(node)
+            else:
+                deeper[name] = deeper.get(name, 0) + 1
     return root
 
 
