@@ -261,7 +261,8 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
         if x.name == "#":
             out[-1].append(x.text)
         elif x.off:
-            out.append([])
+            if x.name in CLOSES_P or x.name in BLOCK:
+                out.append([])
         elif x.name == "br":
             out[-1].append(" ")
         elif x.name in BLOCK:
