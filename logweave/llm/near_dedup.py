@@ -5,11 +5,13 @@
    Values that one class alone has can't be shared and go; a class left with fewer than
    MATCHES values can't match any other.
 3. Two classes that agree on MATCHES of K coordinates share one of the K - MATCHES + 1 rarest
-   values of each (prefix filter), so only those are posted.
-4. Short postings give their pairs.  Long postings are skipped in that merge: pivots are compared
+   rarest values of each (prefix filter), so only those are posted.
+4. Shingles that one class alone has are in no intersection, which bounds a class's similarity to
+   any other; a class that can't be linked to any member of a posting leaves it.
+5. Short postings give their pairs.  Long postings are skipped in that merge: pivots are compared
    with all members, and the triangle inequality of the Jaccard distance settles most other
    pairs; what it can't settle goes on with more pivots.
-5. Pairs whose signatures agree often enough are confirmed on the full shingle sets; links give
+6. Pairs whose signatures agree often enough are confirmed on the full shingle sets; links give
    components by alternating large-star and small-star steps.
 """
 
@@ -111,16 +113,22 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "inter", "total"])
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a lesser node and no edge ends where another starts."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out = 1 AND into = 1").count() == 0
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "") -> DataFrame:
     """(node, root) of every node in ``links`` (a, b): root is the least node reachable.
 
     Large-star and small-star steps in turn; a neighbourhood is only ever reduced to its minimum,
-    so a hub is no group in one task.  Stops when a round changes nothing.
+    so a hub is no group in one task.  Stops when all edges lead straight to a root.
     """
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"edges{name}0")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    number, was = 0, mark(edges)
-    while True:
+    number = 0
+    while not _stars(edges):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -129,11 +137,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"edges{name}{number}")
-        now = mark(edges)
         scratch.drop(f"large{name}{number}", f"edges{name}{number - 1}")
-        if now == was:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        was = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 class _Pairs:
@@ -162,42 +167,52 @@ def _short_pairs(lists: DataFrame) -> DataFrame:
     return lists.groupBy("key").agg(F.array_sort(F.collect_list("uid")).alias("l")).select(F.expr(f"inline({pick})"))
 
 
+def _linkable(least, percent: int) -> F.Column:
+    """Whether a class of ``size`` shingles, ``common`` of them in other classes too, can be linked to
+    one of at least ``least`` shingles: the intersection has at most ``common``."""
+    return F.col("common") * 100 >= (F.col("size") + F.greatest(least, F.col("common")) - F.col("common")) * percent
+
+
 def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFrame:
     """(node, root) of the components over all links between members of a posting.
 
     Postings whose members are one component by the links so far are settled.  Of the others, short
-    ones give all their pairs.  A long one is compared with some pivots, four times as many each round:
+    ones give all their pairs.  A long one is compared with some pivots, 16 times as many each round:
     members linked to a pivot p can only be linked to members near p (within twice the link
     distance), so p's near members go on as one list, and those linked to no pivot as another.
-    As pivots leave their list and their share grows, every list ends.
+    A member linked to several pivots is settled by the list of one of them, so a pivot that is
+    nobody's choice has no list.  As pivots leave their list and their share grows, every list ends.
     """
     lists, links, number = postings, None, 0
     while True:
         if links is not None:
             roots = components(links, scratch, f"r{number}-")
             large = roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
-            lists = lists.join(large, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("label"), F.coalesce("members", F.lit(1)).alias("members"))
+            lists = lists.join(large, F.col("uid") == F.col("node"), "left").select(
+                "key", "uid", "size", "common", F.coalesce("root", "uid").alias("label"), F.coalesce("members", F.lit(1)).alias("members"))
         else:
             lists = lists.withColumns({"label": F.col("uid"), "members": F.lit(1).cast("long")})
-        order = F.struct("members", F.xxhash64("label"), F.xxhash64("uid"))
+        # The pivot met by all has the fewest shingles of its own: it is the likeliest to be linked to the rest.
+        order = F.struct("members", F.col("common") / F.col("size"), F.xxhash64("label"), F.xxhash64("uid"))
         sizes = lists.groupBy("key").agg(
-            F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y"),
+            F.count("*").alias("n"), F.min("size").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y"),
             F.max_by(F.struct("uid", "label"), order).alias("top"), F.min_by("uid", order).alias("low")).where("lo < hi")
         # Lists with the same members count once.
-        sizes = sizes.groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "top", "low"), "key").alias("s")).select("n", "s.*")
+        sizes = sizes.groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "top", "low", "least"), "key").alias("s")).select("n", "s.*")
         before = lists
-        lists = scratch.keep(lists.join(sizes, "key"), f"lists{number}")
+        lists = scratch.keep(lists.join(sizes, "key").where(_linkable(F.col("least"), pairs.percent)), f"lists{number}")
         scratch.drop(f"next{number}")
         if lists.isEmpty():
             return roots if links is not None else components(before.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0), scratch)
         number += 1
         long = lists.where(F.col("n") > SHORT)
         # Pivots: one of the largest component, met by all, and some of the others, met by all but their own.
-        share = F.lit(float(4 ** (number - 1))) / F.col("n")
+        share = F.lit(float(16 ** (number - 1))) / F.col("n")
         drawn = (F.col("label") != F.col("top.label")) & (F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
         chosen = drawn | (F.col("uid") == F.col("top.uid")) | (F.col("uid") == F.col("low"))
         pivots = scratch.keep(long.where(chosen).select("key", F.col("uid").alias("pivot"), F.when(F.col("uid") != F.col("top.uid"), F.col("label")).alias("own")), f"pivots{number}")
-        met = long.select("key", "uid", "label").join(pivots, "key").where("uid != pivot AND (own IS NULL OR own != label)").select("key", "uid", "pivot")
+        met = long.select("key", "uid", "size", "common", "label").join(pivots, "key").where("uid != pivot AND (own IS NULL OR own != label)")
+        met = met.select("key", "uid", "size", "common", "pivot", F.col("own").isNotNull().alias("drawn"))
         met = scratch.keep(met, f"met{number}")
         every = _short_pairs(lists.where(F.col("n") <= SHORT)).unionByName(met.select(F.least("pivot", "uid").alias("a"), F.greatest("pivot", "uid").alias("b")))
         near, linked = pairs.compare(every.distinct())
@@ -205,11 +220,13 @@ def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFra
         both = lambda d: d.select("a", "b").unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "pivot", "b": "uid"})
         gone = pivots.select("key", F.col("pivot").alias("uid"))
         left = met.join(gone, ["key", "uid"], "left_anti")  # members that are no pivots
-        around = left.join(both(near), ["pivot", "uid"]).select(F.xxhash64("key", "pivot").alias("key"), "uid")
-        tied = left.join(both(linked), ["pivot", "uid"], "left_semi").select("key", "uid").distinct()
-        alone = long.select("key", "uid").join(gone.unionByName(tied), ["key", "uid"], "left_anti")
+        tied = left.join(both(linked), ["pivot", "uid"], "left_semi").groupBy("key", "uid").agg(F.min(F.struct("drawn", "pivot")).alias("home"))
+        tied = scratch.keep(tied.select("key", "uid", "home.pivot"), f"tied{number}")
+        around = left.join(tied.select("key", "pivot").distinct(), ["key", "pivot"], "left_semi").join(both(near), ["pivot", "uid"])
+        around = around.select(F.xxhash64("key", "pivot").alias("key"), "uid", "size", "common")
+        alone = long.select("key", "uid", "size", "common").join(gone.unionByName(tied.select("key", "uid")), ["key", "uid"], "left_anti")
         lists = scratch.keep(around.unionByName(alone), f"next{number}")
-        scratch.drop(f"met{number}", f"pivots{number}", f"near{number}", f"lists{number - 1}")
+        scratch.drop(f"met{number}", f"tied{number}", f"pivots{number}", f"near{number}", f"lists{number - 1}")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,6 +264,18 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
     sets = rows.select(F.col(UID).alias("uid"), "text").join(some, "uid", "left_semi").mapInArrow(full_sets, "uid long, set binary")
     sets = scratch.keep(sets, "sets")
+
+    def spread(batches):
+        for batch in batches:
+            codes = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in batch.column("set")]
+            n = [len(c) for c in codes]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("uid")), n)), pa.array(np.concatenate([np.zeros(0, np.int64), *codes]))], ["uid", "code"])
+
+    lone = sets.select("uid", "set").mapInArrow(spread, "uid long, code long").groupBy("code").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
+    lone = lone.where("n = 1").groupBy("uid").agg(F.count("*").alias("lone"))
+    sizes = sets.select("uid", (F.octet_length("set") / 8).cast("long").alias("size")).join(lone, "uid", "left")
+    sizes = scratch.keep(sizes.select("uid", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("common")).where(_linkable(F.lit(0), percent)), "sizes")
+    prefix = scratch.keep(prefix.join(sizes, "uid"), "linkable")
     roots = _components(prefix, _Pairs(scratch, sigs, sets, percent), scratch)
     classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("root", "rep").alias("root"))
     placed = sketched.join(classes, "same", "left").select("uid", "doc_id", "n", F.coalesce("root", "uid").alias("root"), F.col("root").isNotNull().alias("shared"))
