@@ -10,7 +10,8 @@
    any other; a class that can't be linked to any member of a posting leaves it.
 5. Short postings give their pairs.  Long postings are skipped in that merge: pivots are compared
    with all members, and the triangle inequality of the Jaccard distance settles most other
-   pairs; what it can't settle goes on with more pivots.
+   pairs.  Once all but a few members of a posting are one component, those few are compared with
+   the members that their bounds allow; what is left goes on with more pivots.
 6. Pairs whose signatures agree often enough are confirmed on the full shingle sets; links give
    components by alternating large-star and small-star steps.
 """
@@ -33,6 +34,9 @@ K, MATCHES = 48, 29
 NEAR_MATCHES = 18
 #: Postings up to this length give all their pairs.
 SHORT = 8
+#: A list with at most so many members outside its main component is settled by comparing those
+#: with its other members; it takes up to this many comparisons a member. Longer rests take pivots.
+FEW = 512
 _RNG = np.random.RandomState(1)
 _MULT = (_RNG.randint(0, 2**32, K, dtype=np.uint64) << np.uint64(32) | _RNG.randint(0, 2**32, K, dtype=np.uint64)) | np.uint64(1)
 _ADD = _RNG.randint(0, 2**32, K, dtype=np.uint64) << np.uint64(32) | _RNG.randint(0, 2**32, K, dtype=np.uint64)
@@ -173,11 +177,22 @@ def _linkable(least, percent: int) -> F.Column:
     return F.col("common") * 100 >= (F.col("size") + F.greatest(least, F.col("common")) - F.col("common")) * percent
 
 
+def _across(lists: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the members of the lists ``few`` that can be linked and aren't in one component, one
+    of the pair at least outside the main component of its list."""
+    least = F.least("common", "common_a")
+    linkable = least * 100 >= (F.col("size") + F.col("size_a") - least) * percent
+    odd = lists.where("label != top.label").join(few, "key").select("key", F.col("uid").alias("a"), F.col("size").alias("size_a"), F.col("common").alias("common_a"), F.col("label").alias("label_a"))
+    found = lists.join(odd, "key").where("label != label_a AND (label = top.label OR a < uid)").where(linkable)
+    return found.select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b"))
+
+
 def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFrame:
     """(node, root) of the components over all links between members of a posting.
 
     Postings whose members are one component by the links so far are settled.  Of the others, short
-    ones give all their pairs.  A long one is compared with some pivots, 16 times as many each round:
+    ones give all their pairs, and those with few members outside their main component the pairs of
+    these.  A long one is compared with some pivots, 16 times as many each round:
     members linked to a pivot p can only be linked to members near p (within twice the link
     distance), so p's near members go on as one list, and those linked to no pivot as another.
     A member linked to several pivots is settled by the list of one of them, so a pivot that is
@@ -206,6 +221,15 @@ def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFra
             return roots if links is not None else components(before.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0), scratch)
         number += 1
         long = lists.where(F.col("n") > SHORT)
+        every = _short_pairs(lists.where(F.col("n") <= SHORT))
+        if links is not None:
+            # Lists of which only members of the main component were left have no odd ones and are settled.
+            odd = scratch.keep(long.where("label != top.label").groupBy("key").agg(F.count("*").alias("odd")), f"odd{number}")
+            every = every.unionByName(_across(long, odd.where(F.col("odd") <= FEW).select("key"), pairs.percent))
+            long = long.join(odd.where(F.col("odd") > FEW), "key", "left_semi")
+        joined = lambda linked: linked if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked)
+        if long.isEmpty():
+            return components(joined(pairs.compare(every.distinct())[1]), scratch, "last-")
         # Pivots: one of the largest component, met by all, and some of the others, met by all but their own.
         share = F.lit(float(16 ** (number - 1))) / F.col("n")
         drawn = (F.col("label") != F.col("top.label")) & (F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
@@ -214,9 +238,8 @@ def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFra
         met = long.select("key", "uid", "size", "common", "label").join(pivots, "key").where("uid != pivot AND (own IS NULL OR own != label)")
         met = met.select("key", "uid", "size", "common", "pivot", F.col("own").isNotNull().alias("drawn"))
         met = scratch.keep(met, f"met{number}")
-        every = _short_pairs(lists.where(F.col("n") <= SHORT)).unionByName(met.select(F.least("pivot", "uid").alias("a"), F.greatest("pivot", "uid").alias("b")))
-        near, linked = pairs.compare(every.distinct())
-        links = linked if links is None else scratch.keep(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), f"links{number}")
+        near, linked = pairs.compare(every.unionByName(met.select(F.least("pivot", "uid").alias("a"), F.greatest("pivot", "uid").alias("b"))).distinct())
+        links = joined(linked)
         both = lambda d: d.select("a", "b").unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "pivot", "b": "uid"})
         gone = pivots.select("key", F.col("pivot").alias("uid"))
         left = met.join(gone, ["key", "uid"], "left_anti")  # members that are no pivots
