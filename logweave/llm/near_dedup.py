@@ -177,14 +177,21 @@ def _linkable(least, percent: int) -> F.Column:
     return F.col("common") * 100 >= (F.col("size") + F.greatest(least, F.col("common")) - F.col("common")) * percent
 
 
-def _across(lists: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+def _across(lists: DataFrame, few: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Pairs of the members of the lists ``few`` that can be linked and aren't in one component, one
-    of the pair at least outside the main component of its list."""
+    of the pair at least outside the main component of its list.  A pair that several lists share
+    comes from the least of them only.
+    """
+    members = lists.join(few, "key").select("key", "uid", "size", "common", "label", (F.col("label") != F.col("top.label")).alias("odd"))
+    shared = members.groupBy("uid").agg(F.collect_list("key").alias("keys"))
+    members = scratch.keep(members.join(shared, "uid"), name)
+    odd = members.where("odd").select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "size", "common", "label", "keys")))
     least = F.least("common", "common_a")
     linkable = least * 100 >= (F.col("size") + F.col("size_a") - least) * percent
-    odd = lists.where("label != top.label").join(few, "key").select("key", F.col("uid").alias("a"), F.col("size").alias("size_a"), F.col("common").alias("common_a"), F.col("label").alias("label_a"))
-    found = lists.join(odd, "key").where("label != label_a AND (label = top.label OR a < uid)").where(linkable)
-    return found.select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b"))
+    wanted = (F.col("label") != F.col("label_a")) & (~F.col("odd") | (F.col("uid_a") < F.col("uid"))) & linkable
+    first = F.array_min(F.array_intersect("keys", "keys_a")) == F.col("key")
+    found = members.join(odd, "key").where(wanted & first)
+    return found.select(F.least("uid_a", "uid").alias("a"), F.greatest("uid_a", "uid").alias("b"))
 
 
 def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFrame:
@@ -225,7 +232,7 @@ def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFra
         if links is not None:
             # Lists of which only members of the main component were left have no odd ones and are settled.
             odd = scratch.keep(long.where("label != top.label").groupBy("key").agg(F.count("*").alias("odd")), f"odd{number}")
-            every = every.unionByName(_across(long, odd.where(F.col("odd") <= FEW).select("key"), pairs.percent))
+            every = every.unionByName(_across(long, odd.where(F.col("odd") <= FEW).select("key"), pairs.percent, scratch, f"members{number}"))
             long = long.join(odd.where(F.col("odd") > FEW), "key", "left_semi")
         joined = lambda linked: linked if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked)
         if long.isEmpty():
