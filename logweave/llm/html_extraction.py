@@ -5,7 +5,8 @@ repeated, fixed text and text slots.  Pages of a host are aligned one after the
 differs becomes a slot, elements that one side lacks become optional, runs of alike elements
 become one repeated element.  Tasks align their own pages first and the wrappers of a host are then
 merged in a tree, so neither a hot host nor a large one is one task's work.  The wrapper says
-where the host keeps its main text.
+where the host keeps its main text and which texts there are the template's; tags (article, main)
+decide for hosts of too few pages only.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from urllib.parse import urlsplit
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ LABELS = re.compile(
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+#: Repeated groups of these hold records: a value that all pages have among others is a value, no template text.
+RECORDS = frozenset("li dd dt tr td th".split())
 _NESTED = frozenset("li dd dt tr td th option p".split())
 #: Elements nested deeper than this are kept as children of the deepest one, as browsers do.
 MAX_DEPTH = 200
@@ -45,13 +49,14 @@ MAX_DEPTH = 200
 
 class Node:
     """An element or a text. Of an element: name, key (name and class), whether a label says it is
-    no main text, children; ``many`` and ``maybe`` for repeated and optional groups of a wrapper."""
+    no main text, children; ``many`` and ``maybe`` for repeated and optional groups of a wrapper.
+    Of a text: ``fixed``, the texts that all pages have there, each with marks of these pages."""
 
-    __slots__ = ("name", "key", "off", "kids", "text", "many", "maybe", "pages", "chars")
+    __slots__ = ("name", "key", "off", "kids", "text", "many", "maybe", "pages", "chars", "fixed")
 
     def __init__(self, name, key="", off=False, text=None):
         self.name, self.key, self.off, self.text = name, key or name, off, text
-        self.kids, self.many, self.maybe, self.pages, self.chars = [], False, False, 1, 0
+        self.kids, self.many, self.maybe, self.pages, self.chars, self.fixed = [], False, False, 1, 0, {}
 
 
 def parse(text: str | None) -> Node:
@@ -115,7 +120,7 @@ def _clean(text: str) -> str:
 # --- wrappers -------------------------------------------------------------------------------
 
 
-def _fold(kids: list[Node]) -> list[Node]:
+def _fold(kids: list[Node], one_page: int = 0) -> list[Node]:
     """Runs of alike groups (up to four elements long) as one repeated group's elements."""
     for size in (1, 2, 3, 4):
         out, i = [], 0
@@ -129,7 +134,7 @@ def _fold(kids: list[Node]) -> list[Node]:
                 for k in range(size):
                     one = group[k]
                     for r in range(1, n):
-                        one = _align(one, kids[i + r * size + k])
+                        one = _align(one, kids[i + r * size + k], 2 if one_page and one.name in RECORDS else one_page)
                     one.many, one.pages = True, max(x.pages for x in kids[i : i + n * size])
                     out.append(one)
                 i += n * size
@@ -140,23 +145,36 @@ def _fold(kids: list[Node]) -> list[Node]:
     return kids
 
 
-def template(node: Node) -> Node:
+def mark_of(page: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass"))
+
+
+def marks(*sides: list[int]) -> list[int]:
+    """MIN_PAGES marks of different pages, the least ones, or all if fewer."""
+    return sorted(set().union(*sides))[:MIN_PAGES]
+
+
+def template(node: Node, mark: int = 0) -> Node:
     """The regular expression of one page's tree."""
     if node.name == "#":
         node.text, node.key = _clean(node.text), "#"
-        node.chars = len(node.text)
+        node.chars, node.fixed = len(node.text), {node.text: [mark]}
         return node
-    kids = [template(x) for x in node.kids]
-    node.kids = _fold([x for x in kids if x.name != "#" or x.text])
+    kids = [template(x, mark) for x in node.kids]
+    node.kids = _fold([x for x in kids if x.name != "#" or x.text], 1)
     return node
 
 
-def _align(a: Node, b: Node) -> Node:
-    """Both sides in one: mismatching text becomes a slot (text None), elements of one side optional."""
+def _align(a: Node, b: Node, one_page: int = 0) -> Node:
+    """Both sides in one: mismatching text becomes a slot (text None), elements of one side optional.
+    A repeated group of one page (1) has the fixed texts of all its members; two pages, and records of
+    one page (2), have those of both sides."""
     out = Node(a.name, a.key, a.off and b.off)
-    out.many, out.maybe, out.pages, out.chars = a.many or b.many, a.maybe or b.maybe, a.pages + b.pages, a.chars + b.chars
+    out.many, out.maybe, out.pages, out.chars = a.many or b.many, a.maybe or b.maybe, max(a.pages, b.pages) if one_page else a.pages + b.pages, a.chars + b.chars
     if a.name == "#":
         out.text = a.text if a.text == b.text else None
+        both = a.fixed | b.fixed if one_page == 1 else a.fixed.keys() & b.fixed.keys()
+        out.fixed = {t: marks(a.fixed.get(t, []), b.fixed.get(t, [])) for t in both}
         return out
     x, y = a.kids, b.kids
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -167,7 +185,7 @@ def _align(a: Node, b: Node) -> Node:
     kids = []
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i].key == y[j].key:
-            kids.append(_align(x[i], y[j]))
+            kids.append(_align(x[i], y[j], one_page))
             i, j = i + 1, j + 1
         elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
             x[i].maybe = True
@@ -177,20 +195,20 @@ def _align(a: Node, b: Node) -> Node:
             y[j].maybe = True
             kids.append(y[j])
             j += 1
-    out.kids = _fold(kids)
+    out.kids = _fold(kids, one_page)
     return out
 
 
 def dump(node: Node) -> list:
     if node.name == "#":
-        return ["#", node.text, node.pages, node.chars]
+        return ["#", node.text, node.pages, node.chars, node.fixed]
     return [node.key, int(node.off) | 2 * node.many | 4 * node.maybe, node.pages, [dump(x) for x in node.kids]]
 
 
 def load(data: list) -> Node:
     if data[0] == "#":
         node = Node("#", text=data[1])
-        node.pages, node.chars = data[2], data[3]
+        node.pages, node.chars, node.fixed = data[2], data[3], data[4]
         return node
     node = Node(data[0].split(".")[0], data[0], bool(data[1] & 1))
     node.many, node.maybe, node.pages = bool(data[1] & 2), bool(data[1] & 4), data[2]
@@ -198,32 +216,30 @@ def load(data: list) -> Node:
     return node
 
 
+def _template_texts(node: Node) -> list[str]:
+    """The texts of a wrapper's text node that enough different pages have."""
+    return [t for t, m in node.fixed.items() if len(m) >= MIN_PAGES]
+
+
 def _mass(node: Node, linked: bool = False) -> int:
-    """Characters of text outside links and labelled parts."""
+    """Characters of text outside links and labelled parts; a text that is the template's has none."""
     if node.name == "#":
-        return 0 if linked else node.chars
+        return 0 if linked or (node.text is not None and _template_texts(node)) else node.chars
     if node.off:
         return 0
     return sum(_mass(x, linked or node.name == "a") for x in node.kids)
 
 
+def _chars(node: Node) -> int:
+    """Characters of text outside labelled parts."""
+    return node.chars if node.name == "#" else 0 if node.off else sum(map(_chars, node.kids))
+
+
 def rule(wrapper: Node) -> dict:
-    """Where the main text is: ``path``, the keys from the root to the element that holds it, or
-    None if elements say so themselves (article, main); ``fixed``, the template's texts there."""
-    semantic: list[Node] = []
-
-    def walk(node: Node) -> None:
-        if node.off or node.name == "#":
-            return
-        if node.name in ("article", "main") and _mass(node):
-            semantic.append(node)
-        for x in node.kids:
-            walk(x)
-
-    walk(wrapper)
-    if semantic:
-        return {"path": None, "fixed": []}
-    node, path = wrapper, []
+    """Where the main text is: ``places``, the paths (keys from the root on) of the element that
+    holds most of it and of those beside it that hold text rather than links; ``fixed``, by path the
+    template's texts there."""
+    node, path, places = wrapper, [], []
     while True:
         kids = [x for x in node.kids if x.name != "#" and not x.off]
         total = _mass(node)
@@ -232,45 +248,52 @@ def rule(wrapper: Node) -> dict:
             break
         if top.name in ("p", "pre", "li", "td", "blockquote") or re.fullmatch("h[1-6]", top.name):
             break
-        path.append(top.key)
+        if any(x.key == top.key for x in kids if x is not top):
+            break  # the path would not tell them apart
+        places += [[*path, x.key] for x in node.kids if x is not top and not x.off and 2 * _mass(x) > _chars(x)]
+        path = [*path, top.key]
         node = top
-    fixed: list[str] = []
+    places.append(path)
+    fixed: dict[str, set[str]] = {}
     slots = 0
 
-    def texts(x: Node) -> None:
+    def texts(x: Node, at: list[str]) -> None:
         nonlocal slots
         if x.name == "#":
-            if x.text is None:
-                slots += 1
-            elif x.pages >= MIN_PAGES:
-                fixed.append(x.text)
+            slots += x.text is None
+            fixed.setdefault("\n".join(at), set()).update(_template_texts(x))
         elif not x.off:
             for y in x.kids:
-                texts(y)
+                texts(y, [*at, y.key] if y.name != "#" else at)
 
-    texts(node)
-    return {"path": path, "fixed": sorted(set(fixed)) if slots else []}
+    texts(wrapper, [])
+    return {"places": places, "fixed": {k: sorted(v) for k, v in fixed.items() if v} if slots else {}}
 
 
 # --- extraction ------------------------------------------------------------------------------
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
-    """Texts of ``node`` in page order; each block element starts a new list."""
+def _blocks(node: Node, out: list[list[tuple[str, bool]]], fixed: dict, at: str, places: set[str] | None = None) -> None:
+    """Texts of ``node`` in page order, each with whether it is the template's; each block element
+    starts a new list.  With ``places`` only what is in these paths counts."""
     for x in node.kids:
         if x.name == "#":
-            out[-1].append(x.text)
-        elif x.off:
+            if places is None or (f"{at}\n#" if at else "#") in places:
+                out[-1].append((x.text, at in fixed and _clean(x.text) in fixed[at]))
+            continue
+        path = f"{at}\n{x.key}" if at else x.key
+        inside = None if places is None or path in places else places
+        if x.off:
             if x.name in CLOSES_P or x.name in BLOCK:
                 out.append([])
         elif x.name == "br":
-            out[-1].append(" ")
+            out[-1].append((" ", True))
         elif x.name in BLOCK:
             out.append([])
-            _blocks(x, out)
+            _blocks(x, out, fixed, path, inside)
             out.append([])
         else:
-            _blocks(x, out)
+            _blocks(x, out, fixed, path, inside)
 
 
 def _outermost(node: Node, names: tuple[str, ...]) -> list[Node]:
@@ -281,32 +304,29 @@ def _outermost(node: Node, names: tuple[str, ...]) -> list[Node]:
     return [y for x in node.kids if x.name != "#" for y in _outermost(x, names)]
 
 
+def _has(node: Node, path: list[str]) -> bool:
+    return not path or any(x.key == path[0] and not x.off and _has(x, path[1:]) for x in node.kids)
+
+
 def extract(page: str | None, rules: dict | None = None) -> str:
-    """Main text of a page under a host's rule; a page that the rule doesn't fit is judged by
-    its own tree."""
+    """Main text of a page under its host's rule: what is in the rule's places, without blocks that are
+    the template's.  A page that the rule doesn't fit, or without one, is judged by its own tree."""
     root = parse(page)
-    places: list[Node] = []
-    fixed: set[str] = set()
-    places = _outermost(root, ("article",)) or _outermost(root, ("main",))
-    if not places and rules and rules["path"] is not None:
-        node: Node | None = root
-        for key in rules["path"]:
-            node = next((x for x in node.kids if x.key == key and not x.off), None)
-            if node is None:
-                break
-        if node is not None:
-            places, fixed = [node], set(rules["fixed"])
-    if not places:
-        node = root
-        for key in rule(template(parse(page)))["path"] or []:
-            node = next((x for x in node.kids if x.key == key and not x.off), node)
-        places = [node]
-    lists: list[list[str]] = [[]]
-    for place in places:
-        lists.append([])
-        _blocks(place, lists)
-    blocks = (_clean("".join(x)) for x in lists)
-    return "\n".join(b for b in blocks if b and b not in fixed)
+    lists: list[list[tuple[str, bool]]] = [[]]
+    if rules and _has(root, rules["places"][-1]):
+        _blocks(root, lists, {k: set(v) for k, v in rules["fixed"].items()}, "", None if [] in rules["places"] else {"\n".join(x) for x in rules["places"]})
+    if not any(t.strip() for x in lists for t, _ in x):
+        places = _outermost(root, ("article",)) or _outermost(root, ("main",))
+        if not places:
+            node = root
+            for key in rule(template(parse(page)))["places"][-1]:
+                node = next((x for x in node.kids if x.key == key and not x.off), node)
+            places = [node]
+        for place in places:
+            lists.append([])
+            _blocks(place, lists, {}, "")
+    blocks = (_clean("".join(t for t, _ in x)) for x in lists if not all(f or not t.strip() for t, f in x))
+    return "\n".join(b for b in blocks if b)
 
 
 def host_of(url: str | None) -> str:
@@ -317,8 +337,8 @@ def host_of(url: str | None) -> str:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, rule) of every host in ``pages`` (url, html); pages that repeat another's
-    bytes within a task count once."""
+    """(host, wrapper, marks, rule) of every host in ``pages`` (url, html); pages that repeat another's
+    bytes within a task count once.  A host of fewer than MIN_PAGES different pages has no rule."""
 
     def local(frames):
         held: dict[str, Node] = {}
@@ -326,23 +346,24 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         for pdf in frames:
             for url, page in zip(pdf["url"], pdf["html"]):
                 host = host_of(None if pd.isna(url) else url)
-                mark = hash(page)
-                if pd.isna(page) or mark in seen.setdefault(host, set()):
+                if pd.isna(page) or (mark := mark_of(page)) in seen.setdefault(host, set()):
                     continue
                 seen[host].add(mark)
-                one = template(parse(page))
+                one = template(parse(page), mark)
                 held[host] = _align(held[host], one) if host in held else one
-        yield pd.DataFrame([(h, json.dumps(dump(w))) for h, w in held.items()], columns=["host", "wrapper"])
+        yield pd.DataFrame([(h, json.dumps(dump(w)), json.dumps(marks(seen[h]))) for h, w in held.items()], columns=["host", "wrapper", "marks"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         first, *rest = sorted(pdf["wrapper"])
         node = load(json.loads(first))
         for x in rest:
             node = _align(node, load(json.loads(x)))
-        return pd.DataFrame([(pdf["host"].iloc[0], json.dumps(dump(node)), json.dumps(rule(node)))], columns=["host", "wrapper", "rule"])
+        several = marks(*map(json.loads, pdf["marks"]))
+        return pd.DataFrame(
+            [(pdf["host"].iloc[0], json.dumps(dump(node)), json.dumps(several), json.dumps(rule(node)) if len(several) >= MIN_PAGES else None)], columns=["host", "wrapper", "marks", "rule"])
 
-    out = "host string, wrapper string, rule string"
-    parts = pages.select("url", "html").mapInPandas(local, "host string, wrapper string").withColumn("part", F.spark_partition_id() % PARTS)
+    out = "host string, wrapper string, marks string, rule string"
+    parts = pages.select("url", "html").mapInPandas(local, "host string, wrapper string, marks string").withColumn("part", F.spark_partition_id() % PARTS)
     return parts.groupBy("host", "part").applyInPandas(merge, out).groupBy("host").applyInPandas(merge, out)
 
 
