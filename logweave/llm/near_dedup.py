@@ -2,10 +2,10 @@
 
 1. Every text becomes its set of word shingles; rows with equal sets are one class.
 2. Each class has a signature of K coordinates and is posted under its coordinate values.
-   Values that one class alone has can't be shared and go; a class left with fewer than
-   MATCHES values can't match any other.
-3. Two classes that agree on MATCHES of K coordinates share one of the K - MATCHES + 1 rarest
-   rarest values of each (prefix filter), so only those are posted.
+   Values that one class alone has can't be shared and go; a class left with fewer values than
+   the matches that a candidate needs can't match any other.
+3. Two classes that agree on m of K coordinates share one of the K - m + 1 rarest values of each
+   (prefix filter), so only those are posted.
 4. Shingles that one class alone has are in no intersection, which bounds a class's similarity to
    any other; a class that can't be linked to any member of a posting leaves it.
 5. Short postings give their pairs.  Long postings are skipped in that merge: pivots are compared
@@ -18,6 +18,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,12 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import UID, Scratch, table, with_uid
 
-SHINGLE, PERCENT = 5, 85
-#: Signature length, and the matches that a candidate needs: a linked pair (similarity 0.85)
-#: has 40.8 of 48 on average, and fewer than 29 once in a million.
-K, MATCHES = 48, 29
-#: A pair within twice the link distance (similarity 0.7) has fewer matches than this once in a million.
-NEAR_MATCHES = 18
+#: PERCENT is the limit of op7_near_dedup, STAGE_PERCENT that of a stage without one of its own.
+SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
+#: Signature length, and the share of pairs of just the similarity asked for that may have too few matches.
+K, MISSED = 48, 1e-6
 #: Postings up to this length give all their pairs.
 SHORT = 8
 #: A list with at most so many members outside its main component is settled by comparing those
@@ -43,6 +43,17 @@ _ADD = _RNG.randint(0, 2**32, K, dtype=np.uint64) << np.uint64(32) | _RNG.randin
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+def matches_at(percent: int) -> int:
+    """The matches that a candidate needs: of the pairs at this similarity, less than MISSED have fewer
+    of K. 27 at 85 percent, 24 at 80, 18 at 70, 13 at 60."""
+    p, tail = max(0, percent) / 100, 0.0
+    for k in range(K):
+        tail += math.comb(K, k) * p**k * (1 - p) ** (K - k)
+        if tail >= MISSED:
+            return k
+    return K
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct word shingles of a text (A-Z lower-cased). A text with
     fewer words is one shingle; one without words has none."""
@@ -150,6 +161,8 @@ class _Pairs:
 
     def __init__(self, scratch: Scratch, sigs: DataFrame, sets: DataFrame, percent: int) -> None:
         self.scratch, self.sigs, self.sets, self.percent, self.number = scratch, sigs, sets, percent, 0
+        # Near: within twice the link distance.
+        self.matches, self.near_matches = matches_at(percent), matches_at(2 * percent - 100)
 
     def _both(self, pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
         return pairs.join(side.select(F.col("uid").alias("a"), F.col(value).alias(f"{value}_a")), "a").join(
@@ -158,9 +171,9 @@ class _Pairs:
     def compare(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs (a, b) that are near by their signatures, and those of them that are linked."""
         self.number += 1
-        near = self._both(pairs, self.sigs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long, m int").where(F.col("m") >= NEAR_MATCHES)
+        near = self._both(pairs, self.sigs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long, m int").where(F.col("m") >= self.near_matches)
         near = self.scratch.keep(near, f"near{self.number}")
-        sized = self._both(near.where(F.col("m") >= MATCHES).select("a", "b"), self.sets, "set").select("a", "b", "set_a", "set_b")
+        sized = self._both(near.where(F.col("m") >= self.matches).select("a", "b"), self.sets, "set").select("a", "b", "set_a", "set_b")
         linked = sized.mapInArrow(_measure, "a long, b long, inter long, total long").where(F.col("inter") * 100 >= F.col("total") * self.percent)
         return near, self.scratch.keep(linked.select("a", "b"), f"linked{self.number}")
 
@@ -270,6 +283,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     its component.  An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
+    matches = max(1, matches_at(percent))
     rows = with_uid(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     sketched = rows.select(F.col(UID), "doc_id", "text").mapInArrow(_sketch, "uid long, doc_id long, n long, same binary, sig binary")
     sketched = scratch.keep(sketched, "sketched")
@@ -279,9 +293,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     posted = sigs.mapInArrow(_post, "key long, uid long")
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = scratch.keep(posted.join(counts, "key").select("uid", F.struct("n", "key").alias("v")), "shared")
-    enough = shared.groupBy("uid").agg(F.array_sort(F.collect_list("v")).alias("l")).where(F.size("l") >= MATCHES)
-    # The rarest values: of the K - MATCHES + 1 that a prefix has, those that the class alone has come first and go.
-    prefix = enough.select("uid", F.explode(F.expr(f"slice(l, 1, greatest(1, size(l) - {MATCHES} + 1))")).alias("v"))
+    enough = shared.groupBy("uid").agg(F.array_sort(F.collect_list("v")).alias("l")).where(F.size("l") >= matches)
+    # The rarest values: of the K - matches + 1 that a prefix has, those that the class alone has come first and go.
+    prefix = enough.select("uid", F.explode(F.expr(f"slice(l, 1, greatest(1, size(l) - {matches} + 1))")).alias("v"))
     prefix = scratch.keep(prefix.select(F.col("v.key").alias("key"), "uid"), "prefix")
     scratch.drop("shared")
     some = prefix.select("uid").distinct()
@@ -316,11 +330,11 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("uid") == F.col("stay")).alias("stays"))
 
 
-def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """One row of each component, with all columns of ``docs``."""
     stay = near_dedup(docs, percent).where("stays").select(UID)
     return with_uid(docs).join(stay, UID, "left_semi").drop(UID)
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents")).drop(UID, "stays")
+    return near_dedup(table(spark, sf_dir, "documents"), PERCENT).drop(UID, "stays")
