@@ -19,9 +19,10 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # maximal runs: the same spans as of all runs, without the short ones
 )
-#: Further kinds that the ownership count decides on.
+#: Further kinds that the ownership count decides on. A pem block goes up to its END line; if none
+#: follows before another BEGIN, it is the header alone.
 MORE = (
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+){0,64}+-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
     ("vendor", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{28,}", 0, 28),
@@ -54,6 +55,12 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kind_of))
 
 
+def _secret_of(x: Column) -> Column:
+    """What is hashed and counted: of a pem block its body without white space, of others the value."""
+    body = F.regexp_replace(F.regexp_replace(x["value"], r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----", ""), r"\s", "")
+    return F.when((x["kind"] == "pem") & (body != ""), body).otherwise(x["value"])
+
+
 def _joined(spans: Column) -> Column:
     """kind:start:end by start, then kind in the listed order, comma-joined."""
     order = [k for k, *_ in BASE + MORE]
@@ -79,7 +86,7 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", t
     found = rows.withColumn("maybe", F.col("text").rlike(any_kind)).withColumns(kinds)
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
     listed = lambda kinds: F.concat(*[F.coalesce(F.col(k), empty) for k, *_ in kinds])
-    hashed = lambda a: F.transform(a, lambda x: F.struct(x["kind"], x["start"], x["end"], F.xxhash64(x["value"]).alias("h"), F.size(F.array_distinct(F.split(x["value"], ""))).alias("chars")))
+    hashed = lambda a: F.transform(a, lambda x: F.struct(x["kind"], x["start"], x["end"], F.xxhash64(_secret_of(x)).alias("h"), F.size(F.array_distinct(F.split(x["value"], ""))).alias("chars")))
     found = scratch.keep(found.select(UID, "doc_id", "owner", "repo", hashed(listed(BASE)).alias("base"), hashed(listed(MORE)).alias("more")), "found")
     each = found.where("size(base) + size(more) > 0").select(UID, "owner", "repo", F.inline(F.concat("base", "more")))
     owned = each.select("h", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
@@ -94,7 +101,9 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", t
     base_kinds = [k for k, *_ in BASE]
     findings = F.coalesce("findings", F.array().cast("array<struct<kind:string,start:bigint,end:bigint,owners:bigint,repos:bigint,live:boolean>>"))
     base = F.filter(findings, lambda x: x["kind"].isin(base_kinds))
-    extra = F.filter(findings, lambda x: ~x["kind"].isin(base_kinds) & x["live"] & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    # A pem block is more than a base span in or across a part of it.
+    covers = lambda b, x: F.when(x["kind"] == "pem", (b["start"] <= x["start"]) & (x["end"] <= b["end"])).otherwise((b["start"] < x["end"]) & (x["start"] < b["end"]))
+    extra = F.filter(findings, lambda x: ~x["kind"].isin(base_kinds) & x["live"] & ~F.exists(base, lambda b: covers(b, x)))
     plain = lambda a: F.transform(a, lambda x: F.struct(x["kind"], x["start"], x["end"]))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return full.select(
