@@ -43,6 +43,22 @@ def schema_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     return a.join(b, ["table_name", "column"], "full_outer").select("table_name", "column", kind.alias("difference")).where("difference IS NOT NULL")
 
 
+def existing_target(source: DataFrame, target: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``table_name, decision`` of each table of ``source``; source and target are column catalogues as in
+    schema_diff, allowed has the names of the tables whose target may exist.
+
+    Without a target: CREATE; not allowed: REFUSE; with an equal schema: OVERWRITE, else REBUILD_AND_SWAP.
+    """
+    there = target.select("table_name").distinct().withColumn("there", F.lit(True))
+    may = allowed.select("table_name").distinct().withColumn("may", F.lit(True))
+    differs = schema_diff(source, target).groupBy("table_name").agg(F.count("*").alias("differences"))
+    tables = source.select("table_name").distinct()
+    for side in (there, may, differs):
+        tables = tables.join(side, "table_name", "left")
+    decision = F.when(F.col("there").isNull(), "CREATE").when(F.col("may").isNull(), "REFUSE").when(F.col("differences") > 0, "REBUILD_AND_SWAP").otherwise("OVERWRITE")
+    return tables.select("table_name", decision.alias("decision"))
+
+
 def rewrite_view(sql: Column, source_db: str, target_db: str) -> Column:
     """View text with the target database in both styles of qualified names."""
     return F.regexp_replace(F.regexp_replace(sql, f"`internal`\\.`{source_db}`\\.", f"`internal`.`{target_db}`."), f"([^.])`{source_db}`\\.", f"$1`{target_db}`.")
