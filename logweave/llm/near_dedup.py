@@ -109,6 +109,30 @@ def _post(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(uids[at : at + 2_000], K))], ["key", "uid"])
 
 
+def _parities(batches):
+    """Bitmaps of sets: bit i says whether an odd number of the codes end in i. Two to four bits a code,
+    a power of two of words; ``half`` is the bitmap of half as many bits."""
+    for batch in batches:
+        bits, half = [], []
+        for codes in (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in batch.column("set")):
+            n = 64
+            while n < 2 * len(codes):
+                n *= 2
+            odd = (np.bincount((codes & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8)
+            words = np.packbits(odd, bitorder="little").view(np.int64)
+            bits.append(words)
+            half.append(words[: len(words) // 2] ^ words[len(words) // 2 :] if len(words) > 1 else words)
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(bits, kind), pa.array(half, kind)], ["uid", "bits", "half"])
+
+
+def _coordinates(batches):
+    for batch in batches:
+        flat = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.int32)
+        coords = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, K, dtype=np.int32), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), coords], ["uid", "coords"])
+
+
 def _agree(batches):
     """Matching coordinates of the signatures of both sides."""
     for batch in batches:
@@ -161,6 +185,9 @@ class _Pairs:
 
     def __init__(self, scratch: Scratch, sigs: DataFrame, sets: DataFrame, percent: int) -> None:
         self.scratch, self.sigs, self.sets, self.percent, self.number = scratch, sigs, sets, percent, 0
+        #: What a pair is judged by before it is made: bitmaps, and the signature's coordinates.
+        bits = sets.mapInArrow(_parities, "uid long, bits array<long>, half array<long>")
+        self.traits = scratch.keep(bits.join(sigs.mapInArrow(_coordinates, "uid long, coords array<int>"), "uid"), "traits")
         # Near: within twice the link distance.
         self.matches, self.near_matches = matches_at(percent), matches_at(2 * percent - 100)
 
@@ -190,20 +217,30 @@ def _linkable(least, percent: int) -> F.Column:
     return F.col("common") * 100 >= (F.col("size") + F.greatest(least, F.col("common")) - F.col("common")) * percent
 
 
-def _across(lists: DataFrame, few: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs of the members of the lists ``few`` that can be linked and aren't in one component, one
-    of the pair at least outside the main component of its list.  A pair that several lists share
-    comes from the least of them only.
+def _differing(percent: int) -> F.Column:
+    """Whether the parity bitmaps of two sets allow a link: the sets differ in at least as many codes as
+    the bitmaps in bits, and linked ones in at most (100 - percent) / (100 + percent) of both sizes."""
+    x, y = "if(size(bits) > size(bits_a), half, bits)", "if(size(bits_a) > size(bits), half_a, bits_a)"
+    differ = F.expr(f"coalesce(aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v), 0)")
+    return differ * (100 + percent) <= (F.col("size") + F.col("size_a")) * (100 - percent)
+
+
+def _across(lists: DataFrame, few: DataFrame, pairs: _Pairs, name: str) -> DataFrame:
+    """Pairs of the members of the lists ``few`` that aren't in one component, one of the pair at least
+    outside the main component of its list.  The join along a list makes a pair only if its sizes, its
+    bitmaps and the collisions of its signatures, counted there, allow a link.  A pair that several
+    lists share comes from the least of them only.
     """
     members = lists.join(few, "key").select("key", "uid", "size", "common", "label", (F.col("label") != F.col("top.label")).alias("odd"))
     shared = members.groupBy("uid").agg(F.collect_list("key").alias("keys"))
-    members = scratch.keep(members.join(shared, "uid"), name)
-    odd = members.where("odd").select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "size", "common", "label", "keys")))
+    members = pairs.scratch.keep(members.join(shared.join(pairs.traits, "uid"), "uid"), name)
+    odd = members.where("odd").select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "size", "common", "label", "keys", "bits", "half", "coords")))
     least = F.least("common", "common_a")
-    linkable = least * 100 >= (F.col("size") + F.col("size_a") - least) * percent
+    linkable = least * 100 >= (F.col("size") + F.col("size_a") - least) * pairs.percent
     wanted = (F.col("label") != F.col("label_a")) & (~F.col("odd") | (F.col("uid_a") < F.col("uid"))) & linkable
     first = F.array_min(F.array_intersect("keys", "keys_a")) == F.col("key")
-    found = members.join(odd, "key").where(wanted & first)
+    collisions = F.expr("aggregate(zip_with(coords, coords_a, (x, y) -> if(x = y, 1, 0)), 0, (s, v) -> s + v)")
+    found = members.join(odd, "key").where(wanted & _differing(pairs.percent) & (collisions >= pairs.matches) & first)
     return found.select(F.least("uid_a", "uid").alias("a"), F.greatest("uid_a", "uid").alias("b"))
 
 
@@ -245,7 +282,7 @@ def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFra
         if links is not None:
             # Lists of which only members of the main component were left have no odd ones and are settled.
             odd = scratch.keep(long.where("label != top.label").groupBy("key").agg(F.count("*").alias("odd")), f"odd{number}")
-            every = every.unionByName(_across(long, odd.where(F.col("odd") <= FEW).select("key"), pairs.percent, scratch, f"members{number}"))
+            every = every.unionByName(_across(long, odd.where(F.col("odd") <= FEW).select("key"), pairs, f"members{number}"))
             long = long.join(odd.where(F.col("odd") > FEW), "key", "left_semi")
         joined = lambda linked: linked if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked)
         if long.isEmpty():
