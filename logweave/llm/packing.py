@@ -1,17 +1,22 @@
 """Best-fit packing with hierarchical residual bins.
 
-Pieces are packed best-fit inside many small buckets.  Bins that are nearly full are final.
-Underfull bins become the items of the next level, where fewer buckets pack them again, until
-one bucket is left.
+Pieces are packed best-fit inside many buckets.  Two bins of more than half the capacity never fit
+together, so of these only as many as there are emptier bins can still be of use: the roomiest ones go
+on with the emptier bins as the items of the next level, all others are final.  A bucket leaves one
+emptier bin at most, so each level is thousands of times smaller, and the last is one bucket.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,67 +24,127 @@ from .common import Scratch, table
 
 MAX_TOKENS, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Items that one bucket packs; the room that a bin of the first level may have to be final.
-BUCKET_ITEMS, SLACK = 20_000, 0.002
-#: Distinct words that a Python worker remembers before it starts anew.
-CACHED_WORDS = 600_000
-_tokenizers: dict[str, tuple] = {}
+#: Items that one bucket packs.
+BUCKET_ITEMS = 20_000
+#: What a Python worker remembers before it starts anew: distinct words, ids of these. Bytes encoded at a time.
+CACHED_WORDS, CACHED_IDS, PART_BYTES = 600_000, 4_000_000, 6_000_000
+#: Words of printable ASCII and of Latin letters that no normal form changes; once lower-cased they fall into
+#: runs by the tokenizer's own rule. Its model takes a character for each byte, printable ones for themselves.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^!-`{-~]+|[0-9]|[!-/:-`{-~]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + k) for k, b in enumerate(sorted({*range(0x100)} - {*_SHOWN}))}
+_vocabularies: dict[str, _Vocabulary] = {}
 _MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _tokenizer(path: str):
-    """The tokenizer and the worker's word cache, loaded once per worker."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
-
-
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text. The tokenizer drops white space and splits there
-    first, so words between separators are encoded once each and remembered."""
-    tokenizer, cache = _tokenizer(path)
-    split = [t.encode().split() for t in texts]
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    new = list({w for words in split for w in words if w not in cache})
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        for word, got in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            cache[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
-    return [b"".join([cache[w] for w in words]) for words in split]
+class _Vocabulary:
+    """The words that a worker has met: each one's place in one array of ids."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.runs: dict[str, list[int]] = {}
+        self.ids, self.ends = array("I"), array("i", [0])
+
+    def _ids(self, word: str) -> list[int]:
+        """Plain words are cut into runs here and the model sees each different run once; others, and
+        what may be a special token, go through the whole tokenizer."""
+        if not _PLAIN.fullmatch(word) or "<|" in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for run in _RUNS.findall(word.lower()):
+            if run not in self.runs:
+                shown = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
+                self.runs[run] = [t.id for t in self.model.tokenize(shown)]
+            out += self.runs[run]
+        return out
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word; words not met yet are encoded."""
+        index = self.index
+        for word in words:
+            if word not in index:
+                index[word] = len(self.ends) - 1
+                self.ids.extend(self._ids(word))
+                self.ends.append(len(self.ids))
+        return np.array([index[w] for w in words], dtype=np.int32)
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the ids of all texts one after the other, and where each text ends. The tokenizer
+    drops white space and splits there first, so each different word is encoded once."""
+    if path not in _vocabularies:
+        _vocabularies[path] = _Vocabulary(path)
+    known = _vocabularies[path]
+    if len(known.index) > CACHED_WORDS or len(known.ids) > CACHED_IDS:
+        known.clear()
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten().dictionary_encode()
+    place = known.places(words.dictionary.to_pylist())[np.asarray(words.indices)]
+    # A text of an Arrow batch has less than 2**31 bytes, and no more ids.
+    ends, ids = np.array(known.ends, dtype=np.int32), np.array(known.ids, dtype=np.uint32)
+    first, size = ends[place], ends[place + 1] - ends[place]
+    after = np.zeros(len(size) + 1, dtype=np.int32)
+    np.cumsum(size, out=after[1:])
+    taken = ids[np.repeat(first - after[:-1], size) + np.arange(after[-1], dtype=np.int32)]
+    bounds = np.asarray(lists.offsets)
+    return taken, after[bounds[1:] - bounds[0]].astype(np.int64)
+
+
+def _parts(texts: pa.Array):
+    """Slices of the texts of about PART_BYTES each, one text at least."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + PART_BYTES, side="right")))
+        yield at, texts.slice(at, end - at)
+        at = end
 
 
 def tokenize(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Pieces of at most max_tokens ids of each document: ids of the text, then the end id.
 
-    Null and empty texts give one piece with the end id alone; repeated rows repeat their pieces.
+    Null and empty texts give one piece with the end id alone; repeated rows repeat their pieces.  Texts of
+    any length are encoded whole.  An empty table gives an empty result.  Other columns are not read.
     """
     path = path or tokenizer_path()
-    end = END_ID.to_bytes(4, "little")
 
     def cut(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 500):
-                out: list[tuple] = []
-                for doc_id, data in zip(ids[at : at + 500], token_bytes([t or "" for t in texts[at : at + 500]], path)):
-                    data += end
-                    for k, b in enumerate(range(0, len(data), 4 * max_tokens)):
-                        part = data[b : b + 4 * max_tokens]
-                        out.append((doc_id, k, b // 4, len(part) // 4, zlib.crc32(part)))
-                columns = list(zip(*out))
+            for at, texts in _parts(batch.column(1).fill_null("")):
+                ids, ends = token_ids(texts, path)
+                n = len(texts)
+                full = np.full(len(ids) + n, END_ID, dtype="<u4")
+                stops = ends + np.arange(1, n + 1)
+                body = np.ones(len(full), dtype=bool)
+                body[stops - 1] = False
+                full[body] = ids
+                starts = np.concatenate(([0], stops[:-1]))
+                count = -(-(stops - starts) // max_tokens)
+                piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * max_tokens
+                length = np.minimum(max_tokens, np.repeat(stops - starts, count) - start)
+                first, data = np.repeat(starts, count) + start, memoryview(full).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
+                doc_id = batch.column(0).slice(at, n).take(pa.array(np.repeat(np.arange(n), count)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                    [doc_id.cast(pa.int64()), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
@@ -107,42 +172,60 @@ def best_fit(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, bucket_items: int = BUCKET_ITEMS, slack: float = SLACK) -> DataFrame:
+def _goes_on(totals: dict[int, int], capacity: int) -> tuple[int, int, float]:
+    """(half, least, share) of the bins of a level, given how many have each total: bins up to ``half``
+    go on, and of the fuller ones those that are emptier than ``least`` and this share of those that
+    have just that total. These are as many as the bins up to half, or more, and all if there are no more."""
+    half = capacity // 2
+    wanted = sum(n for t, n in totals.items() if t <= half)
+    if wanted == 0 or sum(totals.values()) == 1:
+        return 0, 0, 0.0  # two fuller bins never fit together
+    for total in sorted(t for t in totals if t > half):
+        n = totals[total]
+        if n >= wanted:
+            return half, total, min(1.0, (2 * wanted + 100) / n)
+        wanted -= n
+    return half, capacity, 0.0
+
+
+def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
     """Pieces with ``sequence_id, offset``: bins of at most max_tokens tokens without gaps.
 
     Rows that repeat a piece are packed one by one.  Buckets are dealt by a hash of the piece, so
-    no source or length is hot, and hold bucket_items items on average.  At level k a bin is final
-    when its room is at most ``slack * 4 ** k`` of the capacity; so few bins go on, and after a
-    handful of levels none does, whatever the lengths.  An empty table gives an empty result.
+    no source or length is hot, and hold bucket_items items on average; of equally long items the hash
+    decides which comes first.  Levels end when one bucket holds all items that are left, or none
+    of the bins left fits another.  An empty table gives an empty result.
     """
     scratch = Scratch(pieces.sparkSession, "pack")
     pieces = scratch.keep(pieces, "pieces")
     one = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset")))
     whole = F.col("length") >= max_tokens
-    first = pieces.where(whole).select(F.monotonically_increasing_id().alias("sequence_id"), one.alias("members"))
-    final = [scratch.keep(first, "whole")]
+    final = [scratch.keep(pieces.where(whole).select(F.monotonically_increasing_id().alias("sequence_id"), one.alias("members")), "whole")]
     h = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
     items = scratch.keep(pieces.where(~whole).select(h.alias("item"), F.col("length").alias("total"), one.alias("members")), "items")
-    level = 0
-    while n := items.count():
-        buckets = -(-n // bucket_items)
-        last = buckets == 1
-        least = 0 if last else int(max_tokens * (1 - slack * 4**level))
+    level, n = 0, items.count()
+    buckets = 2 * n
+    while n:
+        buckets = min(-(-n // bucket_items), -(-buckets // 2))
         level += 1
         dealt = items.withColumn("bucket", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(buckets)))
-        done = scratch.keep(dealt.groupBy("bucket").applyInPandas(_packer(level, least, max_tokens), f"sequence_id long, total long, members {_MEMBERS}, final boolean"), f"level{level}")
-        final.append(done.where("final").select("sequence_id", "members"))
-        if last:
-            break
-        items = done.where("NOT final").select(F.col("sequence_id").alias("item"), "total", "members")
+        bins = scratch.keep(dealt.groupBy("bucket").applyInPandas(_packer(level, max_tokens), f"sequence_id long, total long, members {_MEMBERS}"), f"level{level}")
+        # At most max_tokens totals.
+        totals = {r.total: r.n for r in bins.groupBy("total").agg(F.count("*").alias("n")).collect()} if buckets > 1 else {}
+        half, least, share = _goes_on(totals, max_tokens)
+        drawn = F.pmod(F.xxhash64("sequence_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+        on = (F.col("total") <= half) | (F.col("total") > half) & ((F.col("total") < least) | (F.col("total") == least) & drawn)
+        final.append(bins.where(~on).select("sequence_id", "members"))
+        items = bins.where(on).select(F.col("sequence_id").alias("item"), "total", "members")
+        n = items.count() if half else 0
     out = final[0]
     for more in final[1:]:
         out = out.unionByName(more)
     return out.select("sequence_id", F.inline("members"))
 
 
-def _packer(level: int, least: int, max_tokens: int):
-    """Packs one bucket; bins of ``least`` tokens or more are final."""
+def _packer(level: int, max_tokens: int):
+    """Packs one bucket."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["total", "item"], ascending=[False, True], kind="stable")
@@ -155,8 +238,8 @@ def _packer(level: int, least: int, max_tokens: int):
             for m in members:
                 m["offset"] = at
                 at += m["length"]
-            rows.append(((level << 56) | (int(key[0]) << 28) | b, at, members, at >= least))
-        return pd.DataFrame(rows, columns=["sequence_id", "total", "members", "final"])
+            rows.append(((level << 56) | (int(key[0]) << 28) | b, at, members))
+        return pd.DataFrame(rows, columns=["sequence_id", "total", "members"])
 
     return run
 
