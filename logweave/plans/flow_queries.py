@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters
+from ..operators.folds import latest
 from ..sources import log as L
 from ..sources import snapshots as S
-from ..sources.folders import exists, new_folder
+from ..sources.folders import new_folder
 from ..streaming import follow
 from . import fixtures as X
 from .fixtures import frame
-from .log_queries import log, middle
+from .log_queries import MIDDLE, log, middle
 from .table_queries import KEYS, rows, unique_sql
 
 QUERIES: dict = {}
@@ -66,16 +67,19 @@ def _(s, d):
     return s.read.parquet(f"{folder}/alias_orders").groupBy("st").agg(F.count("*").alias("n")).withColumn("name", F.lit("alias_orders"))
 
 
-@query("restore_atomic", f"SELECT 'before' AS seen, count(*) AS n FROM ({X.REPLICA}) r UNION ALL SELECT 'after', count(*) FROM ({X.SOURCE}) s")
+@query("restore_atomic", f"SELECT 'before' AS seen, count(*) AS n FROM ({X.REPLICA}) r UNION ALL SELECT 'staged', count(*) FROM ({X.REPLICA}) r UNION ALL SELECT 'after', count(*) FROM ({X.SOURCE}) s")
 def _(s, d):
-    """The target holds the old rows until the staged folder is complete and swapped in."""
+    """The name stands for the old rows until the staged folder is complete and put in its place."""
     folder = new_folder(s, "atomic")
-    S.snapshot(frame(s, d, X.REPLICA), f"{folder}/target")
-    S.snapshot(frame(s, d, X.SOURCE), f"{folder}/staged")
-    before = s.read.parquet(f"{folder}/target").count()
-    S.swap_in(s, f"{folder}/staged", f"{folder}/target")
-    after = s.read.parquet(f"{folder}/target").agg(F.lit("after").alias("seen"), F.count("*").alias("n"))
-    return after.unionByName(s.range(1).select(F.lit("before").alias("seen"), F.lit(before).cast("long").alias("n")))
+    names, out = S.Names(s, f"{folder}/names"), None
+    for seen, rows in (("before", X.REPLICA), ("staged", X.SOURCE), ("after", None)):
+        if rows:
+            S.snapshot(frame(s, d, rows), f"{folder}/{seen}")
+        if seen != "staged":
+            names.point({"orders": f"{folder}/{'before' if rows else 'staged'}"})
+        one = names.read("orders").agg(F.lit(seen).alias("seen"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("restore_clean_partitions", f"SELECT 'clean' AS mode, p, count(*) AS n FROM ({X.SOURCE}) s WHERE p <> 1997 GROUP BY p UNION ALL SELECT 'keep', p, count(*) FROM ({X.SOURCE}) s GROUP BY p")
@@ -95,15 +99,16 @@ UNION ALL SELECT 'drop', 'to', count(*) FROM ({X.SOURCE}) s""")
 def _(s, d):
     folder, out = new_folder(s, "replace"), None
     for mode in ("swap", "drop"):
-        S.snapshot(frame(s, d, X.REPLICA), f"{folder}/{mode}/to")
-        S.snapshot(frame(s, d, X.SOURCE), f"{folder}/{mode}/from")
-        S.swap_in(s, f"{folder}/{mode}/from", f"{folder}/{mode}/to", keep_old=mode == "swap")
+        names = S.Names(s, f"{folder}/{mode}/names")
+        for name, rows in (("to", X.REPLICA), ("from", X.SOURCE)):
+            S.snapshot(frame(s, d, rows), f"{folder}/{mode}/{name}")
+            names.point({name: f"{folder}/{mode}/{name}"})
+        names.replace("to", "from", swap=mode == "swap")
         if mode == "drop":
-            S.swap_in(s, f"{folder}/{mode}/from", f"{folder}/{mode}/to")  # again: nothing happens
-        for name in ("to", "from"):
-            if exists(s, f"{folder}/{mode}/{name}"):
-                one = s.read.parquet(f"{folder}/{mode}/{name}").agg(F.lit(mode).alias("mode"), F.lit(name).alias("name"), F.count("*").alias("n"))
-                out = one if out is None else out.unionByName(one)
+            names.replace("to", "from")  # again: nothing happens
+        for name in sorted(names.now()):
+            one = names.read(name).agg(F.lit(mode).alias("mode"), F.lit(name).alias("name"), F.count("*").alias("n"))
+            out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -135,11 +140,11 @@ def _rows(s, d):
 
 
 def _table(s, folder):
-    return S.VersionedTable(s, f"{folder}/table", "table_id")
+    return S.ChangeTable(s, f"{folder}/table", KEYS)
 
 
 def _state(table):
-    return table.read().select(F.col("table_id").cast("bigint").alias("table_id"), "k", "commit_seq", "v")
+    return table.read().select("table_id", "k", "commit_seq", "v")
 
 
 def _files(df, folder, n=3):
@@ -154,18 +159,41 @@ FOLD = unique_sql()
 @query("ingest_batch", FOLD)
 def _(s, d):
     folder, r, c = new_folder(s, "ingest"), _rows(s, d), middle(s, d)
-    table, fold = _table(s, folder), follow.unique_fold(KEYS)
-    table.apply(0, r.where(F.col("commit_seq") <= c), fold)
-    table.apply(1, r, fold)
+    table = _table(s, folder)
+    table.apply(0, r.where(F.col("commit_seq") <= c))
+    table.apply(1, r)
     return _state(table)
 
 
 @query("apply_idempotent", FOLD)
 def _(s, d):
     folder, r, c = new_folder(s, "idempotent"), _rows(s, d), middle(s, d)
-    table, fold = _table(s, folder), follow.unique_fold(KEYS)
+    table = _table(s, folder)
     for batch, part in ((0, r.where(F.col("commit_seq") <= c)), (0, r.where(F.col("commit_seq") <= c)), (1, r), (1, r), (2, r)):
-        table.apply(batch, part, fold)
+        table.apply(batch, part)
+        table.compact()
+    return _state(table)
+
+
+@query("rollback_batch", unique_sql(where=f"commit_seq <= {MIDDLE}"))
+def _(s, d):
+    """The later half is applied and taken back."""
+    folder, r, c = new_folder(s, "rollback"), _rows(s, d), middle(s, d)
+    table = _table(s, folder)
+    table.apply(0, r.where(F.col("commit_seq") <= c))
+    table.apply(1, r.where(F.col("commit_seq") > c))
+    table.rollback(0)
+    return _state(table)
+
+
+@query("flow_out_of_order", f"SELECT table_id, commit_seq AS k, commit_seq, v FROM ({X.ROWS}) r WHERE op <> 'D'")
+def _(s, d):
+    """Each row has a key of its own, and the files come in the reverse of the log's order."""
+    folder, r = new_folder(s, "reverse"), _rows(s, d).withColumn("k", F.col("commit_seq"))
+    path, table, c = f"{folder}/log", _table(s, folder), middle(s, d)
+    for low, high in ((3 * c // 2, 4 * c), (c, 3 * c // 2), (c // 2, c), (-1, c // 2)):
+        r.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high)).write.mode("append").parquet(path)
+    follow.replicate(follow.stream(s, path), table, f"{folder}/checkpoint", compact_every=3)
     return _state(table)
 
 
@@ -185,7 +213,7 @@ def _(s, d):
 def _(s, d):
     folder = new_folder(s, "incremental")
     path, table = _files(_rows(s, d), folder), _table(s, folder)
-    follow.replicate(follow.stream(s, path), table, f"{folder}/checkpoint", KEYS)
+    follow.replicate(follow.stream(s, path), table, f"{folder}/checkpoint")
     return _state(table)
 
 
@@ -195,8 +223,8 @@ def _(s, d):
     folder, r, c = new_folder(s, "resume"), _rows(s, d), middle(s, d)
     path, table = f"{folder}/log", _table(s, folder)
     for part in (F.col("commit_seq") <= c, F.col("commit_seq") > c):
-        r.where(part).coalesce(1).write.mode("append").parquet(path)
-        follow.replicate(follow.stream(s, path), table, f"{folder}/checkpoint", KEYS)
+        r.where(part).write.mode("append").parquet(path)
+        follow.replicate(follow.stream(s, path), table, f"{folder}/checkpoint")
     return _state(table)
 
 
@@ -204,67 +232,55 @@ def _(s, d):
 def _(s, d):
     """Snapshot of the folded table at the middle, restored, then the log after its cursor."""
     folder, r, c = new_folder(s, "full"), _rows(s, d), middle(s, d)
-    base = follow.unique_fold(KEYS)(None, r.where(F.col("commit_seq") <= c))
-    S.snapshot(base, f"{folder}/snapshot")
+    S.snapshot(latest(r.where(F.col("commit_seq") <= c), KEYS, ["commit_seq"], F.expr("op = 'D'")), f"{folder}/snapshot")
     table = _table(s, folder)
-    table.apply(-1, s.read.parquet(f"{folder}/snapshot"), lambda old, new: new)
-    follow.replicate(follow.stream(s, _files(L.since(r, c), folder)), table, f"{folder}/checkpoint", KEYS)
+    table.apply(-1, s.read.parquet(f"{folder}/snapshot"))
+    follow.replicate(follow.stream(s, _files(L.since(r, c), folder)), table, f"{folder}/checkpoint")
     return _state(table)
 
 
-def _from_cursors(s, d, label):
+@query("flow_db_catchup", FOLD)
+def _(s, d):
     """Tables restored at cursors of their own; the log from the least cursor on, per table filtered."""
-    folder, r, cursors = new_folder(s, label), _rows(s, d), frame(s, d, X.CURSORS)
+    folder, r, cursors = new_folder(s, "catchup"), _rows(s, d), frame(s, d, X.CURSORS)
     known = r.join(cursors, "table_id").where("commit_seq <= cursor_seq").drop("cursor_seq")
+    S.snapshot(latest(known, KEYS, ["commit_seq"], F.expr("op = 'D'")), f"{folder}/snapshot")
     table = _table(s, folder)
-    S.snapshot(follow.unique_fold(KEYS)(None, known), f"{folder}/snapshot")
+    table.apply(-1, s.read.parquet(f"{folder}/snapshot"))
     start = cursors.agg(F.min("cursor_seq")).first()[0] or -1
-    path = _files(L.since(r, start), folder)
-    old = s.read.parquet(f"{folder}/snapshot")
-
-    def fold(state, changes):
-        fresh = filters.not_committed(changes.where("NOT restored").drop("restored"), cursors)
-        rest = changes.where("restored").drop("restored")
-        merged = rest.unionByName(fresh) if state is None else state.unionByName(fresh)
-        return follow.unique_fold(KEYS)(None, merged)
-
-    def handle(batch, number):
-        rows = batch.withColumn("restored", F.lit(False))
-        if number == 0:
-            rows = rows.unionByName(old.withColumn("restored", F.lit(True)))
-        table.apply(number, rows, fold)
-
-    follow.drain(follow.stream(s, path), f"{folder}/checkpoint", handle)
+    follow.replicate(follow.stream(s, _files(L.since(r, start), folder)), table, f"{folder}/checkpoint", lambda batch: filters.not_committed(batch, cursors))
     return _state(table)
 
 
-@query("flow_db_catchup", FOLD)
-def _(s, d):
-    return _from_cursors(s, d, "catchup")
-
-
 @query("flow_partial_sync", FOLD)
 def _(s, d):
     """Table 103 is lost midway, copied anew at its cursor under an alias, swapped in, and goes on."""
     folder, r, c = new_folder(s, "partial"), _rows(s, d), middle(s, d)
-    fold = follow.unique_fold(KEYS)
-    S.snapshot(fold(None, r.where(F.col("commit_seq") <= c)).where("table_id <> 103"), f"{folder}/target", ("table_id",))
-    S.snapshot(fold(None, r.where((F.col("table_id") == 103) & (F.col("commit_seq") <= c + 100))), f"{folder}/alias", ("table_id",))
-    S.overwrite_partitions(s.read.parquet(f"{folder}/alias"), f"{folder}/target", "table_id")
-    state = s.read.parquet(f"{folder}/target").withColumn("table_id", F.col("table_id").cast("bigint"))
-    rest = r.where((F.col("commit_seq") > c) & ((F.col("table_id") != 103) | (F.col("commit_seq") > c + 100)))
-    return fold(state, rest.select(*state.columns)).select("table_id", "k", "commit_seq", "v")
+    names, of = S.Names(s, f"{folder}/names"), F.col("table_id") == 103
+    tables = {"others": _table(s, f"{folder}/others"), "t_103": _table(s, f"{folder}/old"), "alias": _table(s, f"{folder}/alias")}
+    names.point({n: t.folder for n, t in tables.items() if n != "alias"})
+    tables["others"].apply(0, r.where((F.col("commit_seq") <= c) & ~of))
+    tables["t_103"].apply(0, r.where((F.col("commit_seq") <= c // 2) & of))
+    tables["alias"].apply(-1, latest(r.where(of & (F.col("commit_seq") <= c + 100)), KEYS, ["commit_seq"], F.expr("op = 'D'")))
+    names.point({"alias": tables["alias"].folder})
+    names.replace("t_103", "alias")
+    now = {n: S.ChangeTable(s, path, KEYS) for n, path in names.now().items()}
+    # The others go on from the middle, the new copy after its own cursor: what it has is not applied again.
+    rest = _files(r.where(F.col("commit_seq") > c), folder)
+    follow.replicate(follow.stream(s, rest), now["others"], f"{folder}/checkpoint", lambda b: b.where(~of))
+    follow.replicate(follow.stream(s, rest), now["t_103"], f"{folder}/checkpoint103", lambda b: b.where(of & (F.col("commit_seq") > c + 100)))
+    return _state(now["others"]).unionByName(_state(now["t_103"]))
 
 
 @query("skip_errors", f"SELECT 'quarantine' AS place, count(*) AS n FROM ({X.ROWS}) r WHERE v % 5 = 0 UNION ALL SELECT 'table', count(*) FROM ({unique_sql(where='v % 5 <> 0')}) u")
 def _(s, d):
     folder = new_folder(s, "skip")
-    path, table, fold = _files(_rows(s, d), folder), _table(s, folder), follow.unique_fold(KEYS)
+    path, table = _files(_rows(s, d), folder), _table(s, folder)
 
     def handle(batch, number):
         good, bad = follow.split_bad(batch, "v % 5 <> 0")
         bad.write.mode("overwrite").parquet(f"{folder}/quarantine/batch={number}")
-        table.apply(number, good, fold)
+        table.apply(number, good)
 
     follow.drain(follow.stream(s, path), f"{folder}/checkpoint", handle)
     count = lambda df, name: df.agg(F.lit(name).alias("place"), F.count("*").alias("n"))
@@ -285,7 +301,7 @@ def _(s, d):
     """Each file is delivered twice."""
     folder, part = new_folder(s, "dedup"), log(s, d).select("commit_seq", "ts", "type", "table_id")
     for _ in range(2):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/log")
-    once = follow.without_repeats(follow.stream(s, f"{folder}/log", 2), "3650 days")
+        part.repartitionByRange(4, "commit_seq").write.mode("append").parquet(f"{folder}/log")
+    once = follow.without_repeats(follow.stream(s, f"{folder}/log", 4), "3650 days")
     follow.drain(once, f"{folder}/checkpoint", lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     return s.read.parquet(f"{folder}/out").select("commit_seq", "type", "table_id")

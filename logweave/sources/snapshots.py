@@ -1,49 +1,76 @@
-"""Snapshots and restores: plain Parquet folders with a cursor beside them."""
+"""Snapshots, restores and tables that a log is applied to: plain Parquet folders."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .folders import children, delete, exists, rename
+from ..operators.folds import latest
+from .folders import children, delete, exists, read_text, write_text
+
+
+def _by_partition(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows of a partition come together, so that files don't multiply; large partitions are split over
+    several tasks, small ones share one."""
+    return rows.hint("rebalance", *map(F.col, columns)) if columns else rows
 
 
 def snapshot(rows: DataFrame, folder: str, partition_by: tuple[str, ...] = (), where: Column | None = None) -> None:
-    """Writes the rows, or those of some partitions: the predicate prunes partitions of the source.
-    With partition columns each one's rows are brought together first, so files don't multiply."""
+    """Writes the rows, or those of some partitions: the predicate prunes partitions of the source."""
     rows = rows if where is None else rows.where(where)
-    if partition_by:
-        rows = rows.repartition(*partition_by)
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+    _by_partition(rows, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
 
 
 def restore(spark: SparkSession, folder: str, target: str, partition_by: tuple[str, ...] = (), clean: bool = True) -> None:
     """Writes a snapshot over a target folder. clean: partitions that the snapshot lacks go, else
     they stay (dynamic partition overwrite)."""
-    rows = spark.read.parquet(folder)
-    if partition_by:
-        rows = rows.repartition(*partition_by)
-    writer = rows.write.mode("overwrite").partitionBy(*partition_by)
+    writer = _by_partition(spark.read.parquet(folder), partition_by).write.mode("overwrite").partitionBy(*partition_by)
     writer.option("partitionOverwriteMode", "static" if clean else "dynamic").parquet(target)
 
 
 def overwrite_partitions(rows: DataFrame, target: str, *partition_by: str) -> None:
     """Replaces the partitions that ``rows`` has; the others stay."""
-    rows.repartition(*partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(target)
+    _by_partition(rows, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(target)
+
+
+class Names:
+    """Which folder each table name stands for.
+
+    A change of any number of names is one new small file, seen whole or not at all: a reader finds the
+    old or the new folder behind a name and never none. Of two writers at once one gets a FileExistsError.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
 
+    def _files(self) -> list[str]:
+        return [p for p in children(self.spark, self.folder) if p.endswith(".json")]
 
-def swap_in(spark: SparkSession, staged: str, target: str, keep_old: bool = False) -> bool:
-    """Puts a complete staged folder in the place of ``target``. With keep_old both change places.
-    Idempotent: without a staged folder nothing happens."""
-    if not exists(spark, staged):
-        return False
-    aside = f"{target}__aside"
-    if exists(spark, target):
-        rename(spark, target, aside)
-    rename(spark, staged, target)
-    if exists(spark, aside):
-        rename(spark, aside, staged) if keep_old else delete(spark, aside)
-    return True
+    def now(self) -> dict[str, str]:
+        files = self._files()
+        return json.loads(read_text(self.spark, files[-1])) if files else {}
+
+    def point(self, changes: dict[str, str | None]) -> None:
+        """Names to folders; None takes the name away."""
+        named = {k: v for k, v in (self.now() | changes).items() if v is not None}
+        write_text(self.spark, f"{self.folder}/{len(self._files()):012d}.json", json.dumps(named))
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.now()[name])
+
+    def replace(self, target: str, staged: str, swap: bool = False) -> bool:
+        """The table ``staged`` takes the place of ``target``. With swap both change places, else the
+        old one goes, its folder too. Idempotent: without a staged table nothing happens."""
+        named = self.now()
+        if staged not in named:
+            return False
+        old = named.get(target)
+        self.point({target: named[staged], staged: old if swap else None})
+        if old and not swap:
+            delete(self.spark, old)
+        return True
 
 
 def tables_to_clean(target_tables: DataFrame, snapshot_tables: DataFrame) -> DataFrame:
@@ -51,54 +78,65 @@ def tables_to_clean(target_tables: DataFrame, snapshot_tables: DataFrame) -> Dat
     return target_tables.where("kind = 'TABLE'").join(snapshot_tables.select("name"), "name", "left_anti").select("name")
 
 
-class VersionedTable:
-    """A keyed table in Parquet whose batches become visible by one commit row each.
+class ChangeTable:
+    """A keyed table kept as the changes of each batch, one Parquet folder a batch.
 
-    A batch rewrites only the partitions it touches, into files of its own, then commits the list
-    of (partition, version) it replaces.  A batch that has a commit isn't applied again, so delivery
-    may repeat; files without a commit are never read.
+    A batch's folder has the last change of each of its keys, delete marks too, and reading folds the
+    folders.  So a change counts by its position in the log, whatever batch brings it and whichever batch
+    comes first; applying a batch costs what the batch costs.  A folder counts once its write is
+    complete, and a batch that has one is not applied again, so delivery may repeat.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, partition: str) -> None:
-        self.spark, self.folder, self.partition = spark, folder, partition
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: str = "commit_seq", deleted: str = "op = 'D'") -> None:
+        self.spark, self.folder, self.keys, self.order, self.deleted = spark, folder, keys, order, deleted
 
-    def commits(self) -> DataFrame | None:
-        """``batch, max_seq, part, version``, or None before the first commit."""
-        done = [p for p in children(self.spark, f"{self.folder}/commits") if exists(self.spark, f"{p}/_SUCCESS")]
-        return self.spark.read.parquet(*done) if done else None
+    def _complete(self, kind: str) -> dict[int, str]:
+        found = [p for p in children(self.spark, self.folder) if f"/{kind}-" in p and exists(self.spark, f"{p}/_SUCCESS")]
+        return {int(p.rpartition(f"/{kind}-")[2]): p for p in found}
 
-    def cursor(self) -> int:
-        commits = self.commits()
-        return -1 if commits is None else commits.agg(F.max("max_seq")).first()[0]
+    def _folders(self) -> tuple[int | None, list[str]]:
+        """(last batch of the base in force, folders to read)."""
+        bases, batches = self._complete("base"), self._complete("batch")
+        last = max(bases, default=None)
+        newer = [p for n, p in batches.items() if last is None or n > last]
+        return last, newer if last is None else [bases[last], *newer]
 
     def has(self, batch: int) -> bool:
-        return exists(self.spark, f"{self.folder}/commits/batch-{batch}/_SUCCESS")
-
-    def versions(self) -> dict[str, int]:
-        """The version in force of each partition: table metadata, one row per partition."""
-        commits = self.commits()
-        if commits is None:
-            return {}
-        now = commits.where("part IS NOT NULL").groupBy("part").agg(F.max_by("version", "batch").alias("version"))
-        return {r.part: r.version for r in now.collect()}
-
-    def read(self, parts: set[str] | None = None) -> DataFrame | None:
-        paths = [f"{self.folder}/data/version={v}/{self.partition}={p}" for p, v in self.versions().items() if parts is None or p in parts]
-        paths = [p for p in paths if exists(self.spark, p)]
-        if not paths:
-            return None
-        return self.spark.read.option("basePath", f"{self.folder}/data").parquet(*paths).drop("version")
-
-    def apply(self, batch: int, changes: DataFrame, fold) -> bool:
-        """Folds ``changes`` after the cursor into their partitions: fold(old rows or None, changes)."""
+        last, _ = self._folders()
+        return (last is not None and batch <= last) or exists(self.spark, f"{self.folder}/batch-{batch}/_SUCCESS")
+
+    def apply(self, batch: int, changes: DataFrame) -> bool:
         if self.has(batch):
             return False
-        changes = changes.where(F.col("commit_seq") > self.cursor())
-        touched = [(str(r[0]), r[1]) for r in changes.groupBy(self.partition).agg(F.max("commit_seq")).collect()]
-        if touched:
-            new = fold(self.read({p for p, _ in touched}), changes)
-            new.repartition(self.partition).write.mode("overwrite").partitionBy(self.partition).parquet(f"{self.folder}/data/version={batch}")
-        rows = [(batch, m, p, batch) for p, m in touched] or [(batch, -1, None, batch)]
-        commit = self.spark.createDataFrame(rows, "batch long, max_seq long, part string, version long")
-        commit.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/batch-{batch}")
+        latest(changes, self.keys, [self.order]).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
         return True
+
+    def changes(self) -> DataFrame | None:
+        """The last change of each key, delete marks too."""
+        _, folders = self._folders()
+        return latest(self.spark.read.parquet(*folders), self.keys, [self.order]) if folders else None
+
+    def read(self) -> DataFrame | None:
+        folded = self.changes()
+        return None if folded is None else folded.where(~F.expr(self.deleted))
+
+    def rollback(self, batch: int) -> None:
+        """Takes back all batches after ``batch``; they may then be applied anew."""
+        last, _ = self._folders()
+        if last is not None and batch < last:
+            raise ValueError(f"batches up to {last} are compacted")
+        for n, path in self._complete("batch").items():
+            if n > batch:
+                delete(self.spark, path)
+
+    def compact(self) -> None:
+        """All complete batches as one base. Delete marks stay in it, as older changes may still come. What
+        the base replaces goes at the next call, so readers that have begun can end."""
+        bases, batches = self._complete("base"), self._complete("batch")
+        last = max(bases, default=None)
+        for kind in (bases, batches):
+            for n, path in kind.items():
+                if last is not None and (n < last or (n == last and kind is batches)):
+                    delete(self.spark, path)
+        if any(last is None or n > last for n in batches):
+            self.changes().write.mode("overwrite").parquet(f"{self.folder}/base-{max(batches)}")

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.folds import latest
-from ..sources.snapshots import VersionedTable
+from ..sources.snapshots import ChangeTable
 
 
 def stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
@@ -22,21 +21,16 @@ def drain(source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
-def unique_fold(keys: list[str], deleted: str = "op = 'D'") -> Callable[[DataFrame | None, DataFrame], DataFrame]:
-    """Fold of a unique-key table with delete marks, for VersionedTable.apply."""
+def replicate(source: DataFrame, table: ChangeTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d, compact_every: int = 50) -> None:
+    """Applies the stream to the table. The table's folders, not only the checkpoint, say which batches
+    are done; a batch that comes again after a failure changes nothing."""
 
-    def fold(old: DataFrame | None, changes: DataFrame) -> DataFrame:
-        rows = changes if old is None else old.unionByName(changes)
-        return latest(rows, keys, ["commit_seq"], F.expr(deleted))
+    def handle(batch: DataFrame, number: int) -> None:
+        table.apply(number, prepare(batch))
+        if number % compact_every == compact_every - 1:
+            table.compact()
 
-    return fold
-
-
-def replicate(source: DataFrame, table: VersionedTable, checkpoint: str, keys: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
-    """Applies the stream to the table. The table's commits, not only the checkpoint, say which
-    batches are done; a batch that comes again after a failure changes nothing."""
-    fold = unique_fold(keys)
-    drain(source, checkpoint, lambda batch, number: table.apply(number, prepare(batch), fold))
+    drain(source, checkpoint, handle)
 
 
 def split_bad(batch: DataFrame, good: str) -> tuple[DataFrame, DataFrame]:

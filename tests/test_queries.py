@@ -30,6 +30,15 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_buckets_are_even(spark):
+    """Every row is in a bucket, and none has twice its share."""
+    from logweave.plans import table_queries as t
+
+    rows, sizes = t.rows(spark, SF), [r.n for r in t.QUERIES["bucket_sizes"](spark, SF).collect()]
+    keys = rows.select("table_id", "k").distinct().count()
+    assert sum(sizes) == rows.count() and len(sizes) == min(16, keys) and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_sketches_are_near(spark):
     from logweave.plans import table_queries as t
 
@@ -52,25 +61,75 @@ def test_cursor_reaches_the_scan(spark, tmp_path):
     assert "GreaterThan(commit_seq,500)" in plan and "k#" not in plan.split("ReadSchema")[1]
 
 
-def test_any_split_of_the_log_gives_the_same_table(spark, tmp_path):
+def test_any_split_and_order_of_the_log_gives_the_same_table(spark, tmp_path):
     from logweave.operators.folds import latest
     from logweave.plans.flow_queries import _rows
-    from logweave.sources.snapshots import VersionedTable
-    from logweave.streaming.follow import unique_fold
+    from logweave.sources.snapshots import ChangeTable
 
-    rows = _rows(spark, SF)
-    want = sorted(map(str, latest(rows, ["table_id", "k"], ["commit_seq"], F.expr("op = 'D'")).select("table_id", "k", "commit_seq", "v").collect()))
+    keys, rows = ["table_id", "k"], _rows(spark, SF)
+    want = sorted(map(str, latest(rows, keys, ["commit_seq"], F.expr("op = 'D'")).select(*keys, "commit_seq", "v").collect()))
     for number, cuts in enumerate(([300], [10, 11, 700])):
-        table = VersionedTable(spark, f"file://{tmp_path}/t{number}", "table_id")
-        for batch, (lo, hi) in enumerate(zip([-1, *cuts], [*cuts, 10**9])):
+        table = ChangeTable(spark, f"file://{tmp_path}/t{number}", keys)
+        parts = list(zip([-1, *cuts], [*cuts, 10**9]))
+        for batch, (lo, hi) in enumerate(reversed(parts) if number else parts):
             part = rows.where(F.col("commit_seq").between(lo + 1, hi))
-            assert table.apply(batch, part, unique_fold(["table_id", "k"]))
-            assert not table.apply(batch, part, unique_fold(["table_id", "k"]))
-        got = table.read().select(F.col("table_id").cast("bigint").alias("table_id"), "k", "commit_seq", "v")
+            assert table.apply(batch, part)
+            assert not table.apply(batch, part)
+            if batch == 1:
+                table.compact()
+                table.compact()
+        got = table.read().select(*keys, "commit_seq", "v")
         assert sorted(map(str, got.collect())) == want
 
 
-def test_llm_is_optional(monkeypatch):
-    monkeypatch.setattr(entry, "_there", lambda name: False)
-    assert NAMES and set(entry.queries()) == set(NAMES) and "op3_exact_dedup" not in entry.oracle_sql()
-    assert importlib.util.find_spec("logweave") is not None
+def test_rollback_and_unfinished_batches(spark, tmp_path):
+    from logweave.sources.snapshots import ChangeTable
+
+    table = ChangeTable(spark, f"file://{tmp_path}/t", ["k"])
+    assert table.read() is None
+    rows = spark.createDataFrame([(1, 5, "U"), (2, 6, "U"), (1, 4, "D")], "k long, commit_seq long, op string")
+    table.apply(0, rows.limit(1))
+    table.apply(1, rows)
+    assert table.read().count() == 2
+    table.rollback(0)
+    assert table.read().count() == 1 and table.apply(1, rows)
+    rows.write.parquet(f"{tmp_path}/t/batch-2")
+    (tmp_path / "t" / "batch-2" / "_SUCCESS").unlink()
+    assert not table.has(2) and table.read().count() == 2
+    table.compact()
+    with pytest.raises(ValueError):
+        table.rollback(0)
+    assert table.has(0) and table.has(1) and table.apply(2, spark.createDataFrame([(2, 7, "D")], "k long, commit_seq long, op string"))
+    assert [r.k for r in table.read().collect()] == [1]
+
+
+def test_names_always_stand_for_a_table(spark, tmp_path):
+    from logweave.sources.snapshots import Names
+
+    names = Names(spark, f"file://{tmp_path}/names")
+    for n in ("a", "b"):
+        spark.range(1 + (n == "b")).write.parquet(f"{tmp_path}/{n}")
+        names.point({n: f"file://{tmp_path}/{n}"})
+    assert names.replace("a", "b", swap=True) and names.read("a").count() == 2 and names.read("b").count() == 1
+    assert names.replace("a", "b") and not names.replace("a", "b") and names.read("a").count() == 1 and set(names.now()) == {"a"}
+    assert not (tmp_path / "b").exists()
+    late = Names(spark, names.folder)
+    late._files = lambda: []
+    with pytest.raises(FileExistsError):
+        late.point({"c": "x"})
+
+
+@pytest.mark.parametrize("broken", ["__missing__", "corpus_pipeline", "logweave.llm.registry"])
+def test_llm_is_optional(monkeypatch, broken):
+    """Without the subpackage, or if it can't be imported, the other queries stay."""
+    load = entry.importlib.import_module
+
+    def refuse(name):
+        if name == broken or broken == "__missing__":
+            raise ImportError(name)
+        return load(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", refuse)
+    left = set(entry.queries())
+    assert NAMES and set(NAMES) <= left and "pipeline" not in left
+    assert ("op3_exact_dedup" in entry.oracle_sql()) == (broken == "corpus_pipeline" and importlib.util.find_spec("logweave.llm") is not None)
