@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PARTITION = "partitionId:bigint,version:bigint,isTempPartition:boolean"
-#: Schema of each type's payload; fields that a payload has besides are ignored.
+# The schema of each type's payload. Fields that a payload has besides are ignored.
 SCHEMAS = {
     "UPSERT": f"commitSeq bigint, txnId bigint, label string, tableRecords map<string,struct<partitionRecords:array<struct<{_PARTITION}>>,indexIds:array<bigint>>>",
-    "ADD_PARTITION": "sql string, tableId bigint, distributionInfo string, di string",
+    "ADD_PARTITION": "sql string, tableId bigint, isTemp boolean, distributionInfo string, di string",
     "CREATE_TABLE": "sql string, tableId bigint",
     "DROP_PARTITION": "sql string, tableId bigint",
     "DROP_TABLE": "tableId bigint, tableName string",
-    "ALTER_JOB": "tableId bigint, tableName string, jobState string, iim map<string,bigint>",
+    "ALTER_JOB": "type string, tableId bigint, tableName string, jobState string, iim map<string,bigint>",
     "MODIFY_TABLE_ADD_OR_DROP_COLUMNS": "rawSql string, tableId bigint",
     "RENAME_COLUMN": "tableId bigint, colName string, newColName string",
     "MODIFY_COMMENT": "tblId bigint, type string, tblComment string, colToComment map<string,string>",
@@ -75,6 +75,22 @@ def upsert_indexes(records: DataFrame) -> DataFrame:
     return by_table.select("commit_seq", F.col("id").cast("bigint").alias("table_id"), F.explode("r.indexIds").alias("index_id"))
 
 
+def shadow_indexes(records: DataFrame) -> DataFrame:
+    """``commit_seq, table_id, job_type, job_state, shadow_index, origin_index``: a row per shadow of an
+    alter job; a job without shadows has none."""
+    jobs = accepted(records, "ALTER_JOB").select(
+        "commit_seq", F.col("p.tableId").alias("table_id"), F.col("p.type").alias("job_type"), F.col("p.jobState").alias("job_state"), F.explode("p.iim").alias("id", "origin_index"))
+    return jobs.withColumn("shadow_index", F.col("id").cast("bigint")).drop("id")
+
+
+def comments(records: DataFrame) -> DataFrame:
+    """``commit_seq, table_id, column, comment``: a row per commented column, or one with a null column for
+    the table's own comment."""
+    p = accepted(records, "MODIFY_COMMENT").select("commit_seq", F.col("p.tblId").alias("table_id"), "p.type", "p.tblComment", "p.colToComment")
+    of_columns = p.where("type = 'COLUMN'").select("commit_seq", "table_id", F.explode("colToComment").alias("column", "comment"))
+    return of_columns.unionByName(p.where("type = 'TABLE'").select("commit_seq", "table_id", F.lit(None).cast("string").alias("column"), F.col("tblComment").alias("comment")))
+
+
 def rename_kind() -> Column:
     """What a RENAME_TABLE payload renames; partition before rollup before table."""
     named = lambda a, b: ~_blank(f"p.{a}") & ~_blank(f"p.{b}")

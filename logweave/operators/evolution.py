@@ -34,6 +34,12 @@ def latest_comments(records: DataFrame) -> DataFrame:
     return records.groupBy("table_id", "column").agg(F.max_by("comment", "commit_seq").alias("comment"))
 
 
+def with_comments(df: DataFrame, comments: dict[str, str]) -> DataFrame:
+    """``df`` with comments on its columns, as a table written from it keeps them; others stay."""
+    fields = [f.metadata | {"comment": comments[f.name]} if f.name in comments else f.metadata for f in df.schema]
+    return df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=m) for f, m in zip(df.schema, fields)])
+
+
 def schema_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """``table_name, column, difference`` of two column catalogues (table_name, column, type, place, is_key)."""
     a = source.select("table_name", "column", F.struct("type", "place", "is_key").alias("a"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .asof import as_of
+
 IGNORED = ("ALTER_DATABASE_PROPERTY", "MODIFY_TABLE_PROPERTY", "BARRIER")
 
 
@@ -24,25 +26,16 @@ def without_temporary(partitions: DataFrame) -> DataFrame:
     return partitions.where(~F.col("is_temp"))
 
 
-def shadow_intervals(alter: DataFrame) -> DataFrame:
-    """``index_id, from_seq, to_seq``: from a PENDING record to the next FINISHED or CANCELLED one
-    of the same shadow index, open-ended without one."""
-    ends = F.min(F.when(F.col("job_state").isin("FINISHED", "CANCELLED"), F.col("commit_seq"))).over(_after("shadow_index"))
-    return alter.withColumn("to_seq", ends).where("job_state = 'PENDING'").select(F.col("shadow_index").alias("index_id"), F.col("commit_seq").alias("from_seq"), "to_seq")
-
-
-def _after(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("commit_seq").rowsBetween(1, Window.unboundedFollowing)
-
-
-def without_shadows(indexes: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Indexes that are no active shadow at their commit: the index id is the equi key, the
-    interval a condition on top."""
-    i = intervals.withColumnRenamed("index_id", "shadow_id")
-    active = (F.col("index_id") == F.col("shadow_id")) & (F.col("commit_seq") >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("commit_seq") < F.col("to_seq")))
-    return indexes.join(i, active, "left_anti")
+def without_shadows(indexes: DataFrame, alter: DataFrame) -> DataFrame:
+    """Uses of indexes (index_id, commit_seq) that are no active shadow then.  ``alter`` has alter jobs
+    (shadow_index, commit_seq, job_type, job_state): a PENDING one makes the shadow active, a CANCELLED
+    one or a finished schema change ends that; a finished rollup does not."""
+    ends = (F.col("job_state") == "CANCELLED") | (F.col("job_state") == "FINISHED") & (F.col("job_type") == "SCHEMA_CHANGE")
+    state = F.when(F.col("job_state") == "PENDING", True).when(ends, False)
+    uses = indexes.withColumns({"__use": F.lit(True), "__set": F.lit(None).cast("boolean")})
+    sets = alter.select(F.col("shadow_index").alias("index_id"), "commit_seq", F.lit(False).alias("__use"), state.alias("__set")).where("__set IS NOT NULL")
+    both = as_of(uses.unionByName(sets, allowMissingColumns=True), ["index_id"], "commit_seq", "__set", "__active")
+    return both.where(F.col("__use") & ~F.coalesce("__active", F.lit(False))).drop("__use", "__set", "__active")
 
 
 def without_ignored(log: DataFrame) -> DataFrame:

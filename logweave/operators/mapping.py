@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import as_of
+
 
 def tables_by_name(source: DataFrame, target: DataFrame) -> DataFrame:
     """``src_id, name, dst_id, problem``: source tables without a name are skipped, ones that the
@@ -31,8 +33,28 @@ def indexes_by_name(source: DataFrame, target: DataFrame, source_table: Column,
 
 def name_asof(names: DataFrame) -> DataFrame:
     """``names`` (table_id, commit_seq, new_name or null) with the name valid at each position."""
-    w = Window.partitionBy("table_id").orderBy("commit_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return names.withColumn("name", F.last("new_name", ignorenulls=True).over(w))
+    return as_of(names, ["table_id"], "commit_seq", "new_name", "name")
+
+
+def renames(records: DataFrame, first: DataFrame) -> DataFrame:
+    """``kind, id, commit_seq, old_name, new_name``: the history of each table, partition and rollup, from
+    rename records (kind, id, commit_seq, old_name, new_name) and the names at the start (kind, id,
+    name).  The old name is the one in force, whatever the record says."""
+    start = first.select("kind", "id", F.lit(-1).cast("long").alias("commit_seq"), F.col("name").alias("new_name"))
+    w = Window.partitionBy("kind", "id").orderBy("commit_seq")
+    all_names = records.select("kind", "id", "commit_seq", "new_name").unionByName(start)
+    return all_names.withColumn("old_name", F.lag("new_name").over(w)).where("commit_seq >= 0").select("kind", "id", "commit_seq", "old_name", "new_name")
+
+
+def renamed(objects: DataFrame, records: DataFrame) -> DataFrame:
+    """``objects`` (kind, id, name) under their last names. Renaming an object that is unknown, or to a name
+    that another one of its kind has, is a ``problem``."""
+    last = records.groupBy("kind", "id").agg(F.max_by("new_name", "commit_seq").alias("new_name"))
+    both = objects.join(last, ["kind", "id"], "full_outer")
+    out = both.select("kind", "id", F.coalesce("new_name", "name").alias("name"), F.col("name").isNull().alias("unknown"))
+    taken = out.where("NOT unknown").groupBy("kind", "name").agg(F.count("*").alias("n"))
+    problem = F.when(F.col("unknown"), "unknown object").when(F.col("n") > 1, "name is taken")
+    return out.join(taken, ["kind", "name"], "left").select("kind", "id", "name", problem.alias("problem"))
 
 
 def layout_mismatch(source: DataFrame, target: DataFrame, *keys: str) -> DataFrame:

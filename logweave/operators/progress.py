@@ -26,9 +26,10 @@ def catchup_point(log: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def lag_of(log: DataFrame, cursors: DataFrame, *keys: str) -> DataFrame:
-    """``keys, lag``: records after the cursor; keys without such records have lag 0."""
-    joined = cursors.join(log.select(*keys, "commit_seq"), list(keys), "left")
-    return joined.groupBy(*keys).agg(F.count_if(F.col("commit_seq") > F.col("cursor_seq")).alias("lag"))
+    """``keys, lag``: records after the cursor; keys without such records have lag 0. The log meets the
+    cursors, which Spark broadcasts if they are small, and is counted before it is shuffled."""
+    after = log.select(*keys, "commit_seq").join(cursors, list(keys)).where("commit_seq > cursor_seq").groupBy(*keys).agg(F.count("*").alias("lag"))
+    return cursors.select(*keys).join(after, list(keys), "left").select(*keys, F.coalesce("lag", F.lit(0)).cast("long").alias("lag"))
 
 
 def counters(log: DataFrame, *keys: str) -> DataFrame:
@@ -52,13 +53,27 @@ def full_sync_events(progress: DataFrame) -> DataFrame:
     return progress.withColumn("before", before).where("before IS NOT NULL AND before != full_sync_start_at").drop("before")
 
 
-def action(kind: Column, job_state: Column, strict: Column) -> Column:
-    """What a record calls for. An ALTER_JOB that hasn't finished calls for nothing."""
+# Record types.
+_NO_EFFECT = ("BARRIER", "ALTER_DATABASE_PROPERTY", "MODIFY_TABLE_PROPERTY")
+_DDL = ("ADD_PARTITION", "DROP_PARTITION", "CREATE_TABLE", "DROP_TABLE", "TRUNCATE_TABLE", "RENAME_TABLE", "RENAME_COLUMN", "MODIFY_COMMENT", "MODIFY_TABLE_ADD_OR_DROP_COLUMNS")
+
+
+def action(kind: Column, job_type: Column, job_state: Column, strict: Column, temp_name: Column) -> Column:
+    """What a record calls for.  An ALTER_JOB that hasn't finished calls for nothing; a finished schema change
+    for a partial sync that replaces the table, any other finished one (a rollup) for a full sync.
+    Partitions are replaced by a partial sync only for a strict range and without temporary names."""
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    alter = F.when(~flag(job_state == "FINISHED"), "IGNORE").when(job_type == "SCHEMA_CHANGE", "PARTIAL_SYNC_REPLACE").otherwise("FULL_SYNC")
+    replace = F.when(flag(strict) & ~flag(temp_name), "PARTIAL_SYNC").otherwise("FULL_SYNC")
     return (
-        F.when(kind == "UPSERT", "APPLY_ROWS")
-        .when(kind.isin("BARRIER", "ALTER_DATABASE_PROPERTY", "MODIFY_TABLE_PROPERTY"), "IGNORE")
-        .when(kind == "DUMMY", "FULL_SYNC")
-        .when(kind == "ALTER_JOB", F.when(job_state == "FINISHED", "PARTIAL_SYNC").otherwise("IGNORE"))
-        .when(kind == "REPLACE_PARTITIONS", F.when(strict, "PARTIAL_SYNC").otherwise("FULL_SYNC"))
-        .when(kind.isin("ADD_PARTITION", "DROP_PARTITION", "CREATE_TABLE", "DROP_TABLE", "TRUNCATE_TABLE", "RENAME_TABLE", "RENAME_COLUMN", "MODIFY_COMMENT", "MODIFY_TABLE_ADD_OR_DROP_COLUMNS"), "APPLY_DDL")
-        .otherwise("ERROR"))
+        F.when(kind == "UPSERT", "APPLY_ROWS").when(kind.isin(*_NO_EFFECT), "IGNORE").when(kind == "DUMMY", "FULL_SYNC")
+        .when(kind == "ALTER_JOB", alter).when(kind == "REPLACE_PARTITIONS", replace).when(kind.isin(*_DDL), "APPLY_DDL").otherwise("ERROR"))
+
+
+def to_resync(failures: DataFrame, forced: DataFrame) -> DataFrame:
+    """``table_id, since_seq, reason``: tables that need a new snapshot, because an apply failed for a
+    cause of category "meta" (failures: table_id, commit_seq, category) or by request (forced: table_id,
+    commit_seq). Other failures are tried again and ask for none; a panic stops the job."""
+    why = failures.where("category = 'meta'").select("table_id", "commit_seq", F.lit("meta error").alias("reason"))
+    asked = forced.select("table_id", "commit_seq", F.lit("forced").alias("reason"))
+    return why.unionByName(asked).groupBy("table_id").agg(F.min("commit_seq").alias("since_seq"), F.min_by("reason", F.struct("commit_seq", "reason")).alias("reason"))

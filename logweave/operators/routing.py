@@ -36,10 +36,11 @@ def day_of(ts: str) -> Column:
     return F.to_date(F.date_trunc("day", ts))
 
 
-_BOUND = r"\(\s*\(\s*\(([^()]*)\)\s*\)\s*\)"
-
-
-def normal_bounds(sql: Column) -> tuple[Column, Column]:
-    """(sql, unpartitioned): triple parentheses of a list bound become double ones; a range
-    without bounds says that the table is not partitioned."""
-    return F.regexp_replace(sql, _BOUND, r"(($1))"), sql.contains("VALUES [(), ())")
+def add_partition_sql(sql: Column, temporary: Column) -> Column:
+    """The text of an ADD PARTITION as a target takes it: the clause of an empty range goes, with the
+    parenthesis after it; triple parentheses of a list become double ones; a temporary partition is said to
+    be one."""
+    out = F.regexp_replace(sql, r"VALUES \[\(\), \(\)\) \([^)]+\)", "")
+    out = F.regexp_replace(out, r"VALUES IN \(\(\((.*)\)\)\)", "VALUES IN (($1))")
+    named = out.contains("ADD TEMPORARY PARTITION")
+    return F.when(temporary & ~named, F.replace(out, F.lit("ADD PARTITION"), F.lit("ADD TEMPORARY PARTITION"))).otherwise(out)

@@ -40,7 +40,7 @@ FROM (SELECT table_id, max(max(commit_seq)) OVER () AS m FROM ({LOG}) l GROUP BY
 """
 PARTS = f"SELECT DISTINCT table_id, part_day, '[' || part_day || ', ' || (part_day + 1) || ')' AS part_range FROM ({LOG}) l"
 ALTER = f"""
-SELECT commit_seq, table_id, table_id * 10 + 9 AS shadow_index, CASE CAST(floor(commit_seq / 109) AS BIGINT) % 4
+SELECT commit_seq, table_id, table_id * 10 + 9 AS shadow_index, CASE WHEN commit_seq % 5 = 0 THEN 'ROLLUP' ELSE 'SCHEMA_CHANGE' END AS job_type, CASE CAST(floor(commit_seq / 109) AS BIGINT) % 4
   WHEN 0 THEN 'PENDING' WHEN 1 THEN 'FINISHED' WHEN 2 THEN 'PENDING' ELSE 'CANCELLED' END AS job_state
 FROM ({LOG}) l WHERE type = 'ALTER_JOB'
 """
@@ -50,13 +50,13 @@ SELECT k, st, p, CASE WHEN k % 70 = 1 THEN cents + 1 ELSE cents END AS cents FRO
 UNION ALL SELECT k + 10000000, st, p, cents FROM ({SOURCE}) s WHERE k % 90 = 2
 """
 VIEWS = """
-SELECT CAST(n_nationkey AS BIGINT) AS rec, 'v_' || n_nationkey AS name, 'CREATE VIEW v_' || n_nationkey || ' AS SELECT * FROM `internal`.`src`.`t_'
-  || (100 + n_nationkey % 10) || '`' AS sql_text FROM nation
+SELECT CAST(c_custkey AS BIGINT) AS rec, 'v_' || c_custkey AS name, 'CREATE VIEW v_' || c_custkey || ' AS SELECT * FROM `internal`.`src`.`t_'
+  || (100 + c_custkey % 10) || '`' AS sql_text FROM customer
 """
 PROGRESS = f"""
 SELECT 'job_' || (k % 5) AS job, commit_seq, ts AS persisted_at, commit_seq - commit_seq % 1000 AS full_sync_start_at,
   CASE commit_seq % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 500 ELSE 501 END AS sync_state
-FROM ({LOG}) l WHERE commit_seq % 20 < 5
+FROM ({LOG}) l
 """
 
 

@@ -132,6 +132,26 @@ def _(s, d):
     return _overwritten(s, d).groupBy("p").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 
+def _refreshed(s, d, define):
+    """A view of the replica whose partition 1998 is refreshed after the base has changed there."""
+    folder = new_folder(s, "view")
+    S.snapshot(frame(s, d, X.REPLICA), f"{folder}/base", ("p",))
+    S.refresh_view(s.read.parquet(f"{folder}/base"), define, f"{folder}/view", "p")
+    S.overwrite_partitions(frame(s, d, X.SOURCE).where("p = 1998"), f"{folder}/base", "p")
+    S.refresh_view(s.read.parquet(f"{folder}/base"), define, f"{folder}/view", "p", touched=[1998])
+    return s.read.parquet(f"{folder}/view").withColumn("p", F.col("p").cast("bigint"))
+
+
+@query("materialized_view", f"SELECT k, p, cents FROM ({_OVER}) o WHERE st <> 'P'")
+def _(s, d):
+    return _refreshed(s, d, lambda base: base.where("st <> 'P'").select("k", "p", "cents"))
+
+
+@query("agg_view", f"SELECT p, st, count(*) AS n, sum(cents)::BIGINT AS cents FROM ({_OVER}) o GROUP BY p, st")
+def _(s, d):
+    return _refreshed(s, d, lambda base: base.groupBy("p", "st").agg(F.count("*").alias("n"), F.sum("cents").alias("cents")))
+
+
 # --- following the log --------------------------------------------------------------------------------
 
 

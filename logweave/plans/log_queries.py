@@ -93,15 +93,10 @@ _DECODE = {
         {"table_id": "p.tableId", "is_view": r"p.sql RLIKE '(?i)^CREATE\\s+VIEW'"}, {"table_id": "table_id", "is_view": "commit_seq % 2 = 0"}),
     "decode_drop_partition": ("DROP_PARTITION", "DROP_PARTITION", """'{"tableId":' || table_id || ',"sql":"DROP PARTITION p' || part_day || '"}'""",
         {"table_id": "p.tableId", "partition_name": r"regexp_extract(p.sql, 'PARTITION\\s+(\\w+)', 1)"}, {"table_id": "table_id", "partition_name": "'p' || part_day"}),
-    "decode_alter_job": ("ALTER_JOB", "ALTER_JOB", """'{"tableId":' || table_id || ',"tableName":"t' || table_id || '","jobState":"' || CASE WHEN commit_seq % 2 = 0 THEN 'FINISHED' ELSE 'PENDING' END || '","iim":{"' || (table_id * 10 + 9) || '":' || table_id || '}}'""",
-        {"table_id": "p.tableId", "table_name": "p.tableName", "finished": "p.jobState = 'FINISHED'", "shadow_index": "CAST(map_keys(p.iim)[0] AS BIGINT)", "origin_index": "map_values(p.iim)[0]"},
-        {"table_id": "table_id", "table_name": "'t' || table_id", "finished": "commit_seq % 2 = 0", "shadow_index": "table_id * 10 + 9", "origin_index": "table_id"}),
     "decode_columns": ("MODIFY_TABLE_ADD_OR_DROP_COLUMNS", "MODIFY_TABLE_ADD_OR_DROP_COLUMNS", """'{"tableId":' || table_id || ',"rawSql":"ADD COLUMN c' || commit_seq || '"}'""",
         {"table_id": "p.tableId", "raw_sql": "p.rawSql"}, {"table_id": "table_id", "raw_sql": "'ADD COLUMN c' || commit_seq"}),
     "decode_rename_column": ("RENAME_COLUMN", "MODIFY_TABLE_ADD_OR_DROP_COLUMNS", """'{"tableId":' || table_id || ',"colName":"a","newColName":"b' || k || '"}'""",
         {"table_id": "p.tableId", "old_name": "p.colName", "new_name": "p.newColName"}, {"table_id": "table_id", "old_name": "'a'", "new_name": "'b' || k"}),
-    "decode_comment": ("MODIFY_COMMENT", "MODIFY_TABLE_ADD_OR_DROP_COLUMNS", """'{"tblId":' || table_id || ',"type":"' || CASE commit_seq % 3 WHEN 0 THEN 'COLUMN' WHEN 1 THEN 'TABLE' ELSE 'INDEX' END || '","colToComment":{"c":"n' || k || '"},"tblComment":"t' || k || '"}'""",
-        {"table_id": "p.tblId", "comment": "IF(p.type = 'COLUMN', p.colToComment['c'], p.tblComment)"}, {"table_id": "table_id", "comment": "CASE commit_seq % 3 WHEN 0 THEN 'n' ELSE 't' END || k"}),
     "decode_rename_table": ("RENAME_TABLE", "RENAME_TABLE", """'{"tb":' || table_id || CASE commit_seq % 3 WHEN 0 THEN ',"nT":"x","oT":"y"}' WHEN 1 THEN ',"nR":"x","oR":"y"}' ELSE ',"nP":"x","oP":"y"}' END""",
         {"table_id": "p.tb", "kind": None}, {"table_id": "table_id", "kind": "CASE commit_seq % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'ROLLUP' ELSE 'PARTITION' END"}),
     "decode_truncate": ("TRUNCATE_TABLE", "TRUNCATE_TABLE", """'{"tblId":' || table_id || ',"isEntireTable":' || CASE WHEN commit_seq % 2 = 0 THEN 'true' ELSE 'false' END || ',"rawSql":"' || CASE WHEN commit_seq % 2 = 0 THEN '' ELSE 'PARTITIONS (p1, p' || part_day || ')' END || '"}'""",
@@ -116,9 +111,8 @@ def _payload(kind: str, text: str) -> str:
 
 def _decode(name: str):
     kind, of, text, columns, same = _DECODE[name]
-    valid = " AND commit_seq % 3 <> 2" if name == "decode_comment" else ""
 
-    @query(name, f"SELECT commit_seq, {', '.join(f'{e} AS {c}' for c, e in same.items())} FROM ({X.LOG}) l WHERE type = '{of}'{valid}")
+    @query(name, f"SELECT commit_seq, {', '.join(f'{e} AS {c}' for c, e in same.items())} FROM ({X.LOG}) l WHERE type = '{of}'")
     def run(s, d):
         got = P.accepted(frame(s, d, _payload(of, text)), kind)
         return got.select("commit_seq", *[(F.expr(e) if e else _DERIVED[name, c]()).alias(c) for c, e in columns.items()])
@@ -127,6 +121,25 @@ def _decode(name: str):
 for _name in _DECODE:
     _decode(_name)
 
+_ALTER_JOB = """'{"type":"' || CASE WHEN commit_seq % 5 = 0 THEN 'ROLLUP' ELSE 'SCHEMA_CHANGE' END || '","tableId":' || table_id || ',"tableName":"t' || table_id || '","jobState":"' || CASE WHEN commit_seq % 2 = 0 THEN 'FINISHED' ELSE 'PENDING' END
+  || '","iim":{"' || (table_id * 10 + 9) || '":' || table_id || ',"' || (table_id * 10 + 8) || '":' || (table_id + 1) || '}}'"""
+
+
+@query("decode_alter_job", f"""SELECT commit_seq, table_id, CASE WHEN commit_seq % 5 = 0 THEN 'ROLLUP' ELSE 'SCHEMA_CHANGE' END AS job_type, commit_seq % 2 = 0 AS finished, table_id * 10 + 9 - i AS shadow_index, table_id + i AS origin_index
+FROM ({X.LOG}) l, (VALUES (0), (1)) v(i) WHERE type = 'ALTER_JOB'""")
+def _(s, d):
+    got = P.shadow_indexes(frame(s, d, _payload("ALTER_JOB", _ALTER_JOB)))
+    return got.select("commit_seq", "table_id", "job_type", (F.col("job_state") == "FINISHED").alias("finished"), "shadow_index", "origin_index")
+
+
+_COMMENT = """'{"tblId":' || table_id || ',"type":"' || CASE commit_seq % 3 WHEN 0 THEN 'COLUMN' WHEN 1 THEN 'TABLE' ELSE 'INDEX' END || '","colToComment":{"c":"n' || k || '","d":"m' || k || '"},"tblComment":"t' || k || '"}'"""
+
+
+@query("decode_comment", f"""SELECT commit_seq, table_id, c AS "column", p || k AS comment FROM ({X.LOG}) l, (VALUES (0, 'c', 'n'), (0, 'd', 'm'), (1, NULL, 't')) v(i, c, p) WHERE type = 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS' AND commit_seq % 3 = i""")
+def _(s, d):
+    return P.comments(frame(s, d, _payload("MODIFY_TABLE_ADD_OR_DROP_COLUMNS", _COMMENT)))
+
+
 _REPLACE = """'{"tblId":' || table_id || ',"tblName":"t","strictRange":true,"partitions":["p' || part_day || '","q"],"tempPartitions":["tp' || part_day || '","tq"]}'"""
 
 
@@ -149,12 +162,27 @@ def _(s, d):
     return got.join(names, "commit_seq").select("commit_seq", "table_id", F.coalesce("own", "name").alias("table_name"))
 
 
-_BROKEN = f"SELECT commit_seq, CASE WHEN commit_seq % 17 = 0 THEN '{{\"tableId\":0}}' ELSE data END AS data FROM ({X.PAYLOAD}) p"
+#: Payloads with one rule broken each: record type, payload, the reason to be given.
+_BROKEN = (
+    ("UPSERT", '{"commitSeq":0,"tableRecords":{"1":{"indexIds":[1]}}}', "no commitSeq"), ("UPSERT", '{"commitSeq":5,"tableRecords":{}}', "no tableRecords"), ("UPSERT", '{"commitSeq":5}', "no tableRecords"),
+    ("ADD_PARTITION", '{"tableId":5,"sql":""}', "no sql"), ("ADD_PARTITION", '{"sql":"x"}', "no tableId"), ("CREATE_TABLE", '{"tableId":5}', "no sql"), ("CREATE_TABLE", '{"tableId":0,"sql":"x"}', "no tableId"),
+    ("DROP_PARTITION", '{"tableId":5}', "no sql"), ("DROP_PARTITION", '{"sql":"x"}', "no tableId"), ("DROP_TABLE", '{"tableName":"x"}', "no tableId"), ("ALTER_JOB", '{"tableName":"x"}', "no tableId"), ("ALTER_JOB", '{"tableId":5,"tableName":""}', "no tableName"),
+    ("MODIFY_TABLE_ADD_OR_DROP_COLUMNS", '{"tableId":5}', "no rawSql"), ("MODIFY_TABLE_ADD_OR_DROP_COLUMNS", '{"rawSql":"x"}', "no tableId"), ("RENAME_COLUMN", '{"colName":"x"}', "no tableId"),
+    ("MODIFY_COMMENT", '{"type":"TABLE"}', "no tblId"), ("MODIFY_COMMENT", '{"tblId":5,"type":"INDEX"}', "unknown type"), ("RENAME_TABLE", '{"nT":"x","oT":"y"}', "no tb"),
+    ("REPLACE_PARTITIONS", '{"tblId":5,"tblName":"x","tempPartitions":[]}', "no tempPartitions"), ("REPLACE_PARTITIONS", '{"tblName":"x","tempPartitions":["p"]}', "no tblId"), ("REPLACE_PARTITIONS", '{"tblId":5,"tempPartitions":["p"]}', "no tblName"),
+    ("TRUNCATE_TABLE", '{"rawSql":"x"}', "no tblId"))
+_SEVERAL = f"SELECT commit_seq, commit_seq % {len(_BROKEN)} AS i FROM ({X.LOG}) l"
 
 
-@query("decode_errors", f"SELECT 'no commitSeq' AS reason, count(*) AS n FROM ({X.PAYLOAD}) p WHERE commit_seq % 17 = 0 HAVING count(*) > 0")
+@query("decode_errors", " UNION ALL ".join(f"SELECT '{k}' AS type, '{why}' AS reason, count(*) AS n FROM ({_SEVERAL}) l WHERE i = {i} HAVING count(*) > 0" for i, (k, _, why) in enumerate(_BROKEN)).join(("SELECT type, reason, sum(n)::BIGINT AS n FROM (", ") t GROUP BY ALL")))
 def _(s, d):
-    return P.quarantined(frame(s, d, _BROKEN), "UPSERT").groupBy("reason").agg(F.count("*").alias("n"))
+    """Every mandatory field of every record type is missing once."""
+    records = frame(s, d, _SEVERAL).select("commit_seq", F.element_at(F.array(*[F.struct(F.lit(k).alias("type"), F.lit(data).alias("data")) for k, data, _ in _BROKEN]), (F.col("i") + 1).cast("int")).alias("r")).select("commit_seq", "r.*")
+    out = None
+    for kind in dict.fromkeys(k for k, *_ in _BROKEN):
+        one = P.quarantined(records.where(F.col("type") == kind), kind).select("type", "reason")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("type", "reason").agg(F.count("*").alias("n"))
 
 
 @query("variant_path", "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL")
@@ -204,12 +232,12 @@ def _(s, d):
 
 
 @query("filter_shadow_indexes", f"""WITH a AS ({X.ALTER}), i AS (
-  SELECT shadow_index, commit_seq AS from_seq, (SELECT min(b.commit_seq) FROM a b WHERE b.shadow_index = a.shadow_index AND b.commit_seq > a.commit_seq AND b.job_state IN ('FINISHED', 'CANCELLED')) AS to_seq
+  SELECT shadow_index, commit_seq AS from_seq, (SELECT min(b.commit_seq) FROM a b WHERE b.shadow_index = a.shadow_index AND b.commit_seq > a.commit_seq AND (b.job_state = 'CANCELLED' OR (b.job_state = 'FINISHED' AND b.job_type = 'SCHEMA_CHANGE'))) AS to_seq
   FROM a WHERE job_state = 'PENDING'
 ), u AS (SELECT commit_seq, table_id * 10 AS index_id FROM ({X.LOG}) l WHERE type = 'UPSERT' UNION ALL SELECT commit_seq, table_id * 10 + 9 FROM ({X.LOG}) l WHERE type = 'UPSERT')
 SELECT commit_seq, index_id FROM u WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.shadow_index = u.index_id AND u.commit_seq >= from_seq AND (to_seq IS NULL OR u.commit_seq < to_seq))""")
 def _(s, d):
-    return filters.without_shadows(P.upsert_indexes(frame(s, d, X.PAYLOAD)), filters.shadow_intervals(frame(s, d, X.ALTER))).select("commit_seq", "index_id")
+    return filters.without_shadows(P.upsert_indexes(frame(s, d, X.PAYLOAD)), frame(s, d, X.ALTER)).select("commit_seq", "index_id")
 
 
 @query("filter_ignored", f"SELECT type, count(*) AS n FROM ({X.LOG}) l WHERE type <> 'BARRIER' GROUP BY type")
@@ -217,7 +245,7 @@ def _(s, d):
     return filters.without_ignored(log(s, d)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-_JOBS = f"SELECT l.commit_seq, l.type, job_state FROM ({X.LOG}) l LEFT JOIN ({X.ALTER}) a ON a.commit_seq = l.commit_seq"
+_JOBS = f"SELECT l.commit_seq, l.type, job_type, job_state FROM ({X.LOG}) l LEFT JOIN ({X.ALTER}) a ON a.commit_seq = l.commit_seq"
 
 
 @query("filter_unfinished_alter", f"SELECT type, count(*) AS n FROM ({_JOBS}) j WHERE type <> 'ALTER_JOB' OR job_state = 'FINISHED' GROUP BY type")
@@ -272,12 +300,21 @@ def _(s, d):
     return mapping.name_asof(frame(s, d, _NAMES)).select("commit_seq", "table_id", "name")
 
 
-@query("rename_history", f"SELECT commit_seq, table_id, name AS new_name, old_name FROM (SELECT *, lag(name) OVER (PARTITION BY table_id ORDER BY commit_seq) AS old_name FROM ({_ASOF}) a) h WHERE type = 'RENAME_TABLE'")
+_RENAMES = f"""SELECT CASE commit_seq % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'ROLLUP' ELSE 'PARTITION' END AS kind, CASE commit_seq % 3 WHEN 0 THEN table_id WHEN 1 THEN table_id * 10 ELSE table_id * 100 + part_day END AS id, commit_seq,
+  CASE WHEN commit_seq % 5 = 0 THEN 'same' ELSE 'n_' || commit_seq END AS new_name FROM ({X.LOG}) l WHERE type = 'RENAME_TABLE'"""
+_OBJECTS = f"SELECT DISTINCT 'TABLE' AS kind, table_id AS id, 'o_' || table_id AS name FROM ({X.LOG}) l UNION ALL SELECT DISTINCT 'PARTITION', table_id * 100 + part_day, 'o_' || part_day FROM ({X.LOG}) l"
+
+
+@query("rename_history", f"SELECT r.kind, r.id, commit_seq, coalesce(lag(new_name) OVER (PARTITION BY r.kind, r.id ORDER BY commit_seq), name) AS old_name, new_name FROM ({_RENAMES}) r LEFT JOIN ({_OBJECTS}) o ON o.kind = r.kind AND o.id = r.id")
 def _(s, d):
-    from pyspark.sql import Window
+    return mapping.renames(frame(s, d, _RENAMES), frame(s, d, _OBJECTS))
 
-    named = mapping.name_asof(frame(s, d, _NAMES))
-    return named.withColumn("old_name", F.lag("name").over(Window.partitionBy("table_id").orderBy("commit_seq"))).where("type = 'RENAME_TABLE'").select("commit_seq", "table_id", F.col("name").alias("new_name"), "old_name")
+
+@query("rename_objects", f"""WITH l AS (SELECT kind, id, arg_max(new_name, commit_seq) AS new_name FROM ({_RENAMES}) r GROUP BY ALL),
+b AS (SELECT coalesce(o.kind, l.kind) AS kind, coalesce(o.id, l.id) AS id, coalesce(new_name, name) AS name, o.id IS NULL AS unknown FROM ({_OBJECTS}) o FULL JOIN l ON o.kind = l.kind AND o.id = l.id)
+SELECT kind, id, name, CASE WHEN unknown THEN 'unknown object' WHEN (SELECT count(*) FROM b c WHERE c.kind = b.kind AND c.name = b.name AND NOT c.unknown) > 1 THEN 'name is taken' END AS problem FROM b""")
+def _(s, d):
+    return mapping.renamed(frame(s, d, _OBJECTS), frame(s, d, _RENAMES))
 
 
 _LAYOUT = f"""WITH b AS (SELECT table_id, part_day, count(DISTINCT k % 4) AS src_buckets, count(DISTINCT CASE WHEN table_id % 2 = 0 THEN k % 4 ELSE k % 3 END) AS dst_buckets FROM ({X.ROWS}) r GROUP BY ALL)
@@ -290,9 +327,9 @@ def _(s, d):
     return mapping.layout_mismatch(rows.withColumn("bucket", F.expr("k % 4")), rows.withColumn("bucket", F.expr("CASE WHEN table_id % 2 = 0 THEN k % 4 ELSE k % 3 END")), "table_id", "part_day")
 
 
-@query("view_dependencies", "SELECT 'v_' || n_nationkey AS view, 't_' || (100 + n_nationkey % 10) AS table_name FROM nation WHERE n_nationkey % 10 <> 3")
+@query("view_dependencies", "SELECT 'v_' || c_custkey AS view, 't_' || (100 + c_custkey % 10) AS table_name FROM customer WHERE c_custkey % 10 <> 3")
 def _(s, d):
-    tables = frame(s, d, "SELECT DISTINCT 't_' || (100 + n_nationkey % 10) AS table_name FROM nation").where("table_name <> 't_103'")
+    tables = frame(s, d, "SELECT DISTINCT 't_' || (100 + c_custkey % 10) AS table_name FROM customer").where("table_name <> 't_103'")
     return mapping.views_of(frame(s, d, X.VIEWS), tables)
 
 
@@ -342,16 +379,24 @@ def _(s, d):
     return progress.full_sync_events(frame(s, d, X.PROGRESS)).select("job", "commit_seq", "full_sync_start_at")
 
 
-@query("triage", f"""SELECT type, action, count(*) AS n FROM (SELECT j.type, CASE WHEN j.type = 'UPSERT' THEN 'APPLY_ROWS' WHEN j.type = 'BARRIER' THEN 'IGNORE' WHEN j.type = 'DUMMY' THEN 'FULL_SYNC'
-  WHEN j.type = 'ALTER_JOB' THEN CASE WHEN job_state = 'FINISHED' THEN 'PARTIAL_SYNC' ELSE 'IGNORE' END
-  WHEN j.type = 'REPLACE_PARTITIONS' THEN CASE WHEN commit_seq % 2 = 0 THEN 'PARTIAL_SYNC' ELSE 'FULL_SYNC' END ELSE 'APPLY_DDL' END AS action FROM ({_JOBS}) j) t GROUP BY ALL""")
+_KINDS = f"SELECT commit_seq, CASE WHEN type = 'CREATE_TABLE' AND commit_seq % 2 = 0 THEN 'MODIFY_PARTITIONS' ELSE type END AS type, job_type, job_state, commit_seq % 2 = 0 AS strict_range, commit_seq % 3 = 0 AS temp_name FROM ({_JOBS}) j"
+
+
+@query("triage", f"""SELECT type, action, count(*) AS n FROM (SELECT type, CASE
+  WHEN type = 'ALTER_JOB' AND job_state IN ('PENDING', 'CANCELLED') THEN 'IGNORE' WHEN type = 'ALTER_JOB' AND job_type = 'ROLLUP' THEN 'FULL_SYNC' WHEN type = 'ALTER_JOB' THEN 'PARTIAL_SYNC_REPLACE'
+  WHEN type = 'REPLACE_PARTITIONS' AND (NOT strict_range OR temp_name) THEN 'FULL_SYNC' WHEN type = 'REPLACE_PARTITIONS' THEN 'PARTIAL_SYNC' WHEN type = 'DUMMY' THEN 'FULL_SYNC'
+  WHEN type = 'UPSERT' THEN 'APPLY_ROWS' WHEN type = 'BARRIER' THEN 'IGNORE' WHEN type = 'MODIFY_PARTITIONS' THEN 'ERROR' ELSE 'APPLY_DDL' END AS action FROM ({_KINDS}) j) t GROUP BY ALL""")
 def _(s, d):
-    jobs = log(s, d).select("commit_seq", "type").join(frame(s, d, X.ALTER).select("commit_seq", "job_state"), "commit_seq", "left")
-    return jobs.select("type", progress.action(F.col("type"), F.col("job_state"), F.expr("commit_seq % 2 = 0")).alias("action")).groupBy("type", "action").agg(F.count("*").alias("n"))
+    jobs = log(s, d).select("commit_seq", "type").join(frame(s, d, X.ALTER).select("commit_seq", "job_type", "job_state"), "commit_seq", "left")
+    kind = F.expr("IF(type = 'CREATE_TABLE' AND commit_seq % 2 = 0, 'MODIFY_PARTITIONS', type)")
+    acts = progress.action(F.col("type"), F.col("job_type"), F.col("job_state"), F.expr("commit_seq % 2 = 0"), F.expr("commit_seq % 3 = 0"))
+    return jobs.withColumn("type", kind).select("type", acts.alias("action")).groupBy("type", "action").agg(F.count("*").alias("n"))
+
 
+_FAILED = f"SELECT table_id, commit_seq, CASE commit_seq % 50 WHEN 0 THEN 'meta' WHEN 1 THEN 'rpc' ELSE 'be' END AS category FROM ({X.LOG}) l WHERE type = 'UPSERT' AND table_id <> 105"
 
-@query("resync_list", f"SELECT DISTINCT table_id FROM ({X.PARTS}) p WHERE table_id % 7 = 0 OR (table_id + part_day) % 29 = 0")
+
+@query("resync_list", f"""SELECT table_id, min(commit_seq) AS since_seq, arg_min(reason, commit_seq) AS reason FROM (
+SELECT table_id, commit_seq, 'meta error' AS reason FROM ({_FAILED}) f WHERE category = 'meta' UNION ALL SELECT table_id, commit_seq, 'forced' FROM ({X.LOG}) l WHERE type = 'DUMMY') t GROUP BY table_id""")
 def _(s, d):
-    parts = frame(s, d, X.PARTS)
-    lost = mapping.partitions_by_range(parts, parts.where("(table_id + part_day) % 29 <> 0"), "table_id", "part_range").where("missing <> 'NONE'").select("table_id")
-    return lost.unionByName(parts.where("table_id % 7 = 0").select("table_id")).distinct()
+    return progress.to_resync(frame(s, d, _FAILED), log(s, d).where("type = 'DUMMY'"))

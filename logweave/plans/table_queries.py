@@ -157,21 +157,21 @@ def _(s, d):
     return routing.range_bounds(years.select(F.concat(F.lit("p"), "y").alias("part"), (F.col("y") + 1).alias("hi")))
 
 
-@query("rollup", "SELECT l_partkey, sum(CAST(l_quantity AS BIGINT))::BIGINT AS sum_quantity, max(CAST(l_quantity AS BIGINT)) AS max_quantity FROM lineitem GROUP BY ALL")
-def _(s, d):
-    base = frame(s, d, "SELECT l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem")
-    table = folds.aggregated(base, ["l_partkey", "l_suppkey"], {"sum_quantity": ("SUM", "q"), "max_quantity": ("MAX", "q")})
-    return folds.merged(table, ["l_partkey"], {"sum_quantity": "SUM", "max_quantity": "MAX"})
+_ADD = f"""SELECT commit_seq, commit_seq % 4 = 3 AS is_temp, 'ALTER TABLE t ADD ' || CASE commit_seq % 4 WHEN 0 THEN 'PARTITION p VALUES [(), ()) ("version_info" = "1")' WHEN 1 THEN 'PARTITION p VALUES IN ((("a", "b")))'
+  WHEN 2 THEN 'PARTITION p VALUES LESS THAN ("5")' ELSE CASE WHEN commit_seq % 8 = 3 THEN 'TEMPORARY ' ELSE '' END || 'PARTITION p VALUES [("1"), ("2"))' END AS sql_text FROM ({X.LOG}) l"""
 
 
-@query("materialized_view", "SELECT c_custkey, c_mktsegment FROM customer")
+@query("add_partition_sql", f"""SELECT commit_seq, 'ALTER TABLE t ADD ' || CASE commit_seq % 4 WHEN 0 THEN 'PARTITION p ' WHEN 1 THEN 'PARTITION p VALUES IN (("a", "b"))' WHEN 2 THEN 'PARTITION p VALUES LESS THAN ("5")'
+  ELSE 'TEMPORARY PARTITION p VALUES [("1"), ("2"))' END AS sql_text FROM ({X.LOG}) l""")
 def _(s, d):
-    return frame(s, d, "SELECT c_custkey, c_name, c_mktsegment FROM customer").select("c_custkey", "c_mktsegment")
+    return frame(s, d, _ADD).select("commit_seq", routing.add_partition_sql(F.col("sql_text"), F.col("is_temp")).alias("sql_text"))
 
 
-@query("agg_view", "SELECT c_mktsegment, sum(c_nationkey)::BIGINT AS sum_key, count(*) AS n FROM customer GROUP BY ALL")
+@query("rollup", "SELECT l_partkey, sum(CAST(l_quantity AS BIGINT))::BIGINT AS sum_quantity, max(CAST(l_quantity AS BIGINT)) AS max_quantity FROM lineitem GROUP BY ALL")
 def _(s, d):
-    return frame(s, d, "SELECT c_mktsegment, c_nationkey FROM customer").groupBy("c_mktsegment").agg(F.sum("c_nationkey").cast("bigint").alias("sum_key"), F.count("*").alias("n"))
+    base = frame(s, d, "SELECT l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem")
+    table = folds.aggregated(base, ["l_partkey", "l_suppkey"], {"sum_quantity": ("SUM", "q"), "max_quantity": ("MAX", "q")})
+    return folds.merged(table, ["l_partkey"], {"sum_quantity": "SUM", "max_quantity": "MAX"})
 
 
 # --- schema evolution -----------------------------------------------------------------------------

@@ -35,6 +35,16 @@ def overwrite_partitions(rows: DataFrame, target: str, *partition_by: str) -> No
     _by_partition(rows, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(target)
 
 
+def refresh_view(base: DataFrame, define, folder: str, partition: str, touched: list | None = None) -> None:
+    """Writes the view ``define(base)``, which has the base's partition column and takes no rows across
+    partitions. With ``touched``, values of that column, only these partitions are read and written anew;
+    a partition without rows any more stays as it was."""
+    if touched is None:
+        snapshot(define(base), folder, (partition,))
+    else:
+        overwrite_partitions(define(base.where(F.col(partition).isin(touched))), folder, partition)
+
+
 class Names:
     """Which folder each table name stands for.
 

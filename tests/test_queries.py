@@ -32,11 +32,32 @@ def test_entry(spark):
 
 def test_buckets_are_even(spark):
     """Every row is in a bucket, and none has twice its share."""
+    from logweave.operators.routing import bucket
     from logweave.plans import table_queries as t
 
-    rows, sizes = t.rows(spark, SF), [r.n for r in t.QUERIES["bucket_sizes"](spark, SF).collect()]
-    keys = rows.select("table_id", "k").distinct().count()
-    assert sum(sizes) == rows.count() and len(sizes) == min(16, keys) and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert sum(r.n for r in t.QUERIES["bucket_sizes"](spark, SF).collect()) == t.rows(spark, SF).count()
+    sizes = [r["count"] for r in spark.range(10_000).groupBy(bucket(["id"], 16).alias("b")).count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * 10_000 / 16
+
+
+def test_as_of_blocks(spark):
+    """Any block length gives the same values."""
+    from logweave.operators.asof import as_of
+
+    rows = [(k, i, "v%d" % i if i % 7 == k else None) for k in range(2) for i in range(0, 60, 1 + k)]
+    df = spark.createDataFrame(rows, "key long, at long, v string")
+    want = []
+    for k, i, _ in rows:
+        want.append((k, i, next((v for kk, j, v in reversed(rows) if kk == k and j <= i and v), None)))
+    for block in (1, 5, 1_000):
+        assert sorted(map(tuple, as_of(df, ["key"], "at", "v", "got", block).select("key", "at", "got").collect())) == sorted(want)
+
+
+def test_comments_stay_on_columns(spark, tmp_path):
+    from logweave.operators.evolution import with_comments
+
+    with_comments(spark.range(3).selectExpr("id AS a", "id AS `b.c`"), {"b.c": "it's b"}).write.parquet(f"{tmp_path}/t")
+    assert [f.metadata.get("comment") for f in spark.read.parquet(f"{tmp_path}/t").schema] == [None, "it's b"]
 
 
 def test_sketches_are_near(spark):
