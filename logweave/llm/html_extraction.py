@@ -3,14 +3,17 @@
 Every page's tree becomes a union-free regular expression: elements, groups that are optional or
 repeated, fixed text and text slots.  Pages of a host are aligned one after the other: text that
 differs becomes a slot, elements that one side lacks become optional, runs of alike elements
-become one repeated element.  Tasks align their own pages first and the wrappers of a host are then
-merged in a tree, so neither a hot host nor a large one is one task's work.  The wrapper says
-where the host keeps its main text and which texts there are the template's; tags (article, main)
+become one repeated element.  A host's pages are dealt by their content into parts of bounded size,
+each part is aligned in one task, and the parts' wrappers are merged in a tree, in an order that
+doesn't depend on how the rows lie.  The wrapper says where the host keeps its main text (the
+element whose slots hold most of it) and which texts there are the template's; tags (article, main)
 decide for hosts of too few pages only.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html as html_lib
 import json
 import re
@@ -21,28 +24,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 #: Wrappers are broadcast up to this many characters in all, else joined by host.
 BROADCAST_CHARS = 8 << 20
-#: Parts that the wrappers of a host are merged in before the last merge.
-PARTS = 32
+#: Pages that one part of a host has on average; parts that one step of the tree merges.
+PART_PAGES, FAN_IN = 500, 32
 #: Fixed text of a host counts as its template's from this many different pages on.
 MIN_PAGES = 5
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas".split())
 DROPPED = RAW | frozenset("head nav header footer aside form button select option dialog menu label fieldset".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "dd", "dt", "li"} | {"nav", "header", "footer", "aside", "form"}
-LABELS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo|promoted|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[-_\s])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPACE = re.compile(r"\s+")
+LABELS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+# Words that say what a labelled part looks like, not what it is about.
+FORMS = frozenset("area articles bar block body bottom box button buttons column container content footer form group header holder icon icons inner item items left link links list main mobile module outer panel posts primary region right row secondary section slot stories text this title top unit wrap wrapper zone".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+)|<", re.S)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# The same where a quote never ends.
+_TOKEN_PLAIN = re.compile(_TOKEN.pattern.replace(r"""((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)""", "([^>]*)"), re.S)
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 #: Repeated groups of these hold records: a value that all pages have among others is a value, no template text.
 RECORDS = frozenset("li dd dt tr td th".split())
 _NESTED = frozenset("li dd dt tr td th option p".split())
+#: An element beside the one that holds most of the main text is main text too from this share of its text on.
+BESIDE = 0.2
+#: Longer lists of children are aligned by the first element of each kind.
+LONG_LIST = 250
 #: Elements nested deeper than this are kept as children of the deepest one, as browsers do.
 MAX_DEPTH = 200
 
@@ -50,7 +61,7 @@ MAX_DEPTH = 200
 class Node:
     """An element or a text. Of an element: name, key (name and class), whether a label says it is
     no main text, children; ``many`` and ``maybe`` for repeated and optional groups of a wrapper.
-    Of a text: ``fixed``, the texts that all pages have there, each with marks of these pages."""
+    Of a text: ``fixed``, hashes of the texts that all pages have there, each with marks of these pages."""
 
     __slots__ = ("name", "key", "off", "kids", "text", "many", "maybe", "pages", "chars", "fixed")
 
@@ -59,19 +70,57 @@ class Node:
         self.kids, self.many, self.maybe, self.pages, self.chars, self.fixed = [], False, False, 1, 0, {}
 
 
+@functools.lru_cache(100_000)
+def _labelled(label: str) -> bool:
+    """Whether a class, id or role names a part that is no main text: a label as its last word, or followed by
+    words of form alone (ad-slot, comment-list, but not notice-board or related-work)."""
+    for token in label.lower().split():
+        words = [w for w in re.split(r"[-_\d]+", token) if w]
+        at = max((i for i, w in enumerate(words) if w in LABELS), default=-1)
+        if at >= 0 and all(w in FORMS for w in words[at + 1 :]):
+            return True
+    return False
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(text)}
+
+
+def _shape(node: Node) -> None:
+    """Divisions without a class are told apart by what they begin with."""
+    for x in node.kids:
+        if x.name != "#":
+            _shape(x)
+    if node.key in ("div", "section"):
+        first = next((x for x in node.kids if x.name != "#" or not x.text.isspace()), None)
+        if first is not None:
+            node.key = f"{node.key}({first.name})"
+
+
 def parse(text: str | None) -> Node:
-    """The tree of a page; unclosed and misnested elements are closed as browsers do."""
+    """The tree of a page; unclosed and misnested elements are closed as browsers do. A tag that never ends
+    takes the rest of the page with it; once a quote in a tag never ends, tags end at the next ">"."""
     root = Node("#root")
     stack, at, source = [root], 0, text or ""
     deeper: dict[str, int] = {}
+    last, token = source.rfind(">"), _TOKEN
     while at < len(source):
-        m = _TOKEN.match(source, at)
-        at = m.end()
-        closing, name, attrs, words = m.groups()
+        if at > last and source[at] == "<" and source[at + 1 : at + 2].isalpha():
+            break
+        m = token.match(source, at) if at <= last or source[at] != "<" else None
+        if m is not None and m.group() == "<" and source[at + 1 : at + 2].isalpha():
+            token = _TOKEN_PLAIN
+            m = token.match(source, at)
+        if m is None:  # no tag ends after here
+            closing, name, attrs, words, at = "", None, "", source[at:], len(source)
+        else:
+            at = m.end()
+            closing, name, attrs, words = m.groups()
+            if name is None and words is None:
+                if m.group() != "<":
+                    continue
+                words = "<"
         if name is None:
-            if words is None and m.group() != "<":
-                continue
-            words = words if words is not None else "<"
             kids = stack[-1].kids
             if kids and kids[-1].name == "#":
                 kids[-1].text += words
@@ -97,24 +146,30 @@ def parse(text: str | None) -> Node:
                 if stack[i].name == name or (name in ("td", "th") and stack[i].name in ("td", "th")) or (name in ("dd", "dt") and stack[i].name in ("dd", "dt")):
                     del stack[i:]
                     break
-        found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs or "")}
-        label = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-        hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attrs or "", re.I))
-        node = Node(name, f"{name}.{found.get('class', '')}" if found.get("class") else name, name in DROPPED or hidden or (name not in ("html", "body", "main", "article") and bool(label.strip() and LABELS.search(label))))
+        key, off = name, name in DROPPED
+        if attrs and not attrs.isspace():
+            found = _attributes(attrs)
+            if found.get("class"):
+                key = f"{name}.{found['class']}"
+            if not off:
+                off = "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
+                off = off or (name not in ("html", "body", "main", "article") and any(_labelled(found[k]) for k in ("class", "id", "role") if found.get(k)))
+        node = Node(name, key, off)
         stack[-1].kids.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
-        elif name not in VOID and not (attrs or "").rstrip().endswith("/"):
+        elif name not in VOID and not attrs.endswith("/"):
             if len(stack) < MAX_DEPTH:
                 stack.append(node)
             else:
                 deeper[name] = deeper.get(name, 0) + 1
+    _shape(root)
     return root
 
 
 def _clean(text: str) -> str:
-    return _SPACE.sub(" ", html_lib.unescape(text)).strip()
+    return " ".join((html_lib.unescape(text) if "&" in text else text).split())
 
 
 # --- wrappers -------------------------------------------------------------------------------
@@ -158,7 +213,7 @@ def template(node: Node, mark: int = 0) -> Node:
     """The regular expression of one page's tree."""
     if node.name == "#":
         node.text, node.key = _clean(node.text), "#"
-        node.chars, node.fixed = len(node.text), {node.text: [mark]}
+        node.chars, node.fixed = len(node.text), {mark_of(node.text): [mark]}
         return node
     kids = [template(x, mark) for x in node.kids]
     node.kids = _fold([x for x in kids if x.name != "#" or x.text], 1)
@@ -173,10 +228,18 @@ def _align(a: Node, b: Node, one_page: int = 0) -> Node:
     out.many, out.maybe, out.pages, out.chars = a.many or b.many, a.maybe or b.maybe, max(a.pages, b.pages) if one_page else a.pages + b.pages, a.chars + b.chars
     if a.name == "#":
         out.text = a.text if a.text == b.text else None
-        both = a.fixed | b.fixed if one_page == 1 else a.fixed.keys() & b.fixed.keys()
-        out.fixed = {t: marks(a.fixed.get(t, []), b.fixed.get(t, [])) for t in both}
+        if one_page == 1:
+            out.fixed = a.fixed  # a goes, so a long run doesn't copy it again and again
+            for t, m in b.fixed.items():
+                out.fixed[t] = marks(out.fixed[t], m) if t in out.fixed else m
+        else:
+            out.fixed = {t: marks(a.fixed[t], b.fixed[t]) for t in sorted(a.fixed.keys() & b.fixed.keys())}
         return out
     x, y = a.kids, b.kids
+    if len(x) > LONG_LIST or len(y) > LONG_LIST:
+        x, y = _kinds(x, one_page), _kinds(y, one_page)
+        out.kids = _fold([z for pair in _in_order(x, y) for z in _joined(*pair, one_page)], one_page)
+        return out
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -199,6 +262,55 @@ def _align(a: Node, b: Node, one_page: int = 0) -> Node:
     return out
 
 
+def _kinds(kids: list[Node], one_page: int) -> list[Node]:
+    """One repeated element of each kind, in the order of their first ones."""
+    first: dict[str, Node] = {}
+    for x in kids:
+        if x.key in first:
+            first[x.key] = _align(first[x.key], x, 2 if one_page and x.name in RECORDS else one_page or 1)
+            first[x.key].many = True
+        else:
+            first[x.key] = x
+    return list(first.values())
+
+
+def _in_order(x: list[Node], y: list[Node]):
+    """(element of x or None, element of y or None) of two lists without repeated kinds: a longest common
+    subsequence, which is a longest increasing run of places, meets; the others stay alone."""
+    place = {n.key: i for i, n in enumerate(x)}
+    both = [(place[n.key], j) for j, n in enumerate(y) if n.key in place]
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for k, (i, _) in enumerate(both):
+        n = bisect.bisect_left(ends, i)
+        before.append(at[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(i)
+            at.append(k)
+        else:
+            ends[n], at[n] = i, k
+    met, k = [], at[-1] if at else -1
+    while k >= 0:
+        met.append(both[k])
+        k = before[k]
+    i = j = 0
+    for a, b in [*reversed(met), (len(x), len(y))]:
+        yield from ((n, None) for n in x[i:a])
+        yield from ((None, n) for n in y[j:b])
+        if a < len(x) and b < len(y):
+            yield x[a], y[b]
+        i, j = a + 1, b + 1
+
+
+def _joined(a: Node | None, b: Node | None, one_page: int) -> list[Node]:
+    if a is not None and b is not None:
+        return [_align(a, b, one_page)]
+    alone = a if a is not None else b
+    alone.maybe = True
+    return [alone]
+
+
 def dump(node: Node) -> list:
     if node.name == "#":
         return ["#", node.text, node.pages, node.chars, node.fixed]
@@ -208,16 +320,16 @@ def dump(node: Node) -> list:
 def load(data: list) -> Node:
     if data[0] == "#":
         node = Node("#", text=data[1])
-        node.pages, node.chars, node.fixed = data[2], data[3], data[4]
+        node.pages, node.chars, node.fixed = data[2], data[3], {int(k): v for k, v in data[4].items()}
         return node
-    node = Node(data[0].split(".")[0], data[0], bool(data[1] & 1))
+    node = Node(re.split(r"[.(]", data[0])[0], data[0], bool(data[1] & 1))
     node.many, node.maybe, node.pages = bool(data[1] & 2), bool(data[1] & 4), data[2]
     node.kids = [load(x) for x in data[3]]
     return node
 
 
-def _template_texts(node: Node) -> list[str]:
-    """The texts of a wrapper's text node that enough different pages have."""
+def _template_texts(node: Node) -> list[int]:
+    """Hashes of the texts of a wrapper's text node that enough different pages have."""
     return [t for t, m in node.fixed.items() if len(m) >= MIN_PAGES]
 
 
@@ -237,8 +349,8 @@ def _chars(node: Node) -> int:
 
 def rule(wrapper: Node) -> dict:
     """Where the main text is: ``places``, the paths (keys from the root on) of the element that
-    holds most of it and of those beside it that hold text rather than links; ``fixed``, by path the
-    template's texts there."""
+    holds most of it and of those beside it that hold text rather than links, and a share of it;
+    ``fixed``, by path the hashes of the template's texts there."""
     node, path, places = wrapper, [], []
     while True:
         kids = [x for x in node.kids if x.name != "#" and not x.off]
@@ -250,11 +362,11 @@ def rule(wrapper: Node) -> dict:
             break
         if any(x.key == top.key for x in kids if x is not top):
             break  # the path would not tell them apart
-        places += [[*path, x.key] for x in node.kids if x is not top and not x.off and 2 * _mass(x) > _chars(x)]
+        places += [[*path, x.key] for x in node.kids if x is not top and not x.off and 2 * _mass(x) > _chars(x) and _mass(x) >= BESIDE * _mass(top)]
         path = [*path, top.key]
         node = top
     places.append(path)
-    fixed: dict[str, set[str]] = {}
+    fixed: dict[str, set[int]] = {}
     slots = 0
 
     def texts(x: Node, at: list[str]) -> None:
@@ -279,7 +391,7 @@ def _blocks(node: Node, out: list[list[tuple[str, bool]]], fixed: dict, at: str,
     for x in node.kids:
         if x.name == "#":
             if places is None or (f"{at}\n#" if at else "#") in places:
-                out[-1].append((x.text, at in fixed and _clean(x.text) in fixed[at]))
+                out[-1].append((x.text, at in fixed and mark_of(_clean(x.text)) in fixed[at]))
             continue
         path = f"{at}\n{x.key}" if at else x.key
         inside = None if places is None or path in places else places
@@ -336,59 +448,65 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, marks, rule) of every host in ``pages`` (url, html); pages that repeat another's
-    bytes within a task count once.  A host of fewer than MIN_PAGES different pages has no rule."""
-
-    def local(frames):
-        held: dict[str, Node] = {}
-        seen: dict[str, set[int]] = {}
-        for pdf in frames:
-            for url, page in zip(pdf["url"], pdf["html"]):
-                host = host_of(None if pd.isna(url) else url)
-                if pd.isna(page) or (mark := mark_of(page)) in seen.setdefault(host, set()):
-                    continue
-                seen[host].add(mark)
-                one = template(parse(page), mark)
-                held[host] = _align(held[host], one) if host in held else one
-        yield pd.DataFrame([(h, json.dumps(dump(w)), json.dumps(marks(seen[h]))) for h, w in held.items()], columns=["host", "wrapper", "marks"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, *rest = sorted(pdf["wrapper"])
-        node = load(json.loads(first))
-        for x in rest:
-            node = _align(node, load(json.loads(x)))
-        several = marks(*map(json.loads, pdf["marks"]))
-        return pd.DataFrame(
-            [(pdf["host"].iloc[0], json.dumps(dump(node)), json.dumps(several), json.dumps(rule(node)) if len(several) >= MIN_PAGES else None)], columns=["host", "wrapper", "marks", "rule"])
-
-    out = "host string, wrapper string, marks string, rule string"
-    parts = pages.select("url", "html").mapInPandas(local, "host string, wrapper string, marks string").withColumn("part", F.spark_partition_id() % PARTS)
-    return parts.groupBy("host", "part").applyInPandas(merge, out).groupBy("host").applyInPandas(merge, out)
+def _infer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The wrapper of one part of a host; pages that repeat another's bytes count once."""
+    pages = {mark_of(page): page for page in pdf["html"]}
+    node = None
+    for mark in sorted(pages):
+        one = template(parse(pages[mark]), mark)
+        node = one if node is None else _align(node, one)
+    return pd.DataFrame([(pdf["host"].iloc[0], pdf["part"].iloc[0], json.dumps(dump(node)), json.dumps(marks([*pages])))], columns=["host", "part", "wrapper", "marks"])
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("part")
+    node = None
+    for x in pdf["wrapper"]:
+        one = load(json.loads(x))
+        node = one if node is None else _align(node, one)
+    several = marks(*map(json.loads, pdf["marks"]))
+    decided = json.dumps(rule(node)) if len(several) >= MIN_PAGES else None
+    return pd.DataFrame([(pdf["host"].iloc[0], pdf["part"].iloc[0] // FAN_IN, json.dumps(dump(node)), json.dumps(several), decided)], columns=["host", "part", "wrapper", "marks", "rule"])
+
+
+def infer_wrappers(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
+    """(host, part, wrapper, marks, rule) of every host in ``pages`` (host, html), part being 0.  A host of
+    fewer than MIN_PAGES different pages has no rule.  Equal pages fall into one part and count once."""
+    pages = pages.where("html IS NOT NULL")
+    parts = pages.groupBy("host").agg(F.ceil(F.count("*") / F.lit(part_pages)).alias("parts"))
+    most = parts.agg(F.max("parts")).first()[0] or 1
+    dealt = pages.join(parts, "host").select("host", "html", F.pmod(F.xxhash64("html"), "parts").alias("part"))
+    found = dealt.groupBy("host", "part").applyInPandas(_infer, "host string, part long, wrapper string, marks string")
+    while True:
+        found = found.groupBy("host", F.floor(F.col("part") / F.lit(FAN_IN)).alias("node")).applyInPandas(_merge, "host string, part long, wrapper string, marks string, rule string")
+        if most <= FAN_IN:
+            return found
+        found, most = found.drop("rule"), -(-most // FAN_IN)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, host`` of every page.
 
     Null html counts as empty and gives empty text; pages without a host share one wrapper.  Rows
-    that repeat a page give its text again.  Blocks are joined by line feeds in page order.
-    An empty table gives an empty result.
+    that repeat a page give its text again.  Blocks are joined by line feeds in page order.  Pages of any
+    length are read whole, in time that grows little faster than their length.  An empty table gives an
+    empty result.  Other columns are not read, so their names can't clash.
     """
-    from .common import Scratch
-
-    rules = Scratch(pages.sparkSession, "wrappers").keep(infer_wrappers(pages).select(F.col("host").alias("__host"), "rule"), "rules")
-    chars = rules.agg(F.coalesce(F.sum(F.length("__host") + F.length("rule")), F.lit(0))).first()[0]
+    scratch = Scratch(pages.sparkSession, "wrappers")
 
     @F.pandas_udf("string")
     def host(urls: pd.Series) -> pd.Series:
         return pd.Series([host_of(None if pd.isna(u) else u) for u in urls], dtype="object")
 
+    rows = pages.select("page_id", "url", "html").withColumn("host", host("url"))
+    rules = scratch.keep(infer_wrappers(rows.select("host", "html")).select(F.col("host").alias("__host"), "rule"), "rules")
+    chars = rules.agg(F.coalesce(F.sum(F.length("__host") + F.coalesce(F.length("rule"), F.lit(0))), F.lit(0))).first()[0]
+
     @F.pandas_udf("string")
     def run(texts: pd.Series, rules: pd.Series) -> pd.Series:
         known = {r: json.loads(r) for r in rules.dropna().unique()}
         return pd.Series([extract(None if pd.isna(t) else t, known.get(r)) for t, r in zip(texts, rules)], dtype="object")
 
-    rows = pages.select("page_id", "url", "html").withColumn("host", host("url"))
     joined = rows.join(F.broadcast(rules) if chars <= BROADCAST_CHARS else rules, F.col("host") == F.col("__host"), "left")
     text = joined.withColumn("text", run("html", "rule"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host")

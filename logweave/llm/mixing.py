@@ -18,7 +18,7 @@ from .common import UID, Scratch, n_words, table, with_uid
 #: Weights of the sources in code-point order, repeating; a source's target stops at MAX_COPIES times its size.
 WEIGHTS, MAX_COPIES = (5.0, 2.0, 1.0), 3
 #: Rows that one bucket rounds, and residuals that one node of the tree combines.
-BUCKET_ROWS, FAN_IN = 20_000, 1_000
+BUCKET_ROWS, FAN_IN = 1_000, 1_000
 SEED = 20_240_501
 _EPS = 1e-12
 _OUT = "__row_uid long, source_key string, node long, size long, draw double, h long, p double"

@@ -1,5 +1,11 @@
 """The host's wrapper decides on pages with article too."""
 
+import json
+import re
+import time
+import zlib
+from collections import Counter
+
 from logweave.llm import html_extraction as hx
 
 SCHEMA = "page_id long, url string, html string"
@@ -32,3 +38,66 @@ def test_wrapper_decides_inside_and_beside_article(spark, tmp_path):
         assert got[100 + i] == want(i, "small", True)
     assert got[200] == want(0, "same", True) and got[300] == want(1, "same", True)
     assert got[400] == "Another kind of page."
+
+
+def masked(page):
+    """Without the names that give content and boilerplate away: tags are divisions, classes are opaque."""
+    page = re.sub(r"<(/?)(article|main|nav|header|footer|aside)\b", r"<\1div", page)
+    return re.sub(r'(class|id|role)="([^"]*)"', lambda m: f'{m[1]}="x{zlib.crc32(m[2].encode()) % 9999}"', page)
+
+
+def test_wrappers_find_the_text_without_telling_names(spark, tmp_path):
+    """Of pages with masked tags the wrappers keep the text that the tags of the plain ones mark; single
+    pages don't tell it as well."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame([(i, u, masked(h)) for i, u, h in rows], SCHEMA).repartition(5).write.parquet(path)
+    pages = spark.read.parquet(path)
+    got = {r.page_id: r.text for r in hx.extract_pages(pages).collect()}
+    sizes = Counter(hx.host_of(u) for _, u, _ in rows)
+    large = [(i, h) for i, u, h in rows if sizes[hx.host_of(u)] >= 2 * hx.MIN_PAGES]
+    assert len(large) > 2_000
+    right = sum(got[i] == hx.extract(h) for i, h in large)
+    alone = sum(hx.extract(masked(h)) == hx.extract(h) for _, h in large)
+    assert right >= 0.99 * len(large) and alone < 0.97 * len(large)
+
+
+def test_wrappers_do_not_depend_on_partitions(spark, tmp_path):
+    rows = [("h", page(i, "h").replace("<h1>", "<h1>" * (1 + i % 2))) for i in range(40)] + [("g", page(i, "g")) for i in range(9)]
+    results = []
+    for n in (1, 6):
+        df = spark.createDataFrame(rows[:: 1 if n == 1 else -1], "host string, html string").repartition(n)
+        results.append({r.host: (r.wrapper, r.rule) for r in hx.infer_wrappers(df, part_pages=3).collect()})
+    assert results[0] == results[1] and set(results[0]) == {"h", "g"} and all(r for _, r in results[0].values())
+
+
+def test_attributes_and_labels():
+    text = lambda inner: hx.extract(f"<article><p>a</p>{inner}</article>")
+    for kept in ('<p title="a hidden gem">b</p>', '<div class="related-work">b</div>', '<div class="notice-board">b</div>', '<div class="social-history">b</div>', "<p><math><mi>b</mi></math></p>", '<p data-x="display:none">b</p>', '<p class=\'x"y\'>b</p>'):
+        assert text(kept) == "a\nb", kept
+    for gone in ('<p hidden>b</p>', '<p style="color:red; display: none">b</p>', '<div aria-hidden="true">b</div>', '<div class="ad-slot-2">b</div>', '<ul class="comment-list"><li>b</ul>', '<div id="site_header">b</div>', '<div class="Cookie-Consent">b</div>'):
+        assert text(gone) == "a", gone
+
+
+def test_malformed_and_long_pages_take_little_time():
+    began = time.time()
+    for piece in ('<a ', '<a "', "<!", "<", "<p title='", "</", "<div>", "</p", "<!--", "<script>", "&", "<p>x", "<td>y<tr>"):
+        for text in (piece * 40_000, piece * 40_000 + ">", '<p>ok</p>' + piece * 40_000):
+            got = hx.extract(text)
+            assert piece == "<!--" or not text.startswith("<p>ok") or got.startswith("ok"), piece
+    many = "".join(f"<p>{i}</p><h{1 + i % 6}>h{i}</h{1 + i % 6}><pre>c{i}</pre>{'<ul><li>x</ul>' * (i % 3)}" for i in range(6_000))
+    wrapper = hx._align(hx.template(hx.parse(f"<article>{many}</article>"), 1), hx.template(hx.parse(f"<article><b>n</b>{many}</article>"), 2))
+    assert hx.rule(hx.load(json.loads(json.dumps(hx.dump(wrapper))))) == hx.rule(wrapper)
+    assert hx.extract(f"<article>{many}</article>").count("\n") == 24_000 - 1
+    assert time.time() - began < 60
+
+
+def test_long_lists_align_in_order():
+    nodes = lambda keys: [hx.Node(k) for k in keys]
+    got = [(a.key if a else None, b.key if b else None) for a, b in hx._in_order(nodes("abcde"), nodes("xbdaey"))]
+    assert got == [("a", None), (None, "x"), ("b", "b"), ("c", None), ("d", "d"), (None, "a"), ("e", "e"), (None, "y")]
+    assert list(hx._in_order([], nodes("a")))[0][0] is None and list(hx._in_order([], [])) == []
+
+
+def test_no_pages(spark):
+    assert hx.extract_pages(spark.createDataFrame([], SCHEMA)).count() == 0
