@@ -114,7 +114,7 @@ def test_licenses(spark, docs, edge, empty, tmp_path):
     spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").write.parquet(path)
     got = {r.doc_id: r.family for r in licenses.scan_licenses(spark.read.parquet(path)).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
-    lines = re.compile(r"licen[cs]ed? under|under the MIT License", re.I)
+    lines = re.compile(r"licen[cs]ed? under|under the MIT License|All rights reserved", re.I)
     for r in licenses.scan_licenses(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert (r.family is not None) == bool(lines.search(r.text))
     assert licenses.scan_licenses(edge).count() == edge.count() and licenses.scan_licenses(empty).count() == 0
