@@ -10,6 +10,7 @@ from ..sources import log as L
 from ..sources import snapshots as S
 from ..sources.folders import new_folder
 from ..streaming import follow
+from ..streaming.replay import Replica
 from . import fixtures as X
 from .fixtures import frame
 from .log_queries import MIDDLE, log, middle
@@ -325,3 +326,50 @@ def _(s, d):
     once = follow.without_repeats(follow.stream(s, f"{folder}/log", 4), "3650 days")
     follow.drain(once, f"{folder}/checkpoint", lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     return s.read.parquet(f"{folder}/out").select("commit_seq", "type", "table_id")
+
+
+# --- the mixed log ------------------------------------------------------------------------------------
+
+_RECORDS = f"""SELECT commit_seq, type, table_id, 'p' || part_day AS part, k, v, CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, CASE type
+  WHEN 'TRUNCATE_TABLE' THEN '{{"tblId":' || table_id || ',"isEntireTable":' || CASE WHEN commit_seq % 2 = 0 THEN 'true' ELSE 'false' END || ',"rawSql":"PARTITIONS (p1, p' || part_day || ')"}}'
+  WHEN 'DROP_PARTITION' THEN CASE WHEN commit_seq % 10 = 0 THEN '{{"tableId":5}}' ELSE '{{"tableId":' || table_id || ',"sql":"DROP PARTITION p' || part_day || '"}}' END
+  WHEN 'DROP_TABLE' THEN '{{"tableId":' || table_id || '}}' WHEN 'RENAME_TABLE' THEN '{{"tb":' || table_id || CASE WHEN commit_seq % 3 = 0 THEN ',"nR":"r' ELSE ',"nT":"t' END || commit_seq || CASE WHEN commit_seq % 3 = 0 THEN '","oR":"r"}}' ELSE '","oT":"t"}}' END
+  WHEN 'ALTER_JOB' THEN '{{"type":"' || CASE WHEN commit_seq % 4 = 0 THEN 'ROLLUP' ELSE 'SCHEMA_CHANGE' END || '","jobState":"' || CASE WHEN commit_seq % 3 = 0 THEN 'PENDING' ELSE 'FINISHED' END || '"}}'
+  WHEN 'REPLACE_PARTITIONS' THEN '{{"strictRange":' || CASE WHEN commit_seq % 2 = 0 THEN 'true' ELSE 'false' END || ',"useTempName":false}}'
+  WHEN 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS' THEN '{{"tableId":' || table_id || ',"rawSql":"ALTER TABLE t ' || CASE WHEN commit_seq % 3 = 0 THEN 'DROP COLUMN c' || k % 4 ELSE 'ADD COLUMN c' || k % 4 || ' INT DEFAULT ' || commit_seq END || '"}}' END AS data
+FROM ({X.LOG}) l"""
+
+
+def _replayed(s, d):
+    """The log in four files, the later ones first."""
+    folder, records, c = new_folder(s, "replay"), frame(s, d, _RECORDS), middle(s, d)
+    for low, high in ((3 * c // 2, 4 * c), (c, 3 * c // 2), (c // 2, c), (-1, c // 2)):
+        records.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high)).write.mode("append").parquet(f"{folder}/log")
+    replica = Replica(s, f"{folder}/replica")
+    follow.drain(follow.stream(s, f"{folder}/log", 4), f"{folder}/checkpoint", lambda batch, number: replica.apply(number, batch))
+    return replica
+
+
+@query("replay_rows", f"""WITH l AS ({X.LOG}), cuts AS (
+  SELECT table_id, '' AS part, commit_seq FROM l WHERE type = 'DROP_TABLE' OR (type = 'TRUNCATE_TABLE' AND commit_seq % 2 = 0)
+  UNION ALL SELECT table_id, 'p' || part_day, commit_seq FROM l WHERE (type = 'DROP_PARTITION' AND commit_seq % 10 <> 0) OR (type = 'TRUNCATE_TABLE' AND commit_seq % 2 = 1)
+  UNION ALL SELECT table_id, 'p1', commit_seq FROM l WHERE type = 'TRUNCATE_TABLE' AND commit_seq % 2 = 1
+), r AS (SELECT table_id, 'p' || part_day AS part, k, commit_seq, v, event_type, row_number() OVER (PARTITION BY table_id, part_day, k ORDER BY commit_seq DESC) AS place FROM l WHERE type = 'UPSERT')
+SELECT table_id, part, k, commit_seq, v, (SELECT 't' || max(commit_seq) FROM l WHERE type = 'RENAME_TABLE' AND commit_seq % 3 <> 0 AND l.table_id = r.table_id) AS name
+FROM r WHERE place = 1 AND event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM cuts c WHERE c.table_id = r.table_id AND c.part IN ('', r.part) AND c.commit_seq >= r.commit_seq)""")
+def _(s, d):
+    return _replayed(s, d).read()
+
+
+@query("replay_columns", f"""SELECT table_id, col AS "column", CAST(seq AS VARCHAR) AS "default" FROM (SELECT table_id, 'c' || k % 4 AS col, max(commit_seq) AS seq FROM ({X.LOG}) l WHERE type = 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS' GROUP BY ALL) t WHERE seq % 3 <> 0""")
+def _(s, d):
+    return _replayed(s, d).columns.read().select("table_id", "column", "default")
+
+
+@query("replay_syncs", f"""SELECT table_id, action, max(commit_seq) AS commit_seq FROM (SELECT table_id, commit_seq, CASE WHEN type = 'DUMMY' OR (type = 'ALTER_JOB' AND commit_seq % 3 <> 0 AND commit_seq % 4 = 0) OR (type = 'REPLACE_PARTITIONS' AND commit_seq % 2 = 1) THEN 'FULL_SYNC'
+  WHEN type = 'ALTER_JOB' AND commit_seq % 3 <> 0 THEN 'PARTIAL_SYNC_REPLACE' WHEN type = 'REPLACE_PARTITIONS' THEN 'PARTIAL_SYNC' END AS action FROM ({X.LOG}) l) t WHERE action IS NOT NULL GROUP BY ALL
+UNION ALL SELECT NULL, 'refused', commit_seq FROM ({X.LOG}) l WHERE type = 'DROP_PARTITION' AND commit_seq % 10 = 0""")
+def _(s, d):
+    replica = _replayed(s, d)
+    refused = replica.refused.read().select(F.lit(None).cast("bigint").alias("table_id"), F.lit("refused").alias("action"), "commit_seq")
+    return replica.syncs.read().select("table_id", "action", "commit_seq").unionByName(refused)
