@@ -473,9 +473,12 @@ def infer_wrappers(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """(host, part, wrapper, marks, rule) of every host in ``pages`` (host, html), part being 0.  A host of
     fewer than MIN_PAGES different pages has no rule.  Equal pages fall into one part and count once."""
     pages = pages.where("html IS NOT NULL")
-    parts = pages.groupBy("host").agg(F.ceil(F.count("*") / F.lit(part_pages)).alias("parts"))
-    most = parts.agg(F.max("parts")).first()[0] or 1
-    dealt = pages.join(parts, "host").select("host", "html", F.pmod(F.xxhash64("html"), "parts").alias("part"))
+    large = pages.groupBy("host").agg(F.ceil(F.count("*") / F.lit(part_pages)).alias("parts")).where("parts > 1")
+    large = Scratch(pages.sparkSession, "hosts").keep(large, "large")  # its size is known when it is joined
+    most = large.agg(F.max("parts")).first()[0] or 1
+    part = F.pmod(F.xxhash64("html"), F.coalesce("parts", F.lit(1)))
+    # Dealt by host and part: else pages dealt by host for the join would stay so, a hot host in one task.
+    dealt = pages.join(large, "host", "left").select("host", "html", part.alias("part")).repartition("host", "part")
     found = dealt.groupBy("host", "part").applyInPandas(_infer, "host string, part long, wrapper string, marks string")
     while True:
         found = found.groupBy("host", F.floor(F.col("part") / F.lit(FAN_IN)).alias("node")).applyInPandas(_merge, "host string, part long, wrapper string, marks string, rule string")
