@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import delete, shared_folder
+
 #: The separators of words: space and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
-#: Name of the row identity that operators add; it can't clash with a corpus column.
+#: Name of the row identity in what operators return.
 UID = "__row_uid"
 
 
@@ -20,47 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="logweave-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; an own one only for a local master without the setting."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_folder()
-
-
 class Scratch:
     """Tables written once to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, self.path(name))
+            self.names.discard(name)
+
+    def only(self, *names: str) -> None:
+        """Drops all tables but those that the result reads."""
+        self.drop(*(self.names - {*names}))
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
-    """Number the rows. The input must be a file scan or a written table, so that a task that
-    runs again numbers its rows as before."""
+    """Number the rows, for a frame that is then used once."""
     return docs.withColumn(UID, F.monotonically_increasing_id())
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``__row_uid, row``: the rows with numbers, written once.  Numbers given anew can differ, after a
+    shuffle or when files are dealt to fewer executors; these stay.  As the columns are inside ``row``, no
+    name can clash."""
+    return scratch.keep(docs.select(F.monotonically_increasing_id().alias(UID), F.struct("*").alias("row")), "numbered")
+
+
 def strip_blanks(text) -> F.Column:
     """The text without separators, as UTF-8 bytes; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, "").cast("binary")

@@ -11,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, Scratch, strip_blanks, table, with_uid
+from .common import UID, Scratch, numbered, strip_blanks, table
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = 32, growth: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = 32, growth: int = 8, uid_col: str | None = None) -> DataFrame:
     """One row per input row: the row's group of equal texts and the row that stays.
 
     Texts are equal when identical without separators (space, tab to carriage return).  Null text
     counts as empty, and all empty texts are one group.  The row with the most code points in the
     original text stays, then the smallest id (null ids last), then one of the rows that repeat
-    it.  An empty table gives an empty result; columns besides id and text are not read.
+    it.  Texts of any length are compared whole, longer ones in more rounds.  An empty table gives an empty
+    result; columns besides id and text are not read, so they can't clash.  uid_col: the column that numbers
+    the rows, if they have numbers.
 
     Output: ``__row_uid, doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -31,8 +33,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "exact-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = strip_blanks(F.col(text_col))
-    state = with_uid(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col))).select(
-        UID, "doc_id", F.length(text).cast("long").alias("points"), norm.alias("rest"), F.lit(-1).cast("long").alias("gid"))
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    state = docs.select(uid.alias(UID), F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("points"), norm.alias("rest"), F.lit(-1).cast("long").alias("gid"))
     state = state.withColumn("text_sha256", F.sha2("rest", 256))
     digit, done, number = first_digit, [], 0
     while True:
@@ -52,6 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         state = split.where("goes_on").select(UID, "doc_id", "points", "rest", "gid", "text_sha256")
         if state.isEmpty():
             break
+        scratch.drop(f"groups{number}")
         digit, number = digit * growth, number + 1
     rows = done[0]
     for more in done[1:]:
@@ -59,6 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct("points", F.col("doc_id").isNotNull(), F.bitwise_not("doc_id"), F.bitwise_not(UID))
     groups = rows.where("group IS NOT NULL").groupBy("group").agg(
         F.count("*").alias("group_size"), F.max_by(F.struct(F.col("doc_id").alias("keep_id"), F.col(UID).alias("keep_uid")), order).alias("best"))
+    groups = scratch.keep(groups, "best")  # as a table, so that the rows of a large group can be split in the join
     shared = rows.where("group IS NOT NULL").join(groups, "group")
     alone = rows.where("group IS NULL").select(
         UID, "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -68,8 +72,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_dedup(docs).where("kept").select(UID)
-    return with_uid(docs).join(stay, UID, "left_semi").drop(UID)
+    rows = numbered(docs, Scratch(docs.sparkSession, "exact-rows"))
+    stay = exact_dedup(rows.select(UID, "row.doc_id", "row.text"), uid_col=UID).where("kept").select(UID)
+    return rows.join(stay, UID, "left_semi").select("row.*")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

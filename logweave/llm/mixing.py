@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UID, Scratch, n_words, table, with_uid
+from .common import UID, Scratch, n_words, numbered, table
 
 #: Weights of the sources in code-point order, repeating; a source's target stops at MAX_COPIES times its size.
 WEIGHTS, MAX_COPIES = (5.0, 2.0, 1.0), 3
@@ -70,18 +70,20 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(p=p)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, bucket_rows: int = BUCKET_ROWS, seed: int = SEED, uid_col: str | None = None) -> DataFrame:
     """One row per input row: ``__row_uid, doc_id, size, source_size, target, copies, taken``.
 
     A text's size is its words; null and empty texts have size 0 and are never copied.  Null is a
     source of its own, the last one.  Draws are hashes of id and text, so reruns agree; rows that
     repeat another draw alike, and which of them is taken makes no difference.  An empty table
-    gives an empty result.  A hot source is dealt over as many buckets as it has bucket_rows.
+    gives an empty result.  Texts of any length count whole.  Only doc_id, text and source are read, so other
+    columns can't clash.  uid_col: the column that numbers the rows, if they have numbers.  A hot source is dealt over as many buckets as it has bucket_rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    rows = with_uid(docs.select("doc_id", "text", "source")).select(
-        UID, "doc_id", "source", key.alias("source_key"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"))
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    rows = docs.select(
+        uid.alias(UID), "doc_id", "source", key.alias("source_key"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"))
     rows = scratch.keep(rows, "rows")
     sizes = rows.groupBy("source_key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("source_rows"))
     targets = scratch.keep(source_targets(sizes, weights, max_copies), "targets")
@@ -114,9 +116,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, bucket_r
 
 def take_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select(UID, F.col("copies").alias("__copies"))
-    out = with_uid(docs).join(copies, UID).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs, Scratch(docs.sparkSession, "mix-rows"))
+    copies = mix(rows.select(UID, "row.doc_id", "row.text", "row.source"), uid_col=UID).where("copies > 0").select(UID, "copies")
+    return rows.join(copies, UID).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

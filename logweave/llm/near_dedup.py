@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, Scratch, table, with_uid
+from .common import UID, Scratch, numbered, table
 
 #: PERCENT is the limit of op7_near_dedup, STAGE_PERCENT that of a stage without one of its own.
 SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
@@ -85,8 +85,15 @@ def signature(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(batches):
+def _small(batches, rows: int = 1_000):
+    """Slices of the batches, so that a worker holds the sets of few rows at a time."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _sketch(batches):
+    for batch in _small(batches):
         rows = []
         for uid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
             codes = shingles(text)
@@ -112,7 +119,7 @@ def _post(batches):
 def _parities(batches):
     """Bitmaps of sets: bit i says whether an odd number of the codes end in i. Two to four bits a code,
     a power of two of words; ``half`` is the bitmap of half as many bits."""
-    for batch in batches:
+    for batch in _small(batches):
         bits, half = [], []
         for codes in (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in batch.column("set")):
             n = 64
@@ -127,7 +134,7 @@ def _parities(batches):
 
 
 def _coordinates(batches):
-    for batch in batches:
+    for batch in _small(batches):
         flat = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.int32)
         coords = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, K, dtype=np.int32), pa.array(flat))
         yield pa.RecordBatch.from_arrays([batch.column("uid"), coords], ["uid", "coords"])
@@ -135,14 +142,14 @@ def _coordinates(batches):
 
 def _agree(batches):
     """Matching coordinates of the signatures of both sides."""
-    for batch in batches:
+    for batch in _small(batches):
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, K) for c in ("sig_a", "sig_b"))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).sum(axis=1).astype(np.int32))], ["a", "b", "m"])
 
 
 def _measure(batches):
     """Sizes of the intersection and the union of the full sets of both sides."""
-    for batch in batches:
+    for batch in _small(batches):
         inter, union = [], []
         for x, y in zip(batch.column("set_a"), batch.column("set_b")):
             x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
@@ -309,7 +316,7 @@ def _components(postings: DataFrame, pairs: _Pairs, scratch: Scratch) -> DataFra
         scratch.drop(f"met{number}", f"tied{number}", f"pivots{number}", f"near{number}", f"lists{number - 1}")
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
     """One row per input row: ``__row_uid, doc_id, n_shingles, component_id, kept, stays``.
 
     Documents are linked when ``100 * intersection >= percent * union`` of their shingle sets.
@@ -317,11 +324,14 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     it is the row's own.  stays holds for exactly one row of a component, also where ids repeat or
     are null (a component of null ids alone has a null component_id).  Texts without words, empty
     and null ones have no shingles and are linked with nothing.  Rows that repeat another are in
-    its component.  An empty table gives an empty result.
+    its component.  Sets of texts of any length are whole.  Of rows with the least id of a component the one
+    with the least number stays.  An empty table gives an empty result.  Other columns are not read, so they
+    can't clash.  uid_col: the column that numbers the rows, if they have numbers; they must be stored ones.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     matches = max(1, matches_at(percent))
-    rows = with_uid(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    named = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    rows = docs.select(F.col(uid_col).alias(UID), *named) if uid_col else numbered(docs.select(*named), scratch).select(UID, "row.*")
     sketched = rows.select(F.col(UID), "doc_id", "text").mapInArrow(_sketch, "uid long, doc_id long, n long, same binary, sig binary")
     sketched = scratch.keep(sketched, "sketched")
     classes = sketched.where("same IS NOT NULL").groupBy("same").agg(F.min("uid").alias("rep"))
@@ -339,7 +349,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     sigs = scratch.keep(sigs.join(some, "uid"), "sigs")
 
     def full_sets(batches):
-        for batch in batches:
+        for batch in _small(batches):
             sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sets, pa.binary())], ["uid", "set"])
 
@@ -347,7 +357,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     sets = scratch.keep(sets, "sets")
 
     def spread(batches):
-        for batch in batches:
+        for batch in _small(batches):
             codes = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in batch.column("set")]
             n = [len(c) for c in codes]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("uid")), n)), pa.array(np.concatenate([np.zeros(0, np.int64), *codes]))], ["uid", "code"])
@@ -359,18 +369,24 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     prefix = scratch.keep(prefix.join(sizes, "uid"), "linkable")
     roots = _components(prefix, _Pairs(scratch, sigs, sets, percent), scratch)
     classes = classes.join(roots, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("root", "rep").alias("root"))
-    placed = sketched.join(classes, "same", "left").select("uid", "doc_id", "n", F.coalesce("root", "uid").alias("root"), F.col("root").isNotNull().alias("shared"))
+    placed = sketched.join(classes, "same", "left").select("uid", "doc_id", "n", F.coalesce("root", "uid").alias("root"))
     placed = scratch.keep(placed, "placed")
-    first = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("stay"))
-    return placed.join(first, "root").select(
-        F.col("uid").alias(UID), "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("uid") == F.col("stay")).alias("stays"))
+    # Components of several rows alone are joined, as a table, so that the rows of a large one can be split.
+    first = placed.groupBy("root").agg(
+        F.count("*").alias("rows"), F.min("doc_id").alias("least"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("stay")).where("rows > 1")
+    first = scratch.keep(first, "components")
+    scratch.only("placed", "components")
+    component = F.coalesce("least", "doc_id")
+    return placed.join(first, "root", "left").select(
+        F.col("uid").alias(UID), "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce(F.col("uid") == F.col("stay"), F.lit(True)).alias("stays"))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """One row of each component, with all columns of ``docs``."""
-    stay = near_dedup(docs, percent).where("stays").select(UID)
-    return with_uid(docs).join(stay, UID, "left_semi").drop(UID)
+    rows = numbered(docs, Scratch(docs.sparkSession, "near-rows"))
+    stay = near_dedup(rows.select(UID, "row.doc_id", "row.text"), percent, uid_col=UID).where("stays").select(UID)
+    return rows.join(stay, UID, "left_semi").select("row.*")
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -218,6 +218,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, bucket_items: int = BU
         final.append(bins.where(~on).select("sequence_id", "members"))
         items = bins.where(on).select(F.col("sequence_id").alias("item"), "total", "members")
         n = items.count() if half else 0
+    scratch.drop("pieces", "items")
     out = final[0]
     for more in final[1:]:
         out = out.unionByName(more)

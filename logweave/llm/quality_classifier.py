@@ -113,7 +113,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
 def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``. Null counts as empty; a text's score depends on its bytes alone, so
-    rows that repeat a text score alike."""
+    rows that repeat a text score alike.  Texts of any length are compressed whole, an empty table gives an
+    empty result, and a column ``score`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -107,7 +107,8 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, text_col: str = "text
     n_repeat_words, base_failed, kept, ratio.
 
     Null text has no words and so fails the base rules; so does an empty text.  A text shorter than
-    an n-gram has ratio 0.  Without trusted rows every ratio is 0.  Repeated rows are judged alike.
+    an n-gram has ratio 0.  Texts of any length are judged whole.  An empty table gives an empty result.  A
+    column ``__rules`` is replaced.  Without trusted rows every ratio is 0.  Repeated rows are judged alike.
     Each row is judged from its own whole text and the fixed model; no row is moved.
     """
     weights = log_ratios(docs, trusted_ids, text_col)
@@ -135,8 +136,9 @@ def trusted_documents(spark, sf_dir: str, rows: int = TRUSTED_ROWS) -> DataFrame
 
 
 def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that pass, with the columns of ``docs``."""
-    return quality_rules(docs, trusted_documents(spark, sf_dir)).where("__rules.kept").drop("__rules")
+    """The rows that pass, with the columns of ``docs``, whatever their names."""
+    judged = quality_rules(docs.select(F.struct("*").alias("row"), "doc_id", "text"), trusted_documents(spark, sf_dir))
+    return judged.where("__rules.kept").select("row.*")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
