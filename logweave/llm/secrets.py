@@ -8,7 +8,7 @@ that look live are added.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import UID, Scratch, table, with_uid
@@ -29,30 +29,47 @@ MORE = (
 )
 #: A value that more owners than this have is a copied example.
 MAX_OWNERS = 2
+#: Places are summed within blocks of so many matches.
+BLOCK = 512
 #: Distinct characters that a value that looks live has at least.
 MIN_CHARACTERS = 8
 
 
-def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches as array<struct<kind, start, end, value>>, in code points.
+def _before(lengths: Column) -> Column:
+    """Of each length the sum of those before it. An array grown by one copies itself, so sums run within
+    blocks, and over the blocks."""
 
-    Between matches lies what split() returns, so places are running sums of lengths. Matches
-    whose group is shorter than ``least`` consume their text and are dropped.
-    """
+    def running(xs: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    zero = F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    with_sums = F.transform(blocks, lambda x: F.struct(x.alias("x"), F.aggregate(x, zero, lambda a, b: a + b).alias("sum")))
+    of_blocks = lambda b: F.zip_with(b, running(F.transform(b, lambda x: x["sum"]), zero), lambda x, start: running(x["x"], start))
+    return F.when(F.size(lengths) > 0, F.flatten(F.get(F.transform(F.array(with_sums), of_blocks), 0))).otherwise(F.array().cast("array<bigint>"))
+
+
+def parts_of(text: Column, pattern: str, group: int) -> Column:
+    """array<struct<m, v, gap>>: each leftmost non-overlapping match, its group, and the text before it
+    since the match before: what split() returns lies between matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     parts = F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
-    kind_of = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind_of).alias("out"))
+    return F.when(text.rlike(pattern), F.transform(parts, lambda x: F.struct(x["v"].alias("v"), F.length(x["m"]).cast("long").alias("m"), F.length(x["gap"]).cast("long").alias("gap"))))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), x["v"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.when(F.length(x["v"]) >= least, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(parts, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kind_of))
+def spans_of(parts: Column, kind: str, least: int) -> Column:
+    """array<struct<kind, start, end, value>> in code points, from parts_of. Matches whose group is shorter
+    than ``least`` consume their text and are dropped."""
+    placed = F.arrays_zip(parts.alias("p"), _before(F.transform(parts, lambda x: x["m"] + x["gap"])).alias("at"))
+    fits = F.filter(placed, lambda x: F.length(x["p"]["v"]) >= least)
+
+    def span(x):
+        start = x["at"] + x["p"]["gap"]
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["p"]["m"]).alias("end"), x["p"]["v"].alias("value"))
+
+    return F.transform(fits, span)
 
 
 def _secret_of(x: Column) -> Column:
@@ -73,7 +90,9 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", t
     """One row per input row: ``__row_uid, doc_id, n_assign, n_access, n_hex, base_sha256, spans,
     n_live, n_copied, findings``.
 
-    Null text counts as empty and has no spans; null owners are one owner.  Rows that repeat a text
+    Null text counts as empty and has no spans; texts of any length are read whole, in time that grows little
+    faster than their matches; of spans with one start the listed order of kinds decides; other columns than the
+    named ones are not read, so they can't clash; null owners are one owner.  Rows that repeat a text
     have the same spans.  findings lists every candidate with the numbers of owners and repositories of
     its value and whether it looks live.  An empty table gives an empty result.  Counts are partial aggregates
     over (hash, owner, repository), so a value that a third of all rows hold is one row per task.
@@ -82,8 +101,9 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = with_uid(docs.select(F.col("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), text.alias("text")))
     any_kind = "|".join(f"(?:{p})" for _, p, *_ in BASE + MORE)
-    kinds = {k: F.when(F.col("maybe"), spans_of(F.col("text"), k, p, g, n)) for k, p, g, n in BASE + MORE}
-    found = rows.withColumn("maybe", F.col("text").rlike(any_kind)).withColumns(kinds)
+    parts = {k: F.when(F.col("maybe"), parts_of(F.col("text"), p, g)) for k, p, g, _ in BASE + MORE}
+    found = rows.withColumn("maybe", F.col("text").rlike(any_kind)).withColumns(parts)
+    found = found.withColumns({k: F.when(F.col(k).isNotNull(), spans_of(F.col(k), k, n)) for k, _, _, n in BASE + MORE})
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
     listed = lambda kinds: F.concat(*[F.coalesce(F.col(k), empty) for k, *_ in kinds])
     hashed = lambda a: F.transform(a, lambda x: F.struct(x["kind"], x["start"], x["end"], F.xxhash64(_secret_of(x)).alias("h"), F.size(F.array_distinct(F.split(x["value"], ""))).alias("chars")))
@@ -92,18 +112,24 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", t
     owned = each.select("h", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
     by_owner = owned.groupBy("h", "owner").agg(F.count("*").alias("repos"))
     counts = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    counts = scratch.keep(counts, "counts")  # as a table, so that the rows of a frequent value can be split in the join
     looks = (F.col("owners") <= max_owners) & (F.col("chars") >= MIN_CHARACTERS)
     # A finding of a further kind needs no look at its characters if its pattern names what it is.
     looks = F.when(F.col("kind").isin("pem", "vendor", "jwt"), F.col("owners") <= max_owners).otherwise(looks)
-    judged = each.join(counts, "h").select(UID, F.struct("kind", "start", "end", "owners", "repos", looks.alias("live")).alias("f"))
+    base_kinds = [k for k, *_ in BASE]
+    # A further span stays out of the result if it meets a base span: one that begins before it ends and ends
+    # after it begins. A pem block is more than a base span in or across a part of it: one has to cover it.
+    is_base = F.col("kind").isin(base_kinds)
+    until = Window.partitionBy(UID).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = Window.partitionBy(UID).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reached, next_start = F.max(F.when(is_base, F.col("end"))).over(until), F.min(F.when(is_base, F.col("start"))).over(onward)
+    met = F.when(F.col("kind") == "pem", reached >= F.col("end")).otherwise((reached > F.col("start")) | (next_start < F.col("end")))
+    judged = each.join(counts, "h").withColumn("live", looks).withColumn("extra", ~is_base & F.col("live") & ~F.coalesce(met, F.lit(False)))
+    judged = judged.select(UID, F.struct("kind", "start", "end", "owners", "repos", "live", "extra").alias("f"))
     judged = judged.groupBy(UID).agg(F.sort_array(F.collect_list("f")).alias("findings"))
     full = found.join(judged, UID, "left")
-    base_kinds = [k for k, *_ in BASE]
-    findings = F.coalesce("findings", F.array().cast("array<struct<kind:string,start:bigint,end:bigint,owners:bigint,repos:bigint,live:boolean>>"))
-    base = F.filter(findings, lambda x: x["kind"].isin(base_kinds))
-    # A pem block is more than a base span in or across a part of it.
-    covers = lambda b, x: F.when(x["kind"] == "pem", (b["start"] <= x["start"]) & (x["end"] <= b["end"])).otherwise((b["start"] < x["end"]) & (x["start"] < b["end"]))
-    extra = F.filter(findings, lambda x: ~x["kind"].isin(base_kinds) & x["live"] & ~F.exists(base, lambda b: covers(b, x)))
+    findings = F.coalesce("findings", F.array().cast("array<struct<kind:string,start:bigint,end:bigint,owners:bigint,repos:bigint,live:boolean,extra:boolean>>"))
+    extra = F.filter(findings, lambda x: x["extra"])
     plain = lambda a: F.transform(a, lambda x: F.struct(x["kind"], x["start"], x["end"]))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return full.select(
