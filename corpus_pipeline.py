@@ -1,7 +1,13 @@
 """A corpus pipeline: quality rules, exact dedup, near-dedup, mixing, packing.
 
 Each stage takes the rows that the stage before it kept.  All but the last return the columns of
-``documents``; the last returns the packed pieces.
+``documents``, whatever their names; the last returns the packed pieces.
+
+Null and empty texts have no words: the quality rules reject them, so no later stage of a run sees one
+(alone, exact dedup makes them one group, near-dedup keeps each, mixing never takes them, and packing
+gives each a piece with the end id).  Rows without an id or a source are treated like others; null is a
+source of its own.  Of repeated rows exact dedup keeps one.  Texts of any length are read whole and cut
+by packing alone.  An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
