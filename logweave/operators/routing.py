@@ -14,11 +14,11 @@ def range_bounds(uppers: DataFrame) -> DataFrame:
 def by_range(rows: DataFrame, value: str, bounds: list[tuple[str, int | None, int]]) -> DataFrame:
     """``rows`` with ``part``: bounds are [lo, hi), a lower None is open; null part: outside every
     range. The bounds are table metadata, so they become one expression and nothing is joined."""
-    part = F.lit(None).cast("string")
-    for name, lo, hi in reversed(bounds):
+    part = None
+    for name, lo, hi in bounds:  # one flat CASE: thousands of bounds nest no deeper than one
         inside = F.col(value) < hi if lo is None else (F.col(value) >= lo) & (F.col(value) < hi)
-        part = F.when(inside, F.lit(name)).otherwise(part)
-    return rows.withColumn("part", part)
+        part = F.when(inside, name) if part is None else part.when(inside, name)
+    return rows.withColumn("part", F.lit(None).cast("string") if part is None else part)
 
 
 def by_list(rows: DataFrame, value: str, lists: DataFrame) -> DataFrame:
@@ -36,11 +36,15 @@ def day_of(ts: str) -> Column:
     return F.to_date(F.date_trunc("day", ts))
 
 
+# Clauses of ADD PARTITION texts.
+EMPTY_RANGE = r"VALUES \[\(\), \(\)\) \([^)]+\)"
+TRIPLE_LIST = r"VALUES IN \(\(\((.*)\)\)\)"
+PLAIN, TEMPORARY = "ADD PARTITION", "ADD TEMPORARY PARTITION"
+
+
 def add_partition_sql(sql: Column, temporary: Column) -> Column:
     """The text of an ADD PARTITION as a target takes it: the clause of an empty range goes, with the
     parenthesis after it; triple parentheses of a list become double ones; a temporary partition is said to
     be one."""
-    out = F.regexp_replace(sql, r"VALUES \[\(\), \(\)\) \([^)]+\)", "")
-    out = F.regexp_replace(out, r"VALUES IN \(\(\((.*)\)\)\)", "VALUES IN (($1))")
-    named = out.contains("ADD TEMPORARY PARTITION")
-    return F.when(temporary & ~named, F.replace(out, F.lit("ADD PARTITION"), F.lit("ADD TEMPORARY PARTITION"))).otherwise(out)
+    out = F.regexp_replace(F.regexp_replace(sql, EMPTY_RANGE, ""), TRIPLE_LIST, "VALUES IN (($1))")
+    return F.when(temporary & ~out.contains(TEMPORARY), F.replace(out, F.lit(PLAIN), F.lit(TEMPORARY))).otherwise(out)

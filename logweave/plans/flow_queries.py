@@ -330,7 +330,9 @@ def _(s, d):
 
 # --- the mixed log ------------------------------------------------------------------------------------
 
-_RECORDS = f"""SELECT commit_seq, type, table_id, 'p' || part_day AS part, k, v, CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, CASE type
+_RECORDS = f"""SELECT commit_seq, CASE WHEN type <> 'BARRIER' THEN type WHEN commit_seq % 2 = 0 THEN 'RENAME_COLUMN' ELSE 'MODIFY_COMMENT' END AS type, table_id, 'p' || part_day AS part, k, v,
+  CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, CASE type
+  WHEN 'BARRIER' THEN CASE WHEN commit_seq % 2 = 0 THEN '{{"tableId":' || table_id || ',"colName":"c' || k % 4 || '","newColName":"d' || k % 4 || '"}}' ELSE '{{"tblId":' || table_id || ',"type":"COLUMN","colToComment":{{"c' || k % 4 || '":"n' || commit_seq || '"}}}}' END
   WHEN 'TRUNCATE_TABLE' THEN '{{"tblId":' || table_id || ',"isEntireTable":' || CASE WHEN commit_seq % 2 = 0 THEN 'true' ELSE 'false' END || ',"rawSql":"PARTITIONS (p1, p' || part_day || ')"}}'
   WHEN 'DROP_PARTITION' THEN CASE WHEN commit_seq % 10 = 0 THEN '{{"tableId":5}}' ELSE '{{"tableId":' || table_id || ',"sql":"DROP PARTITION p' || part_day || '"}}' END
   WHEN 'DROP_TABLE' THEN '{{"tableId":' || table_id || '}}' WHEN 'RENAME_TABLE' THEN '{{"tb":' || table_id || CASE WHEN commit_seq % 3 = 0 THEN ',"nR":"r' ELSE ',"nT":"t' END || commit_seq || CASE WHEN commit_seq % 3 = 0 THEN '","oR":"r"}}' ELSE '","oT":"t"}}' END
@@ -361,11 +363,19 @@ def _(s, d):
     return _replayed(s, d).read()
 
 
-@query("replay_columns", f"""SELECT table_id, col AS "column", CAST(seq AS VARCHAR) AS "default" FROM (SELECT table_id, 'c' || k % 4 AS col, max(commit_seq) AS seq FROM ({X.LOG}) l WHERE type = 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS' GROUP BY ALL) t WHERE seq % 3 <> 0""")
+@query("replay_columns", f"""WITH l AS ({X.LOG}), e AS (
+  SELECT table_id, 'c' || k % 4 AS col, commit_seq, commit_seq % 3 = 0 AS dropped, CAST(commit_seq AS VARCHAR) AS def FROM l WHERE type = 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS'
+  UNION ALL SELECT table_id, 'c' || k % 4, commit_seq, true, NULL FROM l WHERE type = 'BARRIER' AND commit_seq % 2 = 0 UNION ALL SELECT table_id, 'd' || k % 4, commit_seq, false, NULL FROM l WHERE type = 'BARRIER' AND commit_seq % 2 = 0)
+SELECT table_id, col AS "column", def AS "default" FROM (SELECT *, row_number() OVER (PARTITION BY table_id, col ORDER BY commit_seq DESC) AS place FROM e) t WHERE place = 1 AND NOT dropped""")
 def _(s, d):
     return _replayed(s, d).columns.read().select("table_id", "column", "default")
 
 
+@query("replay_comments", f"SELECT table_id, 'c' || k % 4 AS \"column\", 'n' || max(commit_seq) AS comment FROM ({X.LOG}) l WHERE type = 'BARRIER' AND commit_seq % 2 = 1 GROUP BY ALL")
+def _(s, d):
+    return _replayed(s, d).comments.read().select("table_id", "column", "comment")
+
+
 @query("replay_syncs", f"""SELECT table_id, action, max(commit_seq) AS commit_seq FROM (SELECT table_id, commit_seq, CASE WHEN type = 'DUMMY' OR (type = 'ALTER_JOB' AND commit_seq % 3 <> 0 AND commit_seq % 4 = 0) OR (type = 'REPLACE_PARTITIONS' AND commit_seq % 2 = 1) THEN 'FULL_SYNC'
   WHEN type = 'ALTER_JOB' AND commit_seq % 3 <> 0 THEN 'PARTIAL_SYNC_REPLACE' WHEN type = 'REPLACE_PARTITIONS' THEN 'PARTIAL_SYNC' END AS action FROM ({X.LOG}) l) t WHERE action IS NOT NULL GROUP BY ALL
 UNION ALL SELECT NULL, 'refused', commit_seq FROM ({X.LOG}) l WHERE type = 'DROP_PARTITION' AND commit_seq % 10 = 0""")

@@ -11,14 +11,14 @@ from ..sources.snapshots import ChangeTable
 
 _TRIAGE = "type string, jobState string, strictRange boolean, useTempName boolean"
 #: Record types whose payloads are decoded here.
-_KINDS = ("TRUNCATE_TABLE", "DROP_PARTITION", "DROP_TABLE", "RENAME_TABLE", "MODIFY_TABLE_ADD_OR_DROP_COLUMNS")
+_KINDS = ("TRUNCATE_TABLE", "DROP_PARTITION", "DROP_TABLE", "RENAME_TABLE", "RENAME_COLUMN", "MODIFY_COMMENT", "MODIFY_TABLE_ADD_OR_DROP_COLUMNS")
 
 
 class Replica:
     """Tables kept by a log of records (commit_seq, type, table_id, part, k, v, op, data).
 
     Each batch is split by what its records call for.  Row changes, cuts (truncations, dropped
-    partitions and tables), table names, columns, tables to be synced anew and refused records are
+    partitions and tables), table names, columns, comments, tables to be synced anew and refused records are
     kept as ChangeTables, so a batch may repeat and batches may come in any order: a cut holds for
     the rows before its position, wherever they are delivered.
     """
@@ -29,6 +29,7 @@ class Replica:
         self.cuts = table("cuts", "table_id", "part")
         self.names = table("names", "table_id")
         self.columns = table("columns", "table_id", "column", gone="dropped")
+        self.comments = table("comments", "table_id", "column")
         self.syncs = table("syncs", "table_id", "action")
         self.refused = table("refused", "commit_seq", "reason")
 
@@ -41,7 +42,8 @@ class Replica:
         self.rows.apply(batch, acted.where("action = 'APPLY_ROWS'").select("table_id", "part", "k", "commit_seq", "v", "op"))
         self.cuts.apply(batch, _cuts(good))
         self.names.apply(batch, good["RENAME_TABLE"].where(P.rename_kind() == "TABLE").select(F.col("p.tb").alias("table_id"), "commit_seq", F.col("p.nT").alias("name")))
-        self.columns.apply(batch, _columns(good["MODIFY_TABLE_ADD_OR_DROP_COLUMNS"]))
+        self.columns.apply(batch, _columns(good["MODIFY_TABLE_ADD_OR_DROP_COLUMNS"]).unionByName(_renamed_columns(good["RENAME_COLUMN"])))
+        self.comments.apply(batch, P.comments(records.where("type = 'MODIFY_COMMENT'").select("commit_seq", "data")).withColumn("column", F.coalesce("column", F.lit(""))))
         self.syncs.apply(batch, acted.where("action IN ('PARTIAL_SYNC', 'PARTIAL_SYNC_REPLACE', 'FULL_SYNC')").select("table_id", "action", "commit_seq"))
         refused = acted.where("action = 'ERROR'").select("commit_seq", F.lit("unknown type").alias("reason"))
         for d in parsed.values():
@@ -77,3 +79,10 @@ def _columns(changes: DataFrame) -> DataFrame:
     return changes.select(
         F.col("p.tableId").alias("table_id"), "commit_seq", part(r"(?:ADD|DROP)\s+COLUMN\s+`?(\w+)").alias("column"),
         sql.rlike(r"(?i)DROP\s+COLUMN").alias("dropped"), F.nullif(part(r"DEFAULT\s+[\"']?([^\"'\s]+)"), F.lit("")).alias("default")).where("column != ''")
+
+
+def _renamed_columns(changes: DataFrame) -> DataFrame:
+    """A renamed column is one that goes and one that comes."""
+    old = F.struct(F.col("p.colName").alias("column"), F.lit(True).alias("dropped"))
+    new = F.struct(F.col("p.newColName").alias("column"), F.lit(False).alias("dropped"))
+    return changes.select(F.col("p.tableId").alias("table_id"), "commit_seq", F.inline(F.array(old, new))).withColumn("default", F.lit(None).cast("string"))

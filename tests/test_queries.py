@@ -40,6 +40,15 @@ def test_buckets_are_even(spark):
     assert len(sizes) == 16 and max(sizes) <= 2 * 10_000 / 16
 
 
+def test_thousands_of_ranges(spark):
+    from logweave.operators.routing import by_range
+
+    bounds = [(f"p{i}", 10 * i if i else None, 10 * (i + 1)) for i in range(3_000)]
+    got = by_range(spark.range(-10, 30_010, 5), "id", bounds).collect()
+    assert all(r.part == (None if r.id >= 30_000 else f"p{max(0, r.id // 10)}") for r in got)
+    assert by_range(spark.range(1), "id", []).first().part is None
+
+
 def test_as_of_blocks(spark):
     """Any block length gives the same values."""
     from logweave.operators.asof import as_of
