@@ -10,8 +10,9 @@
    any other; a class that can't be linked to any member of a posting leaves it.
 5. Short postings give their pairs.  Long postings are skipped in that merge: pivots are compared
    with all members, and the triangle inequality of the Jaccard distance settles most other
-   pairs.  Once all but a few members of a posting are one component, those few are compared with
-   the members that their bounds allow; what is left goes on with more pivots.
+   pairs.  Once all but a few members of a posting are one component, the posting is joined with those
+   few.  The join counts the collisions of both signatures and compares sizes and parity bitmaps of
+   the full sets, and only what may be linked becomes a pair; what is left goes on with more pivots.
 6. Pairs whose signatures agree often enough are confirmed on the full shingle sets; links give
    components by alternating large-star and small-star steps.
 """
@@ -34,8 +35,8 @@ SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
 K, MISSED = 48, 1e-6
 #: Postings up to this length give all their pairs.
 SHORT = 8
-#: A list with at most so many members outside its main component is settled by comparing those
-#: with its other members; it takes up to this many comparisons a member. Longer rests take pivots.
+#: A list with at most so many members outside its main component is settled by joining those with its
+#: other members; that looks at up to this many others a member, but makes few pairs. Longer rests take pivots.
 FEW = 512
 _RNG = np.random.RandomState(1)
 _MULT = (_RNG.randint(0, 2**32, K, dtype=np.uint64) << np.uint64(32) | _RNG.randint(0, 2**32, K, dtype=np.uint64)) | np.uint64(1)
