@@ -99,4 +99,4 @@ def rename_kind() -> Column:
 
 def clause_partitions(sql: Column) -> Column:
     """Names in the parentheses of a PARTITIONS clause."""
-    return F.filter(F.transform(F.split(F.regexp_extract(sql, r"\((.*)\)", 1), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_extract(sql, r"\((.*)\)", 1), ","), lambda x: F.trim(x)), lambda x: x != "")

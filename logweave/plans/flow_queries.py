@@ -280,8 +280,8 @@ def _(s, d):
     names, of = S.Names(s, f"{folder}/names"), F.col("table_id") == 103
     tables = {"others": _table(s, f"{folder}/others"), "t_103": _table(s, f"{folder}/old"), "alias": _table(s, f"{folder}/alias")}
     names.point({n: t.folder for n, t in tables.items() if n != "alias"})
-    tables["others"].apply(0, r.where((F.col("commit_seq") <= c) & ~of))
-    tables["t_103"].apply(0, r.where((F.col("commit_seq") <= c // 2) & of))
+    tables["others"].apply(-1, r.where((F.col("commit_seq") <= c) & ~of))
+    tables["t_103"].apply(-1, r.where((F.col("commit_seq") <= c // 2) & of))
     tables["alias"].apply(-1, latest(r.where(of & (F.col("commit_seq") <= c + 100)), KEYS, ["commit_seq"], F.expr("op = 'D'")))
     names.point({"alias": tables["alias"].folder})
     names.replace("t_103", "alias")

@@ -100,9 +100,9 @@ _DECODE = {
     "decode_rename_table": ("RENAME_TABLE", "RENAME_TABLE", """'{"tb":' || table_id || CASE commit_seq % 3 WHEN 0 THEN ',"nT":"x","oT":"y"}' WHEN 1 THEN ',"nR":"x","oR":"y"}' ELSE ',"nP":"x","oP":"y"}' END""",
         {"table_id": "p.tb", "kind": None}, {"table_id": "table_id", "kind": "CASE commit_seq % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'ROLLUP' ELSE 'PARTITION' END"}),
     "decode_truncate": ("TRUNCATE_TABLE", "TRUNCATE_TABLE", """'{"tblId":' || table_id || ',"isEntireTable":' || CASE WHEN commit_seq % 2 = 0 THEN 'true' ELSE 'false' END || ',"rawSql":"' || CASE WHEN commit_seq % 2 = 0 THEN '' ELSE 'PARTITIONS (p1, p' || part_day || ')' END || '"}'""",
-        {"table_id": "p.tblId", "entire": "p.isEntireTable", "n_partitions": None}, {"table_id": "table_id", "entire": "commit_seq % 2 = 0", "n_partitions": "CAST(CASE WHEN commit_seq % 2 = 0 THEN 0 ELSE 2 END AS BIGINT)"}),
+        {"table_id": "p.tblId", "entire": "p.isEntireTable", "parts": None}, {"table_id": "table_id", "entire": "commit_seq % 2 = 0", "parts": "CASE WHEN commit_seq % 2 = 0 THEN '' ELSE 'p1|p' || part_day END"}),
 }
-_DERIVED = {("decode_rename_table", "kind"): P.rename_kind, ("decode_truncate", "n_partitions"): lambda: F.size(P.clause_partitions(F.col("p.rawSql"))).cast("long")}
+_DERIVED = {("decode_rename_table", "kind"): P.rename_kind, ("decode_truncate", "parts"): lambda: F.array_join(P.clause_partitions(F.col("p.rawSql")), "|")}
 
 
 def _payload(kind: str, text: str) -> str:
