@@ -12,6 +12,8 @@ from ..sources.folders import delete, shared_folder
 #: The separators of words: space and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
+#: Bytes of an Arrow batch while a table is written: an executor holds several batches of texts or sets at a time.
+ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 #: Name of the row identity in what operators return.
 UID = "__row_uid"
 
@@ -31,7 +33,12 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        conf, before = self.spark.conf, self.spark.conf.get(ARROW, None)
+        conf.set(ARROW, ARROW_BYTES)
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.unset(ARROW) if before is None else conf.set(ARROW, before)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -59,6 +59,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
+    rows = scratch.keep(rows, "rows")
+    scratch.only("rows")
     order = F.struct("points", F.col("doc_id").isNotNull(), F.bitwise_not("doc_id"), F.bitwise_not(UID))
     groups = rows.where("group IS NOT NULL").groupBy("group").agg(
         F.count("*").alias("group_size"), F.max_by(F.struct(F.col("doc_id").alias("keep_id"), F.col(UID).alias("keep_uid")), order).alias("best"))

@@ -193,9 +193,6 @@ class _Pairs:
 
     def __init__(self, scratch: Scratch, sigs: DataFrame, sets: DataFrame, percent: int) -> None:
         self.scratch, self.sigs, self.sets, self.percent, self.number = scratch, sigs, sets, percent, 0
-        #: What a pair is judged by before it is made: bitmaps, and the signature's coordinates.
-        bits = sets.mapInArrow(_parities, "uid long, bits array<long>, half array<long>")
-        self.traits = scratch.keep(bits.join(sigs.mapInArrow(_coordinates, "uid long, coords array<int>"), "uid"), "traits")
         # Near: within twice the link distance.
         self.matches, self.near_matches = matches_at(percent), matches_at(2 * percent - 100)
 
@@ -203,6 +200,11 @@ class _Pairs:
         return pairs.join(side.select(F.col("uid").alias("a"), F.col(value).alias(f"{value}_a")), "a").join(
             side.select(F.col("uid").alias("b"), F.col(value).alias(f"{value}_b")), "b")
 
+    def traits(self, uids: DataFrame) -> DataFrame:
+        """What a pair of these classes is judged by before it is made: bitmaps, and the signature's coordinates."""
+        bits = self.sets.join(uids, "uid", "left_semi").mapInArrow(_parities, "uid long, bits array<long>, half array<long>")
+        return bits.join(self.sigs.mapInArrow(_coordinates, "uid long, coords array<int>"), "uid")
+
     def compare(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs (a, b) that are near by their signatures, and those of them that are linked."""
         self.number += 1
@@ -241,7 +243,8 @@ def _across(lists: DataFrame, few: DataFrame, pairs: _Pairs, name: str) -> DataF
     """
     members = lists.join(few, "key").select("key", "uid", "size", "common", "label", (F.col("label") != F.col("top.label")).alias("odd"))
     shared = members.groupBy("uid").agg(F.collect_list("key").alias("keys"))
-    members = pairs.scratch.keep(members.join(shared.join(pairs.traits, "uid"), "uid"), name)
+    shared = pairs.scratch.keep(shared, f"{name}-lists")
+    members = pairs.scratch.keep(members.join(shared.join(pairs.traits(shared.select("uid")), "uid"), "uid"), name)
     odd = members.where("odd").select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "size", "common", "label", "keys", "bits", "half", "coords")))
     least = F.least("common", "common_a")
     linkable = least * 100 >= (F.col("size") + F.col("size_a") - least) * pairs.percent
