@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extraction, licenses, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, warc
+from . import exact_dedup, html_extraction, licenses, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, secrets, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_html_extraction": html_extraction.op8_html_extraction,
         "op9_packing": packing.op9_packing,
         "op10_licenses": licenses.op10_licenses,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     }
 
 
