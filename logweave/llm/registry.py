@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extraction, licenses, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, secrets, warc
+from . import collocations, exact_dedup, html_extraction, licenses, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, secrets, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_html_extraction": html_extraction.op8_html_extraction,
         "op9_packing": packing.op9_packing,
         "op10_licenses": licenses.op10_licenses,
+        "op11_collocations": collocations.op11_collocations,
         "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_warc": warc.OP5_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_warc": warc.OP5_SQL, "op11_collocations": collocations.OP11_SQL}
