@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, exact_dedup, html_extraction, licenses, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, secrets, warc
+from . import collocations, exact_dedup, html_extraction, licenses, mixing, near_dedup, packing, periodic_runs, pii, quality_classifier, quality_rules, secrets, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_licenses": licenses.op10_licenses,
         "op11_collocations": collocations.op11_collocations,
         "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_pii": pii.op13_pii,
     }
 
 
