@@ -6,15 +6,22 @@ invertible permutation spreads the keys evenly.  A block's counter is a sorted f
 of a permuted key, its quotient, are kept as the number of keys in each slot, the remainder in full,
 so no two n-grams share a counter.  Filters of equal ranges of quotients are merged across
 blocks, in a tree where there are many, and the permutation is undone.
+
+Pairs of words are counted first.  A longer phrase occurs no more often than each pair in it, so longer
+n-grams are counted only where a bitmap of fixed size says of all their pairs that they may be
+frequent; where it errs, there is a counter more, never one less.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +34,8 @@ SCALE, COVERED = 2_000_000, 80
 PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
 #: Bytes of text in a block, n-grams that one merge meets, blocks (or filters) that one merge meets.
 BLOCK_BYTES, MERGE_GRAMS, FAN_IN = 6_000_000, 500_000, 4_096
+#: The bitmap of frequent pairs has 2 ** PAIR_BITS bits, whatever the corpus; words of a bucket that is numbered at once.
+PAIR_BITS, BUCKET_WORDS = 26, 1_000
 _BLOCK = "lang string, n long, codes binary, words array<string>, counts array<long>"
 _FILTER = "lang string, n int, prefix long, group long, filter binary"
 _ROUNDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -162,6 +171,14 @@ def _coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, words, np.bincount(codes[codes >= 0], minlength=len(words))
 
 
+def _small(codes: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").tobytes())
+
+
+def _large(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<i4")
+
+
 def _blocks(block_bytes: int):
     """Rows of _BLOCK from (lang, text): texts of one language come together until there are enough."""
 
@@ -173,7 +190,7 @@ def _blocks(block_bytes: int):
             codes, words, counts = _coded(pa.concat_arrays(held.pop(lang)))
             sizes.pop(lang)
             return pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.array([int(counts.sum())]), pa.array([codes.tobytes()], pa.binary()), pa.array([words.to_pylist()], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64()))],
+                [pa.array([lang]), pa.array([int(counts.sum())]), pa.array([_small(codes)], pa.binary()), pa.array([words.to_pylist()], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64()))],
                 ["lang", "n", "codes", "words", "counts"])
 
         for batch in batches:
@@ -198,27 +215,66 @@ def _blocks(block_bytes: int):
     return run
 
 
-def _filters(bits: int, wide: dict[int, bool]):
-    """Rows of _FILTER from (lang, group, codes, known): the n-grams of a block's known words."""
+def _known(batches):
+    """(lang, group, ids) from (lang, group, codes, known): the numbers of a block's words, -1 for the others
+    and where a piece ends."""
+    for batch in batches:
+        out = []
+        for codes, known in zip(batch.column(2), batch.column(3)):
+            codes, pairs = _large(codes.as_py()), known.values
+            code, number = (pairs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            numbers = np.full(int(max(codes.max(), code.max())) + 2, -1, dtype=np.int64)
+            numbers[code] = number
+            out.append(_small(numbers[codes]))  # code -1 meets the last place, which is -1
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["lang", "group", "ids"])
+
+
+def _pair_bits(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The bit of each pair of words in the bitmap."""
+    key, _ = permuted([first.astype(np.uint64), second.astype(np.uint64)], False)
+    return ((key ^ np.uint64(zlib.crc32(lang.encode()))) * _ROUNDS[1] >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def _bitmap(pairs: DataFrame) -> bytes:
+    """The bitmap of the pairs, put together from slices of 32,768 bits: 2 ** (PAIR_BITS - 3) bytes for any corpus."""
+
+    @F.pandas_udf("long")
+    def bit_of(langs: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([int(_pair_bits(lang, x[:1], x[1:2])[0]) for lang, x in zip(langs, ids)], dtype="int64")
+
+    bit = pairs.select(bit_of("lang", "ids").alias("bit"))
+    slices = bit.groupBy(F.floor(F.col("bit") / 32_768).alias("slice")).agg(F.bitmap_construct_agg(F.col("bit") % 32_768).alias("bits")).collect()
+    out = bytearray(1 << (PAIR_BITS - 3))
+    for at, bits in slices:
+        out[4_096 * at : 4_096 * (at + 1)] = bits
+    return bytes(out)
+
+
+def _filters(bits: int, wide: dict[int, bool], frequent=None):
+    """Rows of _FILTER from (lang, group, ids): the n-grams of known words of the lengths in ``wide``. With a
+    broadcast bitmap, of those whose pairs all may be frequent."""
 
     def run(batches):
         for batch in batches:
-            for lang, group, codes, known in zip(*(batch.column(i) for i in range(4))):
-                codes, pairs = np.frombuffer(codes.as_py(), dtype=np.int32), known.values
-                code, number = (pairs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                numbers = np.full(int(max(codes.max(), code.max())) + 2, -1, dtype=np.int64)
-                numbers[code] = number
-                ids, rows = numbers[codes], []  # code -1 meets the last place, which is -1
-                fine = ids >= 0
+            for lang, group, ids in zip(*(batch.column(i) for i in range(3))):
+                lang, group, ids, rows = lang.as_py(), group.as_py(), _large(ids.as_py()), []
                 unsigned = ids.astype(np.uint64)
+                pair = (ids[:-1] >= 0) & (ids[1:] >= 0)
+                if frequent is not None:
+                    at = np.flatnonzero(pair)
+                    place = _pair_bits(lang, ids[at], ids[at + 1])
+                    pair[at] = np.frombuffer(frequent.value, dtype=np.uint8)[place >> 3] >> (place & 7) & 1
+                fine = pair
                 for n in range(2, max(wide) + 1):
-                    fine = fine[: len(ids) - n + 1] & (ids[n - 1 :] >= 0)
+                    if n > 2:
+                        fine = fine[:-1] & pair[n - 2 :]
                     at = np.flatnonzero(fine)
                     if not len(at):
                         break
-                    hi, lo = permuted([unsigned[at + i] for i in range(n)], wide[n])
-                    got = folded(hi, lo, np.ones(len(hi), dtype=np.int64))
-                    rows += [(lang.as_py(), n, prefix, group.as_py(), data) for prefix, data in _split(*got, bits)]
+                    if n in wide:
+                        hi, lo = permuted([unsigned[at + i] for i in range(n)], wide[n])
+                        got = folded(hi, lo, np.ones(len(hi), dtype=np.int64))
+                        rows += [(lang, n, prefix, group, data) for prefix, data in _split(*got, bits)]
                 if rows:
                     yield pa.RecordBatch.from_pydict(_filter_rows(rows))
 
@@ -268,7 +324,7 @@ def _counts(bits: int, min_count: int):
 def _numbered(vocabulary: DataFrame) -> DataFrame:
     """``lang, word, f, id``: numbers from 0 without gaps in each language. Words are numbered in small
     buckets, and a running sum over the buckets, not over the words, says where each begins."""
-    buckets = vocabulary.count() // 100_000 + 1
+    buckets = vocabulary.count() // BUCKET_WORDS + 1
     dealt = vocabulary.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
     before = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("lang", "bucket").agg(F.count("*").alias("size")).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -285,26 +341,36 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, lang_col: str = "lang", tex
     """(totals, vocabulary, grams): ``lang, n`` words of each language; ``lang, word, f, id`` and ``lang, ids,
     f`` of words and of n-grams up to max_words that occur min_count times. wide: keys of 128 bits
     even where 64 are enough."""
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = scratch.keep(texts.mapInArrow(_blocks(block_bytes), _BLOCK).select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
-    totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = scratch.keep(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).where("w.counts > 0").select("block", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("f"))
     often = words.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
     vocabulary = scratch.keep(_numbered(scratch.keep(often, "often")), "vocabulary")
     known = words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known"))
     n_blocks, all_words = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups, bits, step = max(1, -(-n_blocks // fan_in)), max(0, (all_words // merge_grams).bit_length()), max(1, fan_in.bit_length() - 1)
+    coded = blocks.join(known, "block").select("lang", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "codes", "known")
+    coded = scratch.keep(coded.mapInArrow(_known, "lang string, group long, ids binary"), "coded")
+    scratch.drop("blocks", "often")
     most = vocabulary.groupBy("lang").agg(F.count("*").alias("size")).agg(F.max("size")).first()[0] or 0
     is_wide = {n: bool(wide) or most > 1 << word_bits(n, False) for n in range(2, max_words + 1)}
-    bits, step = max(0, (all_words // merge_grams).bit_length()), max(1, fan_in.bit_length() - 1)
-    groups, at = max(1, -(-n_blocks // fan_in)), min(bits, step)
-    coded = blocks.join(known, "block").select("lang", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "codes", "known")
-    filters, level = coded.mapInArrow(_filters(at, is_wide), _FILTER), 0
-    while groups > 1:
-        groups, finer, level = -(-groups // fan_in), min(bits, at + step), level + 1
-        filters = scratch.keep(filters.groupBy("lang", "n", "prefix", "group").applyInArrow(_merged(at, finer, groups), _FILTER), f"merged{level}")
-        at = finer
-    grams = filters.groupBy("lang", "n", "prefix").applyInArrow(_counts(at, min_count), "lang string, ids array<long>, f long")
-    return totals, vocabulary, scratch.keep(grams, "grams")
+
+    def counted(name: str, lengths: dict[int, bool], frequent=None) -> DataFrame:
+        left, at, level = groups, min(bits, step), 0
+        filters = coded.mapInArrow(_filters(at, lengths, frequent), _FILTER)
+        while left > 1:
+            left, finer, level = -(-left // fan_in), min(bits, at + step), level + 1
+            filters = scratch.keep(filters.groupBy("lang", "n", "prefix", "group").applyInArrow(_merged(at, finer, left), _FILTER), f"{name}{level}")
+            at = finer
+        return scratch.keep(filters.groupBy("lang", "n", "prefix").applyInArrow(_counts(at, min_count), "lang string, ids array<long>, f long"), name)
+
+    pairs = counted("pairs", {2: is_wide[2]})
+    if max_words == 2:
+        return totals, vocabulary, pairs
+    frequent = spark.sparkContext.broadcast(_bitmap(pairs))
+    return totals, vocabulary, pairs.unionByName(counted("longer", {n: w for n, w in is_wide.items() if n > 2}, frequent))
 
 
 def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, **options) -> DataFrame:
