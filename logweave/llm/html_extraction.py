@@ -438,7 +438,7 @@ def extract(page: str | None, rules: dict | None = None) -> str:
             lists.append([])
             _blocks(place, lists, {}, "")
     blocks = (_clean("".join(t for t, _ in x)) for x in lists if not all(f or not t.strip() for t, f in x))
-    return "\n".join(b for b in blocks if b)
+    return "\n\n".join(b for b in blocks if b)
 
 
 def host_of(url: str | None) -> str:
@@ -491,7 +491,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, host`` of every page.
 
     Null html counts as empty and gives empty text; pages without a host share one wrapper.  Rows
-    that repeat a page give its text again.  Blocks are joined by line feeds in page order.  Pages of any
+    that repeat a page give its text again.  Blocks are joined by two line feeds in page order.  Pages of any
     length are read whole, in time that grows little faster than their length.  An empty table gives an
     empty result.  Other columns are not read, so their names can't clash.
     """

@@ -19,7 +19,7 @@ def page(i, host):
 
 def want(i, host, small=False):
     paragraphs = [f"{host} {i} {k}" for k in range(1 + i % 3)]
-    return "\n".join([*([] if small else [f"Lead {host} {i}"]), f"Head {i}", *paragraphs, *(["Write to our desk.", "Read more daily"] if small else []), f"Price: {i}"])
+    return "\n\n".join([*([] if small else [f"Lead {host} {i}"]), f"Head {i}", *paragraphs, *(["Write to our desk.", "Read more daily"] if small else []), f"Price: {i}"])
 
 
 def test_wrapper_decides_inside_and_beside_article(spark, tmp_path):
@@ -74,7 +74,7 @@ def test_wrappers_do_not_depend_on_partitions(spark, tmp_path):
 def test_attributes_and_labels():
     text = lambda inner: hx.extract(f"<article><p>a</p>{inner}</article>")
     for kept in ('<p title="a hidden gem">b</p>', '<div class="related-work">b</div>', '<div class="notice-board">b</div>', '<div class="social-history">b</div>', "<p><math><mi>b</mi></math></p>", '<p data-x="display:none">b</p>', '<p class=\'x"y\'>b</p>'):
-        assert text(kept) == "a\nb", kept
+        assert text(kept) == "a\n\nb", kept
     for gone in ('<p hidden>b</p>', '<p style="color:red; display: none">b</p>', '<div aria-hidden="true">b</div>', '<div class="ad-slot-2">b</div>', '<ul class="comment-list"><li>b</ul>', '<div id="site_header">b</div>', '<div class="Cookie-Consent">b</div>'):
         assert text(gone) == "a", gone
 
@@ -88,7 +88,7 @@ def test_malformed_and_long_pages_take_little_time():
     many = "".join(f"<p>{i}</p><h{1 + i % 6}>h{i}</h{1 + i % 6}><pre>c{i}</pre>{'<ul><li>x</ul>' * (i % 3)}" for i in range(6_000))
     wrapper = hx._align(hx.template(hx.parse(f"<article>{many}</article>"), 1), hx.template(hx.parse(f"<article><b>n</b>{many}</article>"), 2))
     assert hx.rule(hx.load(json.loads(json.dumps(hx.dump(wrapper))))) == hx.rule(wrapper)
-    assert hx.extract(f"<article>{many}</article>").count("\n") == 24_000 - 1
+    assert hx.extract(f"<article>{many}</article>").count("\n\n") == 24_000 - 1
     assert time.time() - began < 60
 
 

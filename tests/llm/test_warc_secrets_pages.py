@@ -93,8 +93,8 @@ def test_html_main_text(spark, tmp_path):
         (100, "http://x.example/", "<nav>n</nav><article><h1>T</h1><p><b>A.<br><p>B <script>x</script>c</p><aside>s</aside></article><footer>f</footer>"), *PAGES[3:6], PAGES[7]]
     got = {(r.page_id, r.url): r for r in hx.extract_pages(pages_of(spark, tmp_path, rows)).collect()}
     assert len(got) == len(rows)
-    assert got[3, "http://h.example/3"].text == "Head 3\nOne & 3 two three\na3\nb"
-    assert got[100, "http://x.example/"].text == "T\nA.\nB c"
+    assert got[3, "http://h.example/3"].text == "Head 3\n\nOne & 3 two three\n\na3\n\nb"
+    assert got[100, "http://x.example/"].text == "T\n\nA.\n\nB c"
     assert got[3, None].text == "" and got[3, None].n_chars == 0
 
 
