@@ -1,9 +1,8 @@
 """Best-fit packing with hierarchical residual bins.
 
-Pieces are packed best-fit inside many buckets.  Two bins of more than half the capacity never fit
-together, so of these only as many as there are emptier bins can still be of use: the roomiest ones go
-on with the emptier bins as the items of the next level, all others are final.  A bucket leaves one
-emptier bin at most, so each level is thousands of times smaller, and the last is one bucket.
+Pieces are packed best-fit inside many buckets, and nearly full bins are final.  The underfull ones are
+opened, and their pieces are the items of the next level, roomiest bins first and at most half as many
+pieces as the level had.  So each level has half the buckets or fewer, and the last is one bucket.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ MAX_TOKENS, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Items that one bucket packs.
 BUCKET_ITEMS = 20_000
+#: A bin from this share of the capacity on is final.
+NEARLY_FULL = 0.99
 #: What a Python worker remembers before it starts anew: distinct words, ids of these. Bytes encoded at a time.
 CACHED_WORDS, CACHED_IDS, PART_BYTES = 600_000, 4_000_000, 6_000_000
 #: Words of printable ASCII and of Latin letters that no normal form changes; once lower-cased they fall into
@@ -35,7 +36,7 @@ _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^!-`{-~]+|[0-9]|[!-/:-`{-~]+")
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + k) for k, b in enumerate(sorted({*range(0x100)} - {*_SHOWN}))}
 _vocabularies: dict[str, _Vocabulary] = {}
-_MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
+_MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,copy:bigint,offset:bigint>>"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -172,36 +173,46 @@ def best_fit(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _goes_on(totals: dict[int, int], capacity: int) -> tuple[int, int, float]:
-    """(half, least, share) of the bins of a level, given how many have each total: bins up to ``half``
-    go on, and of the fuller ones those that are emptier than ``least`` and this share of those that
-    have just that total. These are as many as the bins up to half, or more, and all if there are no more."""
-    half = capacity // 2
-    wanted = sum(n for t, n in totals.items() if t <= half)
-    if wanted == 0 or sum(totals.values()) == 1:
-        return 0, 0, 0.0  # two fuller bins never fit together
-    for total in sorted(t for t in totals if t > half):
-        n = totals[total]
-        if n >= wanted:
-            return half, total, min(1.0, (2 * wanted + 100) / n)
-        wanted -= n
-    return half, capacity, 0.0
+def _goes_on(level: list[tuple[int, int]], capacity: int) -> int:
+    """The greatest total of the bins that go on, 0 for none, given how many pieces the bins of each total have.
+    Without a bin up to half full no two fit together, so none goes on.  Bins up to half full always do,
+    fuller ones while they are not nearly full and have, with those before them, at most half of the pieces."""
+    half, all_pieces = capacity // 2, sum(n for _, n in level)
+    limit, pieces = 0, 0
+    for total, n in sorted(level):
+        pieces += n
+        if total <= half:
+            limit = half
+        elif not limit or total >= NEARLY_FULL * capacity or 2 * pieces > all_pieces:
+            break
+        else:
+            limit = total
+    return limit
+
+
+def _copies_numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``copy``, the number of each among rows that repeat it. Rows are counted, then made
+    again by thousands, so a piece with many copies is never held at once."""
+    counted = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("n"))
+    thousands = counted.withColumn("k", F.explode(F.expr("sequence(0L, (n - 1) DIV 1000)")))
+    return thousands.select(*pieces.columns, F.explode(F.expr("sequence(1000 * k, least(1000 * k + 999, n - 1))")).alias("copy"))
 
 
 def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
     """Pieces with ``sequence_id, offset``: bins of at most max_tokens tokens without gaps.
 
-    Rows that repeat a piece are packed one by one.  Buckets are dealt by a hash of the piece, so
-    no source or length is hot, and hold bucket_items items on average; of equally long items the hash
-    decides which comes first.  Levels end when one bucket holds all items that are left, or none
+    Rows that repeat a piece are packed one by one.  Buckets are dealt by a hash of the piece and of its
+    number among those that repeat it, so no source, length or copy is hot, and hold bucket_items items on
+    average; of equally long items the hash decides which comes first.  So the bins are the same however the
+    pieces lie in files.  Levels end when one bucket holds all items that are left, or none
     of the bins left fits another.  An empty table gives an empty result.
     """
     scratch = Scratch(pieces.sparkSession, "pack")
-    pieces = scratch.keep(pieces, "pieces")
-    one = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset")))
+    pieces = scratch.keep(_copies_numbered(pieces), "pieces")
+    one = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", "copy", F.lit(0).cast("long").alias("offset")))
     whole = F.col("length") >= max_tokens
     final = [scratch.keep(pieces.where(whole).select(F.monotonically_increasing_id().alias("sequence_id"), one.alias("members")), "whole")]
-    h = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    h = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", "copy")
     items = scratch.keep(pieces.where(~whole).select(h.alias("item"), F.col("length").alias("total"), one.alias("members")), "items")
     level, n = 0, items.count()
     buckets = 2 * n
@@ -211,18 +222,17 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, bucket_items: int = BU
         dealt = items.withColumn("bucket", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(buckets)))
         bins = scratch.keep(dealt.groupBy("bucket").applyInPandas(_packer(level, max_tokens), f"sequence_id long, total long, members {_MEMBERS}"), f"level{level}")
         # At most max_tokens totals.
-        totals = {r.total: r.n for r in bins.groupBy("total").agg(F.count("*").alias("n")).collect()} if buckets > 1 else {}
-        half, least, share = _goes_on(totals, max_tokens)
-        drawn = F.pmod(F.xxhash64("sequence_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-        on = (F.col("total") <= half) | (F.col("total") > half) & ((F.col("total") < least) | (F.col("total") == least) & drawn)
-        final.append(bins.where(~on).select("sequence_id", "members"))
-        items = bins.where(on).select(F.col("sequence_id").alias("item"), "total", "members")
-        n = items.count() if half else 0
+        level_of = bins.groupBy("total").agg(F.sum(F.size("members"))).collect() if buckets > 1 else []
+        limit = _goes_on(level_of, max_tokens)
+        final.append(bins.where(F.col("total") > limit).select("sequence_id", "members"))
+        opened = bins.where(F.col("total") <= limit).select(F.explode("members").alias("m"))
+        items = opened.select(F.xxhash64("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "m.copy").alias("item"), F.col("m.length").alias("total"), F.array("m").alias("members"))
+        n = items.count() if limit else 0
     scratch.drop("pieces", "items")
     out = final[0]
     for more in final[1:]:
         out = out.unionByName(more)
-    return out.select("sequence_id", F.inline("members"))
+    return out.select("sequence_id", F.inline("members")).drop("copy")
 
 
 def _packer(level: int, max_tokens: int):

@@ -113,10 +113,11 @@ def test_packing_levels(spark, tmp_path, kind):
 
 
 def test_bins_that_go_on():
-    assert packing._goes_on({4096: 9, 3000: 5}, 4096) == (0, 0, 0.0)  # none is up to half full
-    assert packing._goes_on({1000: 1}, 4096) == (0, 0, 0.0)
-    assert packing._goes_on({1000: 2, 2000: 1, 3000: 2, 3500: 400}, 4096) == (2048, 3500, 102 / 400)
-    assert packing._goes_on({1000: 5, 3000: 2}, 4096) == (2048, 4096, 0.0)
+    assert packing._goes_on([(4096, 9), (3000, 5)], 4096) == 0  # none is up to half full
+    assert packing._goes_on([(3000, 2), (2000, 1), (3500, 400), (1000, 2)], 4096) == 3000  # the next have too many pieces
+    assert packing._goes_on([(3000, 2), (2000, 1), (4060, 400), (4050, 5)], 4096) == 4050  # the next are nearly full
+    assert packing._goes_on([(1000, 50), (3000, 2)], 4096) == 2048
+    assert packing._goes_on([], 4096) == 0
 
 
 def test_token_ids_are_those_of_whole_texts():
@@ -137,3 +138,24 @@ def test_token_ids_are_those_of_whole_texts():
 
 def test_packing_empty(empty):
     assert packing.pack(packing.tokenize(empty)).count() == 0
+
+
+def test_packing_is_the_same_for_any_layout(spark, tmp_path):
+    """Files in any number and order, and rows that repeat a piece, give the same bins."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, 0, 0, rng.randint(1, 4095), i) for i in range(2_000)] + [(None, 0, 0, 700, 5)] * 2_500
+    results = []
+    for n in (1, 3, 8):
+        rng.shuffle(rows)
+        path = str(tmp_path / f"pieces{n}")
+        spark.createDataFrame(rows, packing._PIECES).repartition(n).write.parquet(path)
+        got = packing.pack(spark.read.parquet(path), bucket_items=40).collect()
+        assert sorted(repr(r.doc_id) for r in got) == sorted(repr(r[0]) for r in rows)
+        bins = defaultdict(list)
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length, repr(r.doc_id)))
+        results.append(sorted(sorted(b) for b in bins.values()))
+        check_packing(got, 4096)
+    assert results[0] == results[1] == results[2]
