@@ -46,8 +46,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPI
 
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pair each fraction with the residual so far until one of the two is integral."""
-    pdf = pdf.sort_values(["h", "size", "draw", UID], kind="stable")
+    """Pair each fraction with the residual so far until one of the two is integral. Large documents come
+    first, so what is left over sits on a small one."""
+    pdf = pdf.sort_values(["size", "h", "draw", UID], ascending=[False, True, True, True], kind="stable")
     size, p, draw = pdf["size"].tolist(), pdf["p"].tolist(), pdf["draw"].tolist()
     held = -1
     for j in range(len(p)):
