@@ -80,10 +80,8 @@ def repeated_words(words: list[bytes]) -> int:
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=len(words))
     v = len(seen)
     pairs = ids[:-1] * v + ids[1:]
-    if v >= 1 << 20:  # keep the next product within 63 bits
+    if v >= 1 << 20:  # numbers of pairs are below the number of words, so the next product stays within 62 bits: a text has less than 2**31 bytes
         pairs = np.unique(pairs, return_inverse=True)[1]
-        if len(words) * v >= 1 << 62:
-            raise ValueError("a text of this length is not supported")
     _, inverse, counts = np.unique(pairs[:-1] * v + ids[2:], return_inverse=True, return_counts=True)
     twice = counts[inverse] > 1
     if not twice.any():
