@@ -22,7 +22,7 @@ BASE = (
 #: Further kinds that the ownership count decides on. A pem block goes up to its END line; if none
 #: follows before another BEGIN, it is the header alone.
 MORE = (
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+){0,64}+-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?>(?s:.*?)(?=-----(?:BEGIN|END) ))-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
     ("vendor", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{28,}", 0, 28),
