@@ -80,7 +80,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
     of the rows that repeat it) is the response, the others revisit it.  Null html is an empty
     payload; a null url or page_id is left out of the header.  A task that runs again writes files
     of other names; only files that the index names count.  Digests are grouped as partial minima,
-    and only revisits (ids, no html) are joined, so a hot payload isn't gathered in one task.
+    and only revisits (ids, no html) are joined, so a hot payload isn't gathered in one task.  Pages
+    of any length are one record each; an empty table gives no archives and an empty index.  Other
+    columns aren't read, so they can't clash.
     """
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = with_uid(pages.select("page_id", "url", "html"))
