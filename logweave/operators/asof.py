@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Positions of the log that one block spans.
 BLOCK = 100_000
 
 
-def as_of(records: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+def as_of(records: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = BLOCK, sets: DataFrame | None = None) -> DataFrame:
     """``records`` with ``out``: the last value of the key that isn't null, at or before each position.
 
-    The log is cut into blocks of positions.  Each block's last value comes from a partial aggregate
-    and is carried to the blocks after it over a table of one row per key and block; inside a block a
-    window does the rest.  So a key with most of the rows is spread over as many tasks as it has
-    blocks.  Keys must not be null.
+    sets: the rows (keys, order, value) that set values, where they are known apart from the records;
+    else they are taken from ``records``.  Only they are grouped: what is set inside a block of
+    positions becomes one row for each key and block, and the last value of each such block one entry
+    of its key.  The records meet these rows by two equi-joins and look the value up, so they are
+    neither sorted nor windowed, and a key with most of the records is spread as Spark joins allow.
+    Keys must not be null.
     """
-    rows = records.withColumn("__block", F.floor(F.col(order) / F.lit(block)))
-    ends = rows.groupBy(*keys, "__block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__end"))
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "__block", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
-    inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.coalesce(F.last(value, ignorenulls=True).over(inside), "__carried")
-    return rows.join(carried, [*keys, "__block"]).withColumn(out, last).drop("__block", "__carried")
+    of_block = F.floor(F.col(order) / F.lit(block))
+    sets = (records if sets is None else sets).where(F.col(value).isNotNull()).select(*keys, F.col(order).alias("__at"), F.col(value).alias("__value"), of_block.alias("__block"))
+    entry = F.struct("__at", "__value")
+    inside = sets.groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(entry)).alias("__inside"))
+    ends = inside.select(*keys, "__block", F.element_at("__inside", -1)["__value"].alias("__end")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__block", "__end"))).alias("__ends"))
+    rows = records.withColumn("__block", of_block).join(inside, [*keys, "__block"], "left").join(ends, keys, "left")
+    here = F.try_element_at(F.filter("__inside", lambda x: x["__at"] <= F.col(order)), F.lit(-1))["__value"]
+    before = F.try_element_at(F.filter("__ends", lambda x: x["__block"] < F.col("__block")), F.lit(-1))["__end"]
+    return rows.withColumn(out, F.coalesce(here, before)).drop("__block", "__inside", "__ends")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import as_of
+
 
 def add_columns(df: DataFrame, columns: dict[str, tuple[str, object]], after: str | None = None, first: bool = False) -> DataFrame:
     """``columns``: name -> (type, default); placed first, after a column, or last."""
@@ -29,6 +31,62 @@ def read_with_defaults(old: DataFrame, new: DataFrame, defaults: dict[str, objec
     return old.unionByName(new)
 
 
+_COLUMNS = "array<struct<id:string,name:string,type:string,default:string>>"
+
+
+def schema_versions(first: DataFrame, changes: DataFrame) -> DataFrame:
+    """``table_id, commit_seq, columns``: the columns of each table from each of its changes on; -1 is the start.
+
+    first: table_id, place, column, type.  changes: table_id, commit_seq, place, change (ADD, DROP,
+    MODIFY, RENAME), column, new_name, type, default.  A column keeps its id through renames and
+    changes of type; one that is added under the name of a dropped one is another.  The changes of one
+    table, some for each statement that alters it, are folded in one row.
+    """
+    start = first.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("place", "column", "type"))).alias("c"))
+    start = start.select("table_id", F.transform("c", lambda x: F.struct(x["column"].alias("id"), x["column"].alias("name"), x["type"].alias("type"), F.lit(None).cast("string").alias("default"))).alias("columns"))
+    told = changes.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("commit_seq", "place", "change", "column", "new_name", "type", "default"))).alias("changes"))
+
+    def changed(columns: Column, x: Column) -> Column:
+        others = F.filter(columns, lambda c: c["name"] != x["column"])
+        added = F.struct(F.concat_ws(".", x["commit_seq"], x["place"]).alias("id"), x["column"].alias("name"), x["type"].alias("type"), x["default"].alias("default"))
+        renamed = F.transform(columns, lambda c: F.when(c["name"] == x["column"], F.struct(c["id"], x["new_name"].alias("name"), c["type"], c["default"])).otherwise(c))
+        modified = F.transform(columns, lambda c: F.when(c["name"] == x["column"], F.struct(c["id"], c["name"], x["type"].alias("type"), c["default"])).otherwise(c))
+        return F.when(x["change"] == "ADD", F.concat(others, F.array(added))).when(x["change"] == "DROP", others).when(x["change"] == "RENAME", renamed).otherwise(modified).cast(_COLUMNS)
+
+    def step(acc: Column, x: Column) -> Column:
+        now = changed(acc["now"], x)
+        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(F.struct(x["commit_seq"].alias("commit_seq"), x["place"].alias("place"), now.alias("columns")))).alias("all"))
+
+    both = start.join(told, "table_id", "full_outer")
+    now = F.coalesce("columns", F.array().cast(_COLUMNS)).cast(_COLUMNS)
+    zero = F.struct(now.alias("now"), F.array(F.struct(F.lit(-1).cast("long").alias("commit_seq"), F.lit(-1).alias("place"), now.alias("columns"))).alias("all"))
+    kind = f"struct<now:{_COLUMNS},all:array<struct<commit_seq:bigint,place:int,columns:{_COLUMNS}>>>"
+    folded = F.aggregate(F.coalesce("changes", F.expr("array()").cast(told.schema["changes"].dataType)), zero.cast(kind), lambda acc, x: step(acc, x).cast(kind), lambda acc: acc["all"])
+    each = both.select("table_id", F.inline(folded))
+    return each.groupBy("table_id", "commit_seq").agg(F.max_by("columns", "place").alias("columns"))  # one statement, one version
+
+
+def in_last_schema(rows: DataFrame, versions: DataFrame, payload: str = "data") -> DataFrame:
+    """``rows`` (table_id, commit_seq, JSON payload) with ``row``, an array of name, type, value (text): the columns of
+    the table's last version. A payload names its columns as the version in force at its commit does; a
+    column that came later has its default."""
+    held = as_of(rows.withColumn("__values", F.from_json(payload, "map<string,string>")), ["table_id"], "commit_seq", "columns", "__then", sets=versions)
+    last = versions.groupBy("table_id").agg(F.max_by("columns", "commit_seq").alias("__last"))
+
+    def value(c: Column) -> Column:
+        then = F.get(F.filter("__then", lambda t: t["id"] == c["id"]), 0)
+        return F.struct(c["name"].alias("name"), c["type"].alias("type"), F.when(then.isNull(), c["default"]).otherwise(F.col("__values")[then["name"]]).alias("value"))
+
+    return held.join(last, "table_id", "left").withColumn("row", F.transform("__last", value)).drop("__values", "__then", "__last")
+
+
+def as_table(rows: DataFrame, columns: list[tuple[str, str]], *keys: str) -> DataFrame:
+    """The rows of one table under its columns (name, type), from ``row`` of in_last_schema; a value that a type
+    can't hold is null."""
+    named = F.map_from_entries(F.transform("row", lambda x: F.struct(x["name"], x["value"])))
+    return rows.withColumn("__named", named).select(*keys, *[F.col("__named")[n].try_cast(t).alias(n) for n, t in columns])
+
+
 def latest_comments(records: DataFrame) -> DataFrame:
     """``table_id, column, comment`` of the last record per column (column null: the table)."""
     return records.groupBy("table_id", "column").agg(F.max_by("comment", "commit_seq").alias("comment"))

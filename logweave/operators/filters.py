@@ -32,10 +32,13 @@ def without_shadows(indexes: DataFrame, alter: DataFrame) -> DataFrame:
     one or a finished schema change ends that; a finished rollup does not."""
     ends = (F.col("job_state") == "CANCELLED") | (F.col("job_state") == "FINISHED") & (F.col("job_type") == "SCHEMA_CHANGE")
     state = F.when(F.col("job_state") == "PENDING", True).when(ends, False)
-    uses = indexes.withColumns({"__use": F.lit(True), "__set": F.lit(None).cast("boolean")})
-    sets = alter.select(F.col("shadow_index").alias("index_id"), "commit_seq", F.lit(False).alias("__use"), state.alias("__set")).where("__set IS NOT NULL")
-    both = as_of(uses.unionByName(sets, allowMissingColumns=True), ["index_id"], "commit_seq", "__set", "__active")
-    return both.where(F.col("__use") & ~F.coalesce("__active", F.lit(False))).drop("__use", "__set", "__active")
+    sets = alter.select(F.col("shadow_index").alias("index_id"), "commit_seq", state.alias("__set"))
+    return as_of(indexes, ["index_id"], "commit_seq", "__set", "__active", sets=sets).where(~F.coalesce("__active", F.lit(False))).drop("__active")
+
+
+def without_unfinished(log: DataFrame, state: str = "job_state") -> DataFrame:
+    """Records but the alter jobs that haven't finished; a job of unknown state counts as one."""
+    return log.where((F.col("type") != "ALTER_JOB") | F.coalesce(F.col(state) == "FINISHED", F.lit(False)))
 
 
 def without_ignored(log: DataFrame) -> DataFrame:

@@ -36,15 +36,14 @@ def day_of(ts: str) -> Column:
     return F.to_date(F.date_trunc("day", ts))
 
 
-# Clauses of ADD PARTITION texts.
-EMPTY_RANGE = r"VALUES \[\(\), \(\)\) \([^)]+\)"
-TRIPLE_LIST = r"VALUES IN \(\(\((.*)\)\)\)"
-PLAIN, TEMPORARY = "ADD PARTITION", "ADD TEMPORARY PARTITION"
-
-
 def add_partition_sql(sql: Column, temporary: Column) -> Column:
-    """The text of an ADD PARTITION as a target takes it: the clause of an empty range goes, with the
-    parenthesis after it; triple parentheses of a list become double ones; a temporary partition is said to
-    be one."""
-    out = F.regexp_replace(F.regexp_replace(sql, EMPTY_RANGE, ""), TRIPLE_LIST, "VALUES IN (($1))")
-    return F.when(temporary & ~out.contains(TEMPORARY), F.replace(out, F.lit(PLAIN), F.lit(TEMPORARY))).otherwise(out)
+    """The text of an ADD PARTITION as a target takes it, put together anew from its parts: what is added, and its
+    bounds. Bounds of a range that name no value go, with the properties after them; a list is written with
+    two parentheses around its values; a temporary partition is said to be one."""
+    part = lambda pattern, group: F.regexp_extract(sql, pattern, group)
+    head, bounds = part(r"(?s)^(.*?\bPARTITION\s+(?:`[^`]*`|\S+)\s+)(.*)$", 1), part(r"(?s)^(.*?\bPARTITION\s+(?:`[^`]*`|\S+)\s+)(.*)$", 2)
+    named = F.when(temporary & ~head.rlike(r"\bTEMPORARY\s+PARTITION\b"), F.regexp_replace(head, r"\bPARTITION\b", "TEMPORARY PARTITION")).otherwise(head)
+    of_range, values = bounds.rlike(r"^VALUES\s*\["), F.regexp_extract(bounds, r"(?s)^VALUES\s+IN\s*\(+(.*?)\)+\s*$", 1)
+    empty = of_range & ~F.regexp_extract(bounds, r"(?s)^VALUES\s*\[(.*?\).*?\))\)", 1).rlike(r"[^\s(),]")
+    said = F.when(empty, F.lit("")).when(bounds.rlike(r"^VALUES\s+IN\s*\(\("), F.concat(F.lit("VALUES IN (("), values, F.lit("))"))).otherwise(bounds)
+    return F.when(head == "", sql).otherwise(F.concat(named, said))

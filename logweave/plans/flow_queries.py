@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters
+from ..operators.evolution import as_table
 from ..operators.folds import latest
 from ..sources import log as L
 from ..sources import snapshots as S
@@ -334,17 +335,23 @@ _RECORDS = f"""SELECT commit_seq, CASE WHEN type <> 'BARRIER' THEN type WHEN com
   CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, CASE type
   WHEN 'BARRIER' THEN CASE WHEN commit_seq % 2 = 0 THEN '{{"tableId":' || table_id || ',"colName":"c' || k % 4 || '","newColName":"d' || k % 4 || '"}}' ELSE '{{"tblId":' || table_id || ',"type":"COLUMN","colToComment":{{"c' || k % 4 || '":"n' || commit_seq || '"}}}}' END
   WHEN 'TRUNCATE_TABLE' THEN '{{"tblId":' || table_id || ',"isEntireTable":' || CASE WHEN commit_seq % 2 = 0 THEN 'true' ELSE 'false' END || ',"rawSql":"PARTITIONS (p1, p' || part_day || ')"}}'
-  WHEN 'DROP_PARTITION' THEN CASE WHEN commit_seq % 10 = 0 THEN '{{"tableId":5}}' ELSE '{{"tableId":' || table_id || ',"sql":"DROP PARTITION p' || part_day || '"}}' END
+  WHEN 'DROP_PARTITION' THEN CASE WHEN commit_seq % 10 = 0 THEN '{{"tableId":5}}' ELSE '{{"tableId":' || table_id || ',"sql":"ALTER TABLE t DROP PARTITION ' || CASE WHEN commit_seq % 3 = 0 THEN 'IF EXISTS ' ELSE '' END || 'p' || part_day || '"}}' END
   WHEN 'DROP_TABLE' THEN '{{"tableId":' || table_id || '}}' WHEN 'RENAME_TABLE' THEN '{{"tb":' || table_id || CASE WHEN commit_seq % 3 = 0 THEN ',"nR":"r' ELSE ',"nT":"t' END || commit_seq || CASE WHEN commit_seq % 3 = 0 THEN '","oR":"r"}}' ELSE '","oT":"t"}}' END
-  WHEN 'ALTER_JOB' THEN '{{"type":"' || CASE WHEN commit_seq % 4 = 0 THEN 'ROLLUP' ELSE 'SCHEMA_CHANGE' END || '","jobState":"' || CASE WHEN commit_seq % 3 = 0 THEN 'PENDING' ELSE 'FINISHED' END || '"}}'
-  WHEN 'REPLACE_PARTITIONS' THEN '{{"strictRange":' || CASE WHEN commit_seq % 2 = 0 THEN 'true' ELSE 'false' END || ',"useTempName":false}}'
-  WHEN 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS' THEN '{{"tableId":' || table_id || ',"rawSql":"ALTER TABLE t ' || CASE WHEN commit_seq % 3 = 0 THEN 'DROP COLUMN c' || k % 4 ELSE 'ADD COLUMN c' || k % 4 || ' INT DEFAULT ' || commit_seq END || '"}}' END AS data
+  WHEN 'ADD_PARTITION' THEN '{{"tableId":' || table_id || ',"sql":"ADD PARTITION p' || part_day || ' VALUES LESS THAN (5)"}}' WHEN 'CREATE_TABLE' THEN '{{"tableId":' || table_id || ',"sql":"CREATE TABLE t"}}'
+  WHEN 'ALTER_JOB' THEN '{{"tableId":' || table_id || ',"tableName":"' || CASE WHEN commit_seq % 7 = 0 THEN '' ELSE 't' END || '","type":"' || CASE WHEN commit_seq % 4 = 0 THEN 'ROLLUP' ELSE 'SCHEMA_CHANGE' END || '","jobState":"' || CASE WHEN commit_seq % 3 = 0 THEN 'PENDING' ELSE 'FINISHED' END || '"}}'
+  WHEN 'REPLACE_PARTITIONS' THEN '{{"tblId":' || table_id || ',"tblName":"t","partitions":["p1"],"tempPartitions":' || CASE WHEN commit_seq % 5 = 0 THEN '[]' ELSE '["t1"]' END || ',"strictRange":' || CASE WHEN commit_seq % 2 = 0 THEN 'true' ELSE 'false' END || ',"useTempName":false}}'
+  WHEN 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS' THEN '{{"tableId":' || table_id || ',"rawSql":"ALTER TABLE t ' || CASE commit_seq % 3 WHEN 0 THEN 'DROP COLUMN c' || k % 4
+    WHEN 1 THEN 'ADD COLUMN `c' || k % 4 || '` INT DEFAULT ' || commit_seq || ', DROP COLUMN `e`' ELSE 'ADD COLUMN (`c' || k % 4 || '` INT KEY DEFAULT ' || commit_seq || ', `e` VARCHAR(9) DEFAULT 1)' END || '"}}' END AS data
 FROM ({X.LOG}) l"""
 
 
 def _replayed(s, d):
+    return _replay(s, frame(s, d, _RECORDS), middle(s, d))
+
+
+def _replay(s, records, c):
     """The log in four files, the later ones first."""
-    folder, records, c = new_folder(s, "replay"), frame(s, d, _RECORDS), middle(s, d)
+    folder = new_folder(s, "replay")
     for low, high in ((3 * c // 2, 4 * c), (c, 3 * c // 2), (c // 2, c), (-1, c // 2)):
         records.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high)).write.mode("append").parquet(f"{folder}/log")
     replica = Replica(s, f"{folder}/replica")
@@ -365,6 +372,7 @@ def _(s, d):
 
 @query("replay_columns", f"""WITH l AS ({X.LOG}), e AS (
   SELECT table_id, 'c' || k % 4 AS col, commit_seq, commit_seq % 3 = 0 AS dropped, CAST(commit_seq AS VARCHAR) AS def FROM l WHERE type = 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS'
+  UNION ALL SELECT table_id, 'e', commit_seq, commit_seq % 3 = 1, '1' FROM l WHERE type = 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS' AND commit_seq % 3 > 0
   UNION ALL SELECT table_id, 'c' || k % 4, commit_seq, true, NULL FROM l WHERE type = 'BARRIER' AND commit_seq % 2 = 0 UNION ALL SELECT table_id, 'd' || k % 4, commit_seq, false, NULL FROM l WHERE type = 'BARRIER' AND commit_seq % 2 = 0)
 SELECT table_id, col AS "column", def AS "default" FROM (SELECT *, row_number() OVER (PARTITION BY table_id, col ORDER BY commit_seq DESC) AS place FROM e) t WHERE place = 1 AND NOT dropped""")
 def _(s, d):
@@ -376,10 +384,60 @@ def _(s, d):
     return _replayed(s, d).comments.read().select("table_id", "column", "comment")
 
 
-@query("replay_syncs", f"""SELECT table_id, action, max(commit_seq) AS commit_seq FROM (SELECT table_id, commit_seq, CASE WHEN type = 'DUMMY' OR (type = 'ALTER_JOB' AND commit_seq % 3 <> 0 AND commit_seq % 4 = 0) OR (type = 'REPLACE_PARTITIONS' AND commit_seq % 2 = 1) THEN 'FULL_SYNC'
+@query("replay_syncs", f"""SELECT table_id, action, max(commit_seq) AS commit_seq FROM (SELECT table_id, commit_seq, CASE WHEN (type = 'ALTER_JOB' AND commit_seq % 7 = 0) OR (type = 'REPLACE_PARTITIONS' AND commit_seq % 5 = 0) THEN NULL
+  WHEN type = 'DUMMY' OR (type = 'ALTER_JOB' AND commit_seq % 3 <> 0 AND commit_seq % 4 = 0) OR (type = 'REPLACE_PARTITIONS' AND commit_seq % 2 = 1) THEN 'FULL_SYNC'
   WHEN type = 'ALTER_JOB' AND commit_seq % 3 <> 0 THEN 'PARTIAL_SYNC_REPLACE' WHEN type = 'REPLACE_PARTITIONS' THEN 'PARTIAL_SYNC' END AS action FROM ({X.LOG}) l) t WHERE action IS NOT NULL GROUP BY ALL
-UNION ALL SELECT NULL, 'refused', commit_seq FROM ({X.LOG}) l WHERE type = 'DROP_PARTITION' AND commit_seq % 10 = 0""")
+UNION ALL SELECT NULL, 'refused', commit_seq FROM ({X.LOG}) l WHERE (type = 'DROP_PARTITION' AND commit_seq % 10 = 0) OR (type = 'ALTER_JOB' AND commit_seq % 7 = 0) OR (type = 'REPLACE_PARTITIONS' AND commit_seq % 5 = 0)""")
 def _(s, d):
     replica = _replayed(s, d)
     refused = replica.refused.read().select(F.lit(None).cast("bigint").alias("table_id"), F.lit("refused").alias("action"), "commit_seq")
     return replica.syncs.read().select("table_id", "action", "commit_seq").unionByName(refused)
+
+
+#: Partitions renamed there and back, and cut by names: the name in force decides whether a cut meets a partition.
+_RENAMED = f"""SELECT *, 'p' || part_day AS part, count(CASE WHEN type = 'RENAME_TABLE' THEN 1 END) OVER (PARTITION BY table_id, part_day ORDER BY commit_seq) % 2 AS odd
+FROM ({X.LOG}) l WHERE type IN ('UPSERT', 'RENAME_TABLE', 'DROP_PARTITION')"""
+_RENAMED_RECORDS = f"""SELECT commit_seq, type, table_id, part, k, v, CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, CASE type
+  WHEN 'RENAME_TABLE' THEN CASE WHEN odd = 1 THEN '{{"tb":' || table_id || ',"nP":"q' || part_day || '","oP":"p' || part_day || '"}}' ELSE '{{"tb":' || table_id || ',"nP":"p' || part_day || '","oP":"q' || part_day || '"}}' END
+  WHEN 'DROP_PARTITION' THEN '{{"tableId":' || table_id || ',"sql":"DROP PARTITION IF EXISTS ' || CASE WHEN odd = 1 THEN 'q' ELSE 'p' END || part_day || '"}}' END AS data FROM ({_RENAMED}) r"""
+
+
+@query("replay_renamed_partitions", f"""WITH l AS ({X.LOG}), r AS (SELECT table_id, part_day, k, commit_seq, v, event_type, row_number() OVER (PARTITION BY table_id, part_day, k ORDER BY commit_seq DESC) AS place FROM l WHERE type = 'UPSERT')
+SELECT table_id, 'p' || part_day AS part, k, commit_seq, v FROM r WHERE place = 1 AND event_type <> 'error'
+AND NOT EXISTS (SELECT 1 FROM l WHERE type = 'DROP_PARTITION' AND l.table_id = r.table_id AND l.part_day = r.part_day AND l.commit_seq > r.commit_seq)""")
+def _(s, d):
+    return _replay(s, frame(s, d, _RENAMED_RECORDS), middle(s, d)).read().drop("name")
+
+
+#: Seven changes of the columns of each table, at positions of its own; payloads name their columns as at their commit.
+_PHASED = f"SELECT r.*, CAST(greatest(0, least(7, floor(8.0 * (commit_seq - table_id + 100) / m))) AS BIGINT) AS phase FROM ({X.ROWS}) r, (SELECT CAST(max(commit_seq) - max(commit_seq) % 8 AS BIGINT) AS m FROM ({X.LOG}) l) x"
+_EVOLVED = f"""SELECT commit_seq, 'UPSERT' AS type, table_id, 'p' || part_day AS part, k, v, op, '{{"' || CASE WHEN phase < 2 THEN 'v' WHEN phase < 7 THEN 'w' ELSE 'z' END || '":' || v || CASE WHEN phase >= 1 THEN ',"a":' || k ELSE '' END
+  || CASE WHEN phase IN (3, 4) THEN ',"b":"old"' WHEN phase >= 6 THEN ',"b":"n' || k % 10 || '"' ELSE '' END || CASE WHEN phase >= 3 THEN ',"c":' || seq ELSE '' END || CASE WHEN phase = 7 THEN ',"v":1' ELSE '' END || '}}' AS data FROM ({_PHASED}) p
+UNION ALL SELECT CAST(m / 8 * i AS BIGINT) + table_id - 100 AS commit_seq, CASE WHEN i IN (2, 7) AND j = 0 THEN 'RENAME_COLUMN' ELSE 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS' END AS type, table_id, NULL, NULL, NULL, NULL, CASE
+  WHEN i = 1 THEN '{{"tableId":' || table_id || ',"rawSql":"ADD COLUMN `a` INT DEFAULT 7"}}' WHEN i = 2 THEN '{{"tableId":' || table_id || ',"colName":"v","newColName":"w"}}'
+  WHEN i = 3 THEN '{{"tableId":' || table_id || ',"rawSql":"ADD COLUMN (`b` VARCHAR(5) DEFAULT x, `c` INT)"}}' WHEN i = 4 THEN '{{"tableId":' || table_id || ',"rawSql":"MODIFY COLUMN `a` BIGINT"}}'
+  WHEN i = 5 THEN '{{"tableId":' || table_id || ',"rawSql":"DROP COLUMN `b`"}}' WHEN i = 6 THEN '{{"tableId":' || table_id || ',"rawSql":"ADD COLUMN `b` VARCHAR(9) DEFAULT y AFTER `a`"}}'
+  WHEN j = 0 THEN '{{"tableId":' || table_id || ',"colName":"w","newColName":"z"}}' ELSE '{{"tableId":' || table_id || ',"rawSql":"ADD COLUMN `v` INT DEFAULT 0"}}' END
+FROM (SELECT DISTINCT table_id, m FROM ({X.LOG}) l, (SELECT CAST(max(commit_seq) - max(commit_seq) % 8 AS BIGINT) AS m FROM ({X.LOG}) l) x) t, (VALUES (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (7, 0), (7, 1)) c(i, j)"""
+_EVOLVED_SQL = f"""SELECT table_id, part_day, k, commit_seq, v, phase, seq FROM (SELECT *, row_number() OVER (PARTITION BY table_id, part_day, k ORDER BY commit_seq DESC) AS place FROM ({_PHASED}) p) q WHERE place = 1 AND op <> 'D'"""
+
+
+def _evolved(s, d):
+    records = frame(s, d, _EVOLVED)
+    first = records.select("table_id").distinct().select("table_id", F.lit(0).alias("place"), F.lit("v").alias("column"), F.lit("BIGINT").alias("type"))
+    return _replay(s, records, middle(s, d)).read_evolved(first)
+
+
+@query("replay_schema", f"""SELECT table_id, k, commit_seq, name, type, CASE name WHEN 'z' THEN CAST(v AS VARCHAR) WHEN 'a' THEN CASE WHEN phase >= 1 THEN CAST(k AS VARCHAR) ELSE '7' END WHEN 'c' THEN CASE WHEN phase >= 3 THEN CAST(seq AS VARCHAR) END
+  WHEN 'b' THEN CASE WHEN phase >= 6 THEN 'n' || k % 10 ELSE 'y' END ELSE CASE WHEN phase = 7 THEN '1' ELSE '0' END END AS value
+FROM ({_EVOLVED_SQL}) r, (VALUES ('z', 'BIGINT'), ('a', 'BIGINT'), ('c', 'INT'), ('b', 'VARCHAR(9)'), ('v', 'INT')) c(name, type)""")
+def _(s, d):
+    return _evolved(s, d).select("table_id", "k", "commit_seq", F.inline("row"))
+
+
+@query("replay_table", f"SELECT part_day, k, v AS z, CASE WHEN phase >= 1 THEN k ELSE 7 END AS a, CASE WHEN phase >= 3 THEN CAST(seq AS INTEGER) END AS c, CASE WHEN phase >= 6 THEN 'n' || k % 10 ELSE 'y' END AS b, CAST(CASE WHEN phase = 7 THEN 1 ELSE 0 END AS INTEGER) AS v FROM ({_EVOLVED_SQL}) r WHERE table_id = 103")
+def _(s, d):
+    """One table under the names and types of its last version."""
+    rows = _evolved(s, d).where("table_id = 103").withColumn("part_day", F.substring("part", 2, 9).cast("bigint"))
+    columns = [("z", "bigint"), ("a", "bigint"), ("c", "int"), ("b", "string"), ("v", "int")]
+    return as_table(rows, columns, "part_day", "k")

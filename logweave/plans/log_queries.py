@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import clauses
 from ..functions import payloads as P
 from ..operators import filters, mapping, progress
 from ..sources import log as L
@@ -91,10 +92,6 @@ _DECODE = {
         {"table_id": "p.tableId", "sql_text": "p.sql", "distribution": "coalesce(p.distributionInfo, p.di)"}, {"table_id": "table_id", "sql_text": "'ADD PARTITION p' || part_day", "distribution": "'HASH'"}),
     "decode_create_table": ("CREATE_TABLE", "CREATE_TABLE", """'{"tableId":' || table_id || ',"sql":"' || CASE WHEN commit_seq % 2 = 0 THEN 'CREATE VIEW v' ELSE 'CREATE TABLE t' END || table_id || '"}'""",
         {"table_id": "p.tableId", "is_view": r"p.sql RLIKE '(?i)^CREATE\\s+VIEW'"}, {"table_id": "table_id", "is_view": "commit_seq % 2 = 0"}),
-    "decode_drop_partition": ("DROP_PARTITION", "DROP_PARTITION", """'{"tableId":' || table_id || ',"sql":"DROP PARTITION p' || part_day || '"}'""",
-        {"table_id": "p.tableId", "partition_name": r"regexp_extract(p.sql, 'PARTITION\\s+(\\w+)', 1)"}, {"table_id": "table_id", "partition_name": "'p' || part_day"}),
-    "decode_columns": ("MODIFY_TABLE_ADD_OR_DROP_COLUMNS", "MODIFY_TABLE_ADD_OR_DROP_COLUMNS", """'{"tableId":' || table_id || ',"rawSql":"ADD COLUMN c' || commit_seq || '"}'""",
-        {"table_id": "p.tableId", "raw_sql": "p.rawSql"}, {"table_id": "table_id", "raw_sql": "'ADD COLUMN c' || commit_seq"}),
     "decode_rename_column": ("RENAME_COLUMN", "MODIFY_TABLE_ADD_OR_DROP_COLUMNS", """'{"tableId":' || table_id || ',"colName":"a","newColName":"b' || k || '"}'""",
         {"table_id": "p.tableId", "old_name": "p.colName", "new_name": "p.newColName"}, {"table_id": "table_id", "old_name": "'a'", "new_name": "'b' || k"}),
     "decode_rename_table": ("RENAME_TABLE", "RENAME_TABLE", """'{"tb":' || table_id || CASE commit_seq % 3 WHEN 0 THEN ',"nT":"x","oT":"y"}' WHEN 1 THEN ',"nR":"x","oR":"y"}' ELSE ',"nP":"x","oP":"y"}' END""",
@@ -121,6 +118,30 @@ def _decode(name: str):
 for _name in _DECODE:
     _decode(_name)
 
+_DROP_PARTITION = """'{"tableId":' || table_id || ',"sql":"' || CASE commit_seq % 4 WHEN 0 THEN 'DROP PARTITION p' || part_day WHEN 1 THEN 'ALTER TABLE t DROP PARTITION IF EXISTS `p ' || part_day || '`'
+  WHEN 2 THEN 'DROP PARTITION p' || part_day || ' FORCE' ELSE 'DROP TEMPORARY PARTITION p' || part_day || ', DROP PARTITION IF EXISTS q' END || '"}'"""
+
+
+@query("decode_drop_partition", f"""SELECT commit_seq, table_id, CASE commit_seq % 4 WHEN 1 THEN 'p ' ELSE 'p' END || part_day AS partition_name, commit_seq % 4 = 1 AS if_exists, commit_seq % 4 = 2 AS force, commit_seq % 4 = 3 AS temporary
+FROM ({X.LOG}) l WHERE type = 'DROP_PARTITION' UNION ALL SELECT commit_seq, table_id, 'q', true, false, false FROM ({X.LOG}) l WHERE type = 'DROP_PARTITION' AND commit_seq % 4 = 3""")
+def _(s, d):
+    got = P.accepted(frame(s, d, _payload("DROP_PARTITION", _DROP_PARTITION)), "DROP_PARTITION").select("commit_seq", F.col("p.tableId").alias("table_id"), F.col("p.sql").alias("sql_text"))
+    return clauses.partition_changes(got, F.col("sql_text")).select("commit_seq", "table_id", F.col("partition").alias("partition_name"), "if_exists", "force", "temporary")
+
+
+_COLUMNS_TEXT = """'{"tableId":' || table_id || ',"rawSql":"ALTER TABLE `db`.`t` ' || CASE commit_seq % 4 WHEN 0 THEN 'ADD COLUMN (`a' || k || '` int NULL DEFAULT \\\\"0\\\\" COMMENT \\\\"\\\\", `b` decimal(10, 3) SUM DEFAULT \\\\"1\\\\")'
+  WHEN 1 THEN 'ADD COLUMN `a' || k || '` INT KEY DEFAULT \\\\"0\\\\" FIRST' WHEN 2 THEN 'ADD COLUMN `a' || k || '` varchar(20) AFTER `x, y`, DROP COLUMN `b`' ELSE 'MODIFY COLUMN a' || k || ' BIGINT' END || '"}'"""
+
+
+@query("decode_columns", f"""WITH l AS (SELECT commit_seq, table_id, k, commit_seq % 4 AS m FROM ({X.LOG}) x WHERE type = 'MODIFY_TABLE_ADD_OR_DROP_COLUMNS')
+SELECT commit_seq, table_id, CASE m WHEN 3 THEN 'MODIFY' ELSE 'ADD' END AS change, 'a' || k AS "column", CASE m WHEN 2 THEN 'VARCHAR(20)' WHEN 3 THEN 'BIGINT' ELSE 'INT' END AS type, m = 1 AS is_key, NULL AS aggregate,
+  CASE WHEN m < 2 THEN '0' END AS "default", CASE WHEN m = 0 THEN '' END AS comment, m = 1 AS first, CASE WHEN m = 2 THEN 'x, y' END AS after FROM l
+UNION ALL SELECT commit_seq, table_id, CASE m WHEN 0 THEN 'ADD' ELSE 'DROP' END, 'b', CASE m WHEN 0 THEN 'DECIMAL(10,3)' END, false, CASE m WHEN 0 THEN 'SUM' END, CASE m WHEN 0 THEN '1' END, NULL, false, NULL FROM l WHERE m IN (0, 2)""")
+def _(s, d):
+    got = P.accepted(frame(s, d, _payload("MODIFY_TABLE_ADD_OR_DROP_COLUMNS", _COLUMNS_TEXT)), "MODIFY_TABLE_ADD_OR_DROP_COLUMNS").select("commit_seq", F.col("p.tableId").alias("table_id"), F.col("p.rawSql").alias("raw_sql"))
+    return clauses.column_changes(got, F.col("raw_sql")).drop("raw_sql", "place")
+
+
 _ALTER_JOB = """'{"type":"' || CASE WHEN commit_seq % 5 = 0 THEN 'ROLLUP' ELSE 'SCHEMA_CHANGE' END || '","tableId":' || table_id || ',"tableName":"t' || table_id || '","jobState":"' || CASE WHEN commit_seq % 2 = 0 THEN 'FINISHED' ELSE 'PENDING' END
   || '","iim":{"' || (table_id * 10 + 9) || '":' || table_id || ',"' || (table_id * 10 + 8) || '":' || (table_id + 1) || '}}'"""
 
@@ -251,7 +272,7 @@ _JOBS = f"SELECT l.commit_seq, l.type, job_type, job_state FROM ({X.LOG}) l LEFT
 @query("filter_unfinished_alter", f"SELECT type, count(*) AS n FROM ({_JOBS}) j WHERE type <> 'ALTER_JOB' OR job_state = 'FINISHED' GROUP BY type")
 def _(s, d):
     jobs = log(s, d).select("commit_seq", "type").join(frame(s, d, X.ALTER).select("commit_seq", "job_state"), "commit_seq", "left")
-    return jobs.where("type <> 'ALTER_JOB' OR job_state = 'FINISHED'").groupBy("type").agg(F.count("*").alias("n"))
+    return filters.without_unfinished(jobs).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("filter_version_reached", f"""SELECT r.commit_seq, r.table_id, coalesce(visible_version >= r.commit_seq, false) AS served FROM ({X.ROWS}) r

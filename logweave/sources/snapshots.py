@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,20 +101,28 @@ class ChangeTable:
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: str = "commit_seq", deleted: str = "op = 'D'") -> None:
         self.spark, self.folder, self.keys, self.order, self.deleted = spark, folder, keys, order, deleted
 
-    def _complete(self, kind: str) -> dict[int, str]:
-        found = [p for p in children(self.spark, self.folder) if f"/{kind}-" in p and exists(self.spark, f"{p}/_SUCCESS")]
-        return {int(p.rpartition(f"/{kind}-")[2]): p for p in found}
-
-    def _folders(self) -> tuple[int | None, list[str]]:
-        """(last batch of the base in force, folders to read)."""
-        bases, batches = self._complete("base"), self._complete("batch")
-        last = max(bases, default=None)
-        newer = [p for n, p in batches.items() if last is None or n > last]
-        return last, newer if last is None else [bases[last], *newer]
+    def _complete(self) -> tuple[dict[tuple[int, int], str], dict[int, str]]:
+        """Complete folders: bases by the range of batches that they hold, and batches."""
+        bases, batches = {}, {}
+        for path in children(self.spark, self.folder):
+            name = re.fullmatch(r"(base|batch)-(-?\d+)(?:\.\.(-?\d+))?", path.rpartition("/")[2])
+            if name and exists(self.spark, f"{path}/_SUCCESS"):
+                if name[1] == "base":
+                    bases[int(name[2]), int(name[3])] = path
+                else:
+                    batches[int(name[2])] = path
+        return bases, batches
+
+    def _folders(self) -> tuple[tuple[int, int] | None, list[str]]:
+        """(range of the base in force, folders to read)."""
+        bases, batches = self._complete()
+        held = max(bases, key=lambda r: r[1] - r[0], default=None)
+        others = [p for n, p in batches.items() if held is None or not held[0] <= n <= held[1]]
+        return held, others if held is None else [bases[held], *others]
 
     def has(self, batch: int) -> bool:
-        last, _ = self._folders()
-        return (last is not None and batch <= last) or exists(self.spark, f"{self.folder}/batch-{batch}/_SUCCESS")
+        held, _ = self._folders()
+        return (held is not None and held[0] <= batch <= held[1]) or exists(self.spark, f"{self.folder}/batch-{batch}/_SUCCESS")
 
     def apply(self, batch: int, changes: DataFrame) -> bool:
         if self.has(batch):
@@ -132,21 +141,34 @@ class ChangeTable:
 
     def rollback(self, batch: int) -> None:
         """Takes back all batches after ``batch``; they may then be applied anew."""
-        last, _ = self._folders()
-        if last is not None and batch < last:
-            raise ValueError(f"batches up to {last} are compacted")
-        for n, path in self._complete("batch").items():
+        held, _ = self._folders()
+        if held is not None and batch < held[1]:
+            raise ValueError(f"batches up to {held[1]} are compacted")
+        for n, path in self._complete()[1].items():
             if n > batch:
                 delete(self.spark, path)
 
     def compact(self) -> None:
-        """All complete batches as one base. Delete marks stay in it, as older changes may still come. What
-        the base replaces goes at the next call, so readers that have begun can end."""
-        bases, batches = self._complete("base"), self._complete("batch")
-        last = max(bases, default=None)
-        for kind in (bases, batches):
-            for n, path in kind.items():
-                if last is not None and (n < last or (n == last and kind is batches)):
+        """A base of the batches that follow one another without a gap, from the first one on; its name says
+        which, so a batch that comes late is still new. Batches after a gap stay as they are. Delete marks
+        stay in the base, as older changes may still come. What the base replaces goes at the next call, so
+        readers that have begun can end."""
+        bases, batches = self._complete()
+        held = max(bases, key=lambda r: r[1] - r[0], default=None)
+        if held is not None:
+            for r, path in bases.items():
+                if r != held:
+                    delete(self.spark, path)
+            for n, path in batches.items():
+                if held[0] <= n <= held[1]:
                     delete(self.spark, path)
-        if any(last is None or n > last for n in batches):
-            self.changes().write.mode("overwrite").parquet(f"{self.folder}/base-{max(batches)}")
+        if held is None and not batches:
+            return
+        low, high = held or (min(batches), min(batches))
+        while low - 1 in batches:
+            low -= 1
+        while high + 1 in batches:
+            high += 1
+        if held != (low, high):
+            paths = [*([bases[held]] if held else []), *[p for n, p in batches.items() if low <= n <= high and not (held and held[0] <= n <= held[1])]]
+            latest(self.spark.read.parquet(*paths), self.keys, [self.order]).write.mode("overwrite").parquet(f"{self.folder}/base-{low}..{high}")
