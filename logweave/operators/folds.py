@@ -25,7 +25,7 @@ def latest(changes: DataFrame, keys: list[str], order: list[str], deleted: Colum
 
 def aggregated(changes: DataFrame, keys: list[str], functions: dict[str, tuple[str, str]], order: str = "commit_seq") -> DataFrame:
     """Aggregate model. functions: output column -> (function, input column); functions are SUM, MAX, MIN,
-    REPLACE, REPLACE_IF_NOT_NULL, BITMAP_COUNT, HLL_UNION, QUANTILE_UNION."""
+    REPLACE, REPLACE_IF_NOT_NULL, HLL_UNION, QUANTILE_UNION."""
     build = {
         "SUM": F.sum, "MAX": F.max, "MIN": F.min,
         "REPLACE": lambda c: F.max_by(c, order),
@@ -42,6 +42,48 @@ def merged(states: DataFrame, keys: list[str], functions: dict[str, str], order:
     return states.groupBy(*keys).agg(*[build[f](c).alias(c) for c, f in functions.items()])
 
 
+def _bitmaps(bits: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return bits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias(name))
+
+
+def states(changes: DataFrame, keys: list[str], functions: dict[str, tuple[str, str]], order: str = "commit_seq") -> DataFrame:
+    """The state of each key of an aggregate table after some changes; functions as in ``aggregated``, and
+    BITMAP_UNION over whole numbers. A replaced value is kept with its position, a bitmap as its parts by number, a
+    sketch as binary."""
+    at = lambda c: F.struct(F.col(order).alias("at"), F.col(c).alias("value"))
+    build = {
+        "SUM": F.sum, "MAX": F.max, "MIN": F.min, "REPLACE": lambda c: F.max(at(c)), "REPLACE_IF_NOT_NULL": lambda c: F.max(F.when(F.col(c).isNotNull(), at(c))),
+        "HLL_UNION": F.hll_sketch_agg, "QUANTILE_UNION": F.kll_sketch_agg_bigint,
+    }
+    out = changes.groupBy(*keys).agg(F.count("*").alias("n_changes"), *[build[f](c).alias(name) for name, (f, c) in functions.items() if f != "BITMAP_UNION"])
+    for name, (f, c) in functions.items():
+        if f == "BITMAP_UNION":
+            bits = changes.where(F.col(c).isNotNull()).groupBy(*keys, F.bitmap_bucket_number(c).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(c)).alias("bits"))
+            out = out.join(_bitmaps(bits, keys, name), keys, "left")
+    return out
+
+
+def merged_states(parts: DataFrame, keys: list[str], functions: dict[str, tuple[str, str]]) -> DataFrame:
+    """One state of each key from several, each over changes of its own."""
+    build = {"SUM": F.sum, "MAX": F.max, "MIN": F.min, "REPLACE": F.max, "REPLACE_IF_NOT_NULL": F.max, "HLL_UNION": F.hll_union_agg, "QUANTILE_UNION": F.kll_merge_agg_bigint}
+    out = parts.groupBy(*keys).agg(F.sum("n_changes").alias("n_changes"), *[build[f](name).alias(name) for name, (f, _) in functions.items() if f != "BITMAP_UNION"])
+    for name, (f, _) in functions.items():
+        if f == "BITMAP_UNION":
+            bits = parts.select(*keys, F.explode(name).alias("bucket", "bits")).groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+            out = out.join(_bitmaps(bits, keys, name), keys, "left")
+    return out
+
+
+def from_states(parts: DataFrame, keys: list[str], functions: dict[str, tuple[str, str]], rank: float = 0.5) -> DataFrame:
+    """The values of an aggregate table from its states: counts of bitmaps and sketches, the quantile of a rank."""
+    count = lambda name: F.coalesce(F.aggregate(F.map_values(name), F.lit(0).cast("long"), lambda a, b: a + F.bitmap_count(b)), F.lit(0).cast("long"))
+    build = {
+        "REPLACE": lambda c: F.col(c)["value"], "REPLACE_IF_NOT_NULL": lambda c: F.col(c)["value"], "BITMAP_UNION": count, "HLL_UNION": F.hll_sketch_estimate,
+        "QUANTILE_UNION": lambda c: F.kll_sketch_get_quantile_bigint(c, F.lit(rank)),
+    }
+    return parts.select(*keys, *[build.get(f, F.col)(name).alias(name) for name, (f, _) in functions.items()])
+
+
 def distinct_bitmap(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact distinct counts by bitmaps: one per key and bucket, then united and counted."""
     bits = rows.groupBy(*keys, F.bitmap_bucket_number(value).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,13 +27,47 @@ def diff_multiset(source: DataFrame, target: DataFrame) -> DataFrame:
     return both.groupBy(*source.columns).agg(F.sum("__n").cast("bigint").alias("surplus")).where("surplus != 0")
 
 
+def row_text(columns: list[str]) -> Column:
+    """The values as one text that no other row has: each with its length before it, a null as a dash."""
+    sized = lambda c: F.coalesce(F.concat_ws(":", F.length(F.col(c).cast("string")), F.col(c).cast("string")), F.lit("-"))
+    told = lambda c: F.when(F.col(c).isNull(), "-").otherwise(sized(c))
+    return F.concat_ws("|", *[told(c) for c in sorted(columns)])
+
+
 def checksum(rows: DataFrame, *keys: str) -> DataFrame:
     """``keys, n, checksum``: sum of the first 32 bits of each row's MD5, independent of order."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(rows.columns)])
-    part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    part = F.conv(F.substring(F.md5(row_text(rows.columns)), 1, 8), 16, 10).cast("bigint")
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(part).alias("checksum"))
 
 
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, n, total, mixed``: two sums of 64-bit hashes of the rows, one of which can't overflow and one that doesn't add."""
+    h = F.xxhash64(row_text([c for c in rows.columns if c != "__range"]))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("total"), F.bit_xor(h).alias("mixed"))
+
+
+def differing(source: DataFrame, target: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` of the groups of rows that aren't equal on both sides; each side is aggregated before they meet."""
+    same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    side = lambda d, name: _sums(d, *keys).select(*keys, F.struct("n", "total", "mixed").alias(name))
+    both = side(source, "a").join(side(target, "b"), list(keys), "full_outer")
+    return both.where(~(same("n") & same("total") & same("mixed"))).select(*keys)
+
+
+def narrowed_diff(source: DataFrame, target: DataFrame, partition: str, *keys: str, ranges: int = 1_024, differ: DataFrame | None = None) -> DataFrame:
+    """As diff_rows, by a tree of checksums: of partitions, then of ranges of keys in partitions that differ; only
+    rows of ranges that differ are joined.  A key has a row on either side, in whatever partition.
+    differ: the ranges (__range) that differ, if they are known."""
+    dealt = lambda d: d.withColumn("__range", F.pmod(F.xxhash64(*keys), F.lit(ranges)))
+    a, b = dealt(source), dealt(target)
+    if differ is None:
+        parts = differing(source, target, partition)
+        of_parts = lambda d: d.join(parts, d[partition].eqNullSafe(parts[partition]), "left_semi")
+        differ = differing(of_parts(a), of_parts(b), partition, "__range").select("__range").distinct()
+    left = lambda d: d.join(differ, "__range", "left_semi").drop("__range")
+    return diff_rows(left(a), left(b), *keys)
+
+
 def missing_partitions(source: DataFrame, target: DataFrame, *keys: str) -> DataFrame:
     """Partitions that one side lacks, with that side's name."""
     a, b = source.select(*keys).distinct(), target.select(*keys).distinct()

@@ -79,6 +79,24 @@ def _(s, d):
     return folds.merged(both, KEYS, {n: f for n, (f, _) in _FUNCTIONS.items()})
 
 
+_STATES = {"n_keys": ("BITMAP_UNION", "k"), "sum_v": ("SUM", "v"), "last_v": ("REPLACE_IF_NOT_NULL", "v_nullable"), "newest_v": ("REPLACE", "v"), "max_v": ("MAX", "v"), "hll": ("HLL_UNION", "k"), "middle_v": ("QUANTILE_UNION", "v")}
+
+
+def batched_states(s, d, n: int = 4):
+    """The states of n batches, merged one after the other as they come."""
+    r, kept = rows(s, d), None
+    for batch in range(n):
+        new = folds.states(r.where(F.col("commit_seq") % n == batch), ["table_id"], _STATES)
+        kept = new if kept is None else folds.merged_states(kept.unionByName(new), ["table_id"], _STATES)
+    return folds.from_states(kept, ["table_id"], _STATES)
+
+
+@query("merge_states", f"""SELECT table_id, count(DISTINCT k) AS n_keys, sum(v)::BIGINT AS sum_v, arg_max(v_nullable, commit_seq) FILTER (WHERE v_nullable IS NOT NULL) AS last_v, arg_max(v, commit_seq) AS newest_v, max(v) AS max_v
+FROM ({X.ROWS}) r GROUP BY table_id""")
+def _(s, d):
+    return batched_states(s, d).drop("hll", "middle_v")
+
+
 @query("fold_bitmap", f"SELECT table_id, count(DISTINCT k) AS n_distinct FROM ({X.ROWS}) r GROUP BY ALL")
 def _(s, d):
     return folds.distinct_bitmap(rows(s, d), ["table_id"], "k")
@@ -311,11 +329,22 @@ def _(s, d):
     return verify.diff_multiset(a.drop("k"), b.drop("k"))
 
 
-@query("checksum_partitions", f"SELECT p, count(*) AS n, sum(CAST('0x' || substr(md5(cents || '|' || k || '|' || p || '|' || st), 1, 8) AS BIGINT))::BIGINT AS checksum FROM {_A} GROUP BY p")
+@query("checksum_partitions", f"SELECT p, count(*) AS n, sum(CAST('0x' || substr(md5(length(cents::VARCHAR) || ':' || cents || '|' || length(k::VARCHAR) || ':' || k || '|' || length(p::VARCHAR) || ':' || p || '|' || length(st) || ':' || st), 1, 8) AS BIGINT))::BIGINT AS checksum FROM {_A} GROUP BY p")
 def _(s, d):
     return verify.checksum(frame(s, d, X.SOURCE), "p")
 
 
+@query("checksum_differences", f"""SELECT coalesce(a.p, b.p) AS p FROM (SELECT p, count(*) AS n, list(x ORDER BY x) AS l FROM (SELECT p, k || ',' || st || ',' || cents AS x FROM {_A}) t GROUP BY p) a
+FULL JOIN (SELECT p, count(*) AS n, list(x ORDER BY x) AS l FROM (SELECT p, k || ',' || st || ',' || cents AS x FROM {_B}) t GROUP BY p) b ON a.p = b.p WHERE a.l IS DISTINCT FROM b.l""")
+def _(s, d):
+    return verify.differing(*both(s, d), "p")
+
+
+@query("diff_narrowed", SQL["diff_rows"])
+def _(s, d):
+    return verify.narrowed_diff(*both(s, d), "p", "k")
+
+
 @query("missing_partitions", f"SELECT table_id, part_range, 'TARGET' AS missing_in FROM ({X.PARTS}) p WHERE (table_id + part_day) % 29 = 0")
 def _(s, d):
     parts = frame(s, d, X.PARTS)
