@@ -49,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each result written to the shared folder and read again."""
+    """The stages over ``documents``, each result written to the shared folder and read again. A stage's table goes
+    once the next one has its own."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.only(name)
     return docs
