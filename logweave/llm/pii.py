@@ -259,13 +259,15 @@ def personal_data(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col))
     schema = texts.select("id", F.lit(None).cast(f"array<{_SPAN}>").alias("spans")).schema
     found = scratch.keep(texts.mapInArrow(scan, schema).select(F.monotonically_increasing_id().alias(UID), "*"), "found")
-    each = found.select(F.inline("spans"))
+    each = found.select("id", F.inline("spans"))
     table_of = each.groupBy("kind", "pattern").agg(F.count("*").alias("n")).orderBy("kind", "pattern").collect()
     weights = np.zeros(1 << WEIGHT_BITS)
     if table_of:
         belief, _ = em([r.kind for r in table_of], np.array([r.pattern for r in table_of]), np.array([float(r.n) for r in table_of]))
         known = {(r.kind, r.pattern): b for r, b in zip(table_of, belief)}
-        drawn = each.orderBy(F.xxhash64("features", "pattern", "start"), "kind", "start", "end").limit(sample_spans).select("kind", "pattern", "features").collect()
+        # Rows beyond twice the share that is wanted stay where they are; the sample is the first of the others.
+        h, share = F.pmod(F.xxhash64("id", "start", "features"), F.lit(1 << 32)), min(1.0, 2 * sample_spans / sum(r.n for r in table_of))
+        drawn = each.withColumn("h", h).where(F.col("h") < int(share * (1 << 32))).orderBy("h", "kind", "start", "end", "pattern").limit(sample_spans).select("kind", "pattern", "features").collect()
         weights = fit(np.array([r.features for r in drawn]), np.array([known[r.kind, r.pattern] for r in drawn]))
     model = spark.createDataFrame([(weights.tolist(),)], "weights array<double>")
     place = F.array(*map(F.lit, KINDS))
