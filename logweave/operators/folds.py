@@ -23,6 +23,14 @@ def latest(changes: DataFrame, keys: list[str], order: list[str], deleted: Colum
     return out if deleted is None else out.where(~deleted)
 
 
+def alike(rows: DataFrame, few: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that agree with a row of ``few`` in the columns; nulls agree with nulls."""
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}"))
+    return rows.alias("r").join(few.select(*columns).alias("f"), same, "left_semi")
+
+
 def aggregated(changes: DataFrame, keys: list[str], functions: dict[str, tuple[str, str]], order: str = "commit_seq") -> DataFrame:
     """Aggregate model. functions: output column -> (function, input column); functions are SUM, MAX, MIN,
     REPLACE, REPLACE_IF_NOT_NULL, HLL_UNION, QUANTILE_UNION."""

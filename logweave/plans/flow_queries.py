@@ -10,6 +10,7 @@ from ..operators.folds import latest
 from ..sources import log as L
 from ..sources import snapshots as S
 from ..sources.folders import new_folder
+from ..sources.views import View, apply_with_views
 from ..streaming import follow
 from ..streaming.replay import Replica
 from . import fixtures as X
@@ -154,6 +155,36 @@ def _(s, d):
     return _refreshed(s, d, lambda base: base.groupBy("p", "st").agg(F.count("*").alias("n"), F.sum("cents").alias("cents")))
 
 
+def _viewed(s, d, *definition):
+    """A view kept through the four quarters of the log, the second one delivered twice."""
+    folder, r, c = new_folder(s, "views"), rows(s, d).select("commit_seq", "table_id", "part_day", "k", "v", "v_nullable", "op"), middle(s, d)
+    base = _table(s, folder)
+    view = View(base, f"{folder}/view", *definition)
+    for number, (low, high) in ((0, (-1, c // 2)), (1, (c // 2, c)), (1, (c // 2, c)), (2, (c, 3 * c // 2)), (3, (3 * c // 2, 4 * c))):
+        apply_with_views(base, [view], number, r.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high)))
+    return view.read()
+
+
+_LAST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_id, k ORDER BY commit_seq DESC) AS place FROM ({X.ROWS}) r) t WHERE place = 1 AND op <> 'D'"
+
+
+@query("delta_agg_view", f"SELECT part_day, count(*) AS n_rows, sum(v_nullable)::BIGINT AS total, count(v_nullable) AS n, min(v) AS low, max(v) AS high FROM ({_LAST}) l GROUP BY part_day")
+def _(s, d):
+    """Keys move from day to day, so days lose their least and greatest values, and some all rows."""
+    return _viewed(s, d, {"part_day": F.col("part_day")}, {"total": ("SUM", "v_nullable"), "n": ("COUNT", "v_nullable"), "low": ("MIN", "v"), "high": ("MAX", "v")})
+
+
+@query("delta_rollup", f"SELECT table_id, v_nullable IS NULL AS unknown, count(*) AS n_rows, sum(v)::BIGINT AS total, max(commit_seq) AS last_seq FROM ({_LAST}) l GROUP BY ALL")
+def _(s, d):
+    return _viewed(s, d, {"table_id": F.col("table_id"), "unknown": F.col("v_nullable").isNull()}, {"total": ("SUM", "v"), "last_seq": ("MAX", "commit_seq")})
+
+
+@query("delta_plain_view", f"SELECT k % 50 AS k50, v_nullable % 10 AS v10, count(*) AS n_rows FROM ({_LAST}) l WHERE part_day > 10 GROUP BY ALL")
+def _(s, d):
+    """Rows that the view can't tell apart are counted, so one of them may go."""
+    return _viewed(s, d, {"k50": F.col("k") % 50, "v10": F.col("v_nullable") % 10}, {}, F.col("part_day") > 10)
+
+
 # --- following the log --------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.folds import latest
+from ..operators.folds import alike, latest
 from .folders import children, delete, exists, read_text, write_text
 
 
@@ -130,10 +130,17 @@ class ChangeTable:
         latest(changes, self.keys, [self.order]).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
         return True
 
-    def changes(self) -> DataFrame | None:
-        """The last change of each key, delete marks too."""
+    def versions(self) -> DataFrame | None:
+        """All changes that are kept, several of a key where several batches had it."""
         _, folders = self._folders()
-        return latest(self.spark.read.parquet(*folders), self.keys, [self.order]) if folders else None
+        return self.spark.read.parquet(*folders) if folders else None
+
+    def changes(self, among: DataFrame | None = None) -> DataFrame | None:
+        """The last change of each key, delete marks too. among: only of these keys; others are not shuffled."""
+        rows = self.versions()
+        if rows is None:
+            return None
+        return latest(rows if among is None else alike(rows, among, self.keys), self.keys, [self.order])
 
     def read(self) -> DataFrame | None:
         folded = self.changes()
