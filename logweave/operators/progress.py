@@ -77,3 +77,8 @@ def to_resync(failures: DataFrame, forced: DataFrame) -> DataFrame:
     why = failures.where("category = 'meta'").select("table_id", "commit_seq", F.lit("meta error").alias("reason"))
     asked = forced.select("table_id", "commit_seq", F.lit("forced").alias("reason"))
     return why.unionByName(asked).groupBy("table_id").agg(F.min("commit_seq").alias("since_seq"), F.min_by("reason", F.struct("commit_seq", "reason")).alias("reason"))
+
+
+def behind(cursors: DataFrame, oldest_seq: int) -> DataFrame:
+    """``table_id, since_seq, reason``: tables whose next record may be gone, as the log now begins at ``oldest_seq``."""
+    return cursors.where(F.col("cursor_seq") < oldest_seq - 1).select("table_id", F.col("cursor_seq").alias("since_seq"), F.lit("log trimmed").alias("reason"))

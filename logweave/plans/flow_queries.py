@@ -13,6 +13,7 @@ from ..sources.folders import new_folder
 from ..sources.views import View, apply_with_views
 from ..streaming import follow
 from ..streaming.replay import Replica
+from ..streaming.syncs import SyncingReplica
 from . import fixtures as X
 from .fixtures import frame
 from .log_queries import MIDDLE, log, middle
@@ -380,12 +381,12 @@ def _replayed(s, d):
     return _replay(s, frame(s, d, _RECORDS), middle(s, d))
 
 
-def _replay(s, records, c):
+def _replay(s, records, c, make=Replica):
     """The log in four files, the later ones first."""
     folder = new_folder(s, "replay")
     for low, high in ((3 * c // 2, 4 * c), (c, 3 * c // 2), (c // 2, c), (-1, c // 2)):
         records.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high)).write.mode("append").parquet(f"{folder}/log")
-    replica = Replica(s, f"{folder}/replica")
+    replica = make(s, f"{folder}/replica")
     follow.drain(follow.stream(s, f"{folder}/log", 4), f"{folder}/checkpoint", lambda batch, number: replica.apply(number, batch))
     return replica
 
@@ -425,6 +426,43 @@ def _(s, d):
     return replica.syncs.read().select("table_id", "action", "commit_seq").unionByName(refused)
 
 
+#: Each sync record stands for a change of the source that the log doesn't carry: it adds its position to the values of
+#: the rows that its table or partition p1 has then. A copy shows it; the log's own rows don't.
+_CUTS = f"""SELECT table_id, '' AS part, commit_seq FROM ({X.LOG}) l WHERE type = 'DROP_TABLE' OR (type = 'TRUNCATE_TABLE' AND commit_seq % 2 = 0)
+  UNION ALL SELECT table_id, 'p' || part_day, commit_seq FROM ({X.LOG}) l WHERE (type = 'DROP_PARTITION' AND commit_seq % 10 <> 0) OR (type = 'TRUNCATE_TABLE' AND commit_seq % 2 = 1)
+  UNION ALL SELECT table_id, 'p1', commit_seq FROM ({X.LOG}) l WHERE type = 'TRUNCATE_TABLE' AND commit_seq % 2 = 1"""
+_SILENT = f"""SELECT table_id, CASE WHEN type = 'REPLACE_PARTITIONS' AND commit_seq % 2 = 0 THEN 'p1' ELSE '' END AS part, commit_seq FROM ({X.LOG}) l
+  WHERE type = 'DUMMY' OR (type = 'ALTER_JOB' AND commit_seq % 7 <> 0 AND commit_seq % 3 <> 0) OR (type = 'REPLACE_PARTITIONS' AND commit_seq % 5 <> 0)"""
+
+
+def _source_copy(s, d):
+    """The source's rows of the wanted scopes, 50 records after the last record that called for a copy of their table."""
+    r = frame(s, d, X.ROWS).select("table_id", F.concat(F.lit("p"), F.col("part_day")).alias("part"), "k", "commit_seq", "v", "op")
+    cuts, silent = frame(s, d, _CUTS), frame(s, d, _SILENT)
+
+    def copy(wanted):
+        positions = wanted.groupBy("table_id").agg((F.max("called_seq") + 50).alias("cursor_seq"))
+        then = lambda df: df.join(positions, "table_id").where("commit_seq <= cursor_seq").drop("cursor_seq")
+        now = latest(then(r), ["table_id", "part", "k"], ["commit_seq"], F.expr("op = 'D'")).alias("r")
+        on = lambda other: (F.col("r.table_id") == F.col(f"{other}.table_id")) & F.col(f"{other}.part").isin("", F.col("r.part")) & (F.col(f"{other}.commit_seq") > F.col("r.commit_seq"))
+        left = now.join(then(cuts).alias("c"), on("c"), "left_anti")
+        changed = left.join(then(silent).alias("s"), on("s"), "left").groupBy("r.table_id", "r.part", "k", "r.commit_seq", "v").agg(F.max("s.commit_seq").alias("plus"))
+        changed = changed.withColumn("v", F.col("v") + F.coalesce("plus", F.lit(0))).drop("plus")
+        rows = changed.join(wanted.select("table_id", "scope"), "table_id").where("scope IN ('', part)")
+        return rows.withColumn("data", F.lit(None).cast("string")), positions
+
+    return copy
+
+
+@query("flow_record_syncs", f"""WITH cuts AS ({_CUTS}), silent AS ({_SILENT}), r AS (SELECT table_id, 'p' || part_day AS part, k, commit_seq, v, op, row_number() OVER (PARTITION BY table_id, part_day, k ORDER BY commit_seq DESC) AS place FROM ({X.ROWS}) l)
+SELECT r.table_id, r.part, r.k, r.commit_seq, r.v + coalesce(max(s.commit_seq), 0) AS v FROM r LEFT JOIN silent s ON s.table_id = r.table_id AND s.part IN ('', r.part) AND s.commit_seq > r.commit_seq
+WHERE place = 1 AND op <> 'D' AND NOT EXISTS (SELECT 1 FROM cuts c WHERE c.table_id = r.table_id AND c.part IN ('', r.part) AND c.commit_seq > r.commit_seq) GROUP BY r.table_id, r.part, r.k, r.commit_seq, r.v""")
+def _(s, d):
+    """One stream whose schema changes, rollups, replaced partitions and unknown changes start syncs of their table or partition."""
+    copy = _source_copy(s, d)
+    return _replay(s, frame(s, d, _RECORDS), middle(s, d), lambda spark, folder: SyncingReplica(spark, folder, copy)).read().drop("name")
+
+
 #: Partitions renamed there and back, and cut by names: the name in force decides whether a cut meets a partition.
 _RENAMED = f"""SELECT *, 'p' || part_day AS part, count(CASE WHEN type = 'RENAME_TABLE' THEN 1 END) OVER (PARTITION BY table_id, part_day ORDER BY commit_seq) % 2 AS odd
 FROM ({X.LOG}) l WHERE type IN ('UPSERT', 'RENAME_TABLE', 'DROP_PARTITION')"""

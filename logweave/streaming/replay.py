@@ -12,7 +12,7 @@ from ..operators.evolution import in_last_schema, schema_versions
 from ..operators.progress import action
 from ..sources.snapshots import ChangeTable
 
-_TRIAGE = "type string, jobState string, strictRange boolean, useTempName boolean"
+_TRIAGE = "type string, jobState string, strictRange boolean, useTempName boolean, partitions array<string>"
 #: Record types whose payloads are checked and decoded here: all but row changes, which come as rows.
 _KINDS = tuple(kind for kind in P.RULES if kind != "UPSERT")
 
@@ -41,6 +41,7 @@ class Replica:
         self.refused = table("refused", "commit_seq", "reason")
 
     def apply(self, batch: int, records: DataFrame) -> None:
+        records = records.persist()  # each kept table reads the batch
         parsed = {kind: P.parsed(records.where(F.col("type") == kind).select("commit_seq", "part", "data"), kind) for kind in _KINDS}
         good = {kind: d.where("reason IS NULL") for kind, d in parsed.items()}
         t = F.from_json("data", _TRIAGE)
@@ -58,9 +59,15 @@ class Replica:
         self.columns.apply(batch, _last_of_columns(changes))
         self.comments.apply(batch, P.comments(records.where("type = 'MODIFY_COMMENT'").select("commit_seq", "data")).withColumn("column", F.coalesce("column", F.lit(""))))
         self.refused.apply(batch, refused)
-        called = acted.where("action IN ('PARTIAL_SYNC', 'PARTIAL_SYNC_REPLACE', 'FULL_SYNC')").select("table_id", "action", "commit_seq")
-        self.syncs.apply(batch, called.join(refused.select("commit_seq"), "commit_seq", "left_anti"))
+        called = acted.where("action IN ('PARTIAL_SYNC', 'PARTIAL_SYNC_REPLACE', 'FULL_SYNC')").select("table_id", "action", "commit_seq", F.when(F.col("action") == "PARTIAL_SYNC", F.col("t.partitions")).alias("partitions"))
+        called = called.join(refused.select("commit_seq"), "commit_seq", "left_anti")
+        self.syncs.apply(batch, called.drop("partitions"))
+        self.carry_out(batch, called)
         changes.unpersist()
+        records.unpersist()
+
+    def carry_out(self, batch: int, called: DataFrame) -> None:
+        """Does what the records (table_id, action, commit_seq, partitions) call for: here it is only kept in ``syncs``."""
 
     def cut_partitions(self) -> DataFrame:
         """``table_id, part, cut_seq``: the last cut of each partition, found by the name that it had then; an empty
@@ -72,10 +79,14 @@ class Replica:
         rows = self.rows.read()
         if rows is None:
             return None
+        return self._uncut(rows.withColumn("at", F.col("commit_seq"))).where("at > cut_seq")
+
+    def _uncut(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``cut_seq``: the last cut of their partition or table, or -1."""
         cut = self.cut_partitions()
         whole = cut.where("part = ''").select("table_id", F.col("cut_seq").alias("table_cut"))
         rows = rows.join(whole, "table_id", "left").join(cut.where("part != ''"), ["table_id", "part"], "left")
-        return rows.where("commit_seq > coalesce(table_cut, -1) AND commit_seq > coalesce(cut_seq, -1)").drop("table_cut", "cut_seq")
+        return rows.withColumn("cut_seq", F.greatest(F.coalesce("table_cut", F.lit(-1)), F.coalesce("cut_seq", F.lit(-1)))).drop("table_cut")
 
     def read(self) -> DataFrame | None:
         """``table_id, part, k, commit_seq, v, name`` of the rows in force; name is null for a table
@@ -92,7 +103,10 @@ class Replica:
     def read_evolved(self, first: DataFrame) -> DataFrame | None:
         """``table_id, part, k, commit_seq, row``: the rows in force under the last columns of their tables."""
         rows = self._kept()
-        return None if rows is None else in_last_schema(rows, self.versions(first)).select("table_id", "part", "k", "commit_seq", "row")
+        if rows is None:
+            return None
+        rows = rows.withColumnRenamed("commit_seq", "written").withColumnRenamed("at", "commit_seq")
+        return in_last_schema(rows, self.versions(first)).select("table_id", "part", "k", F.col("written").alias("commit_seq"), "row")
 
 
 def _cuts(good: dict[str, DataFrame]) -> DataFrame:
