@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from ..functions import payloads as P
 from ..operators import filters
 from ..operators.evolution import as_table
 from ..operators.folds import latest
@@ -13,10 +15,12 @@ from ..sources.folders import new_folder
 from ..sources.views import View, apply_with_views
 from ..streaming import follow
 from ..streaming.replay import Replica
+from ..streaming.shadows import index_turns, stream_without_shadows
 from ..streaming.syncs import SyncingReplica
 from . import fixtures as X
 from .fixtures import frame
 from .log_queries import MIDDLE, log, middle
+from .log_queries import SQL as LOG_SQL
 from .table_queries import KEYS, rows, unique_sql
 
 QUERIES: dict = {}
@@ -352,15 +356,55 @@ def _(s, d):
 
 @query("stream_dedup", f"SELECT commit_seq, type, table_id FROM ({X.LOG}) l")
 def _(s, d):
-    """Each file is delivered twice."""
-    folder, part = new_folder(s, "dedup"), log(s, d).select("commit_seq", "ts", "type", "table_id")
-    for _ in range(2):
-        part.repartitionByRange(4, "commit_seq").write.mode("append").parquet(f"{folder}/log")
-    once = follow.without_repeats(follow.stream(s, f"{folder}/log", 4), "3650 days")
-    follow.drain(once, f"{folder}/checkpoint", lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    """Each half of the log is delivered twice, the second time in the next batch; then the stream starts again."""
+    folder, part, c = new_folder(s, "dedup"), log(s, d).select("commit_seq", "ts", "type", "table_id"), middle(s, d)
+    cursors = S.ChangeTable(s, f"{folder}/cursors", ["table_id"], deleted="false")
+
+    def handle(batch, number):
+        follow.without_committed(batch, cursors, number).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    for half in (F.col("commit_seq") <= c, F.col("commit_seq") > c):
+        for _ in range(2):
+            part.where(half).repartitionByRange(2, "commit_seq").write.mode("append").parquet(f"{folder}/log")
+            follow.drain(follow.stream(s, f"{folder}/log", 2), f"{folder}/checkpoint", handle)
     return s.read.parquet(f"{folder}/out").select("commit_seq", "type", "table_id")
 
 
+@query("stream_counters", f"SELECT table_id, CASE WHEN v % 5 = 0 THEN 'refused' ELSE 'handled' END AS category, count(*) AS n, min(commit_seq) AS first_seq, max(commit_seq) AS last_seq FROM ({X.ROWS}) r GROUP BY ALL")
+def _(s, d):
+    """Counters of a stream that skips bad rows: a failure in the second batch, then a restart."""
+    folder = new_folder(s, "counters")
+    path, table = _files(_rows(s, d).withColumn("category", F.expr("CASE WHEN v % 5 = 0 THEN 'refused' ELSE 'handled' END")), folder), _table(s, folder)
+    kept = S.ChangeTable(s, f"{folder}/counters", ["batch", "table_id", "category"], order="last_seq", deleted="false")
+
+    def failing(batch, number):
+        table.apply(number, batch.where("category = 'handled'"))
+        if number == 1:
+            raise RuntimeError("the second batch fails")
+
+    def whole(batch, number):
+        table.apply(number, batch.where("category = 'handled'"))
+
+    try:
+        follow.drain(follow.stream(s, path), f"{folder}/checkpoint", follow.counted(failing, kept, "table_id", "category"))
+    except StreamingQueryException:
+        follow.drain(follow.stream(s, path), f"{folder}/checkpoint", follow.counted(whole, kept, "table_id", "category"))
+    return follow.counter_totals(kept, "table_id", "category")
+
+
+@query("stream_shadow_indexes", LOG_SQL["filter_shadow_indexes"])
+def _(s, d):
+    """Uses and alter jobs as one stream in three parts of the log, the second delivered twice; each part after a restart."""
+    folder, c = new_folder(s, "shadows"), middle(s, d)
+    uses = P.upsert_indexes(frame(s, d, X.PAYLOAD)).select("index_id", "commit_seq", F.lit(None).cast("string").alias("turn"))
+    records = uses.unionByName(index_turns(frame(s, d, X.ALTER)))
+    for low, high in ((-1, c // 2), (c // 2, c), (c // 2, c), (c, 4 * c)):
+        records.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        kept = stream_without_shadows(follow.stream(s, f"{folder}/log"))
+        follow.drain(kept, f"{folder}/checkpoint", lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    return s.read.parquet(f"{folder}/out").select("commit_seq", "index_id")
+
+
 # --- the mixed log ------------------------------------------------------------------------------------
 
 _RECORDS = f"""SELECT commit_seq, CASE WHEN type <> 'BARRIER' THEN type WHEN commit_seq % 2 = 0 THEN 'RENAME_COLUMN' ELSE 'MODIFY_COMMENT' END AS type, table_id, 'p' || part_day AS part, k, v,

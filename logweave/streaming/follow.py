@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.filters import not_committed
+from ..operators.progress import counters
 from ..sources.snapshots import ChangeTable
 
 
@@ -39,11 +41,37 @@ def split_bad(batch: DataFrame, good: str) -> tuple[DataFrame, DataFrame]:
     return batch.where(fine), batch.where(~fine)
 
 
-def without_repeats(source: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drops records that are delivered again; state is bounded by the watermark."""
-    return source.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["commit_seq"])
+def without_committed(batch: DataFrame, cursors: ChangeTable, number: int) -> DataFrame:
+    """The records of a batch after the cursor of their table, each once; the cursors (table_id, commit_seq) go on to the
+    batch's last records. Log files have to come in order, apart from repeats. State is a row for each table, however
+    long the log is; a batch that comes again after a failure gives the same records."""
+    if not cursors.has(number):
+        if number % 50 == 49:  # only what is before this batch
+            cursors.compact()
+        cursors.apply(number, batch.groupBy("table_id").agg(F.max("commit_seq").alias("commit_seq"), F.lit(number).alias("batch")))
+    kept = cursors.versions().where(F.col("batch") < number).groupBy("table_id").agg(F.max("commit_seq").alias("cursor_seq"))
+    return not_committed(batch, kept).dropDuplicates(["commit_seq"])
 
 
 def running_latest(source: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Latest row per key as streaming state, in update mode."""
     return source.groupBy(*keys).agg(F.max_by(F.struct("commit_seq", *values), "commit_seq").alias("r")).select(*keys, "r.*")
+
+
+def counted(handle: Callable[[DataFrame, int], None], kept: ChangeTable, *keys: str) -> Callable[[DataFrame, int], None]:
+    """``handle``, after which the batch's counters by ``keys`` are put down in ``kept`` (keys: batch and ``keys``). A batch that
+    comes again, also after a restart, counts once; one whose handling fails doesn't count until it is done."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        handle(batch, number)
+        kept.apply(number, counters(batch, *keys).withColumn("batch", F.lit(number).cast("long")))
+        batch.unpersist()
+
+    return run
+
+
+def counter_totals(kept: ChangeTable, *keys: str) -> DataFrame | None:
+    """``keys, n, first_seq, last_seq`` over all batches that were handled."""
+    rows = kept.read()
+    return None if rows is None else rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
