@@ -1,8 +1,8 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built, from good and from bad labelled text.  A text is
-compressed block by block with each; the difference of the sizes per byte, and the size per byte
-itself, go through a logistic curve fitted on labelled rows that the dictionaries haven't seen.
+compressed block by block with each; the difference of the sizes per byte of the text goes
+through a logistic curve fitted on labelled rows that the dictionaries haven't seen.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ class CompressionModel:
 
     good: bytes
     bad: bytes
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
-    scale: tuple[tuple[float, float], ...] = ((0.0, 1.0), (0.0, 1.0))
+    weights: tuple[float, float] = (0.0, 0.0)
+    scale: tuple[float, float] = (0.0, 1.0)
 
     def __post_init__(self) -> None:
         self._pair = None
@@ -49,20 +49,18 @@ class CompressionModel:
             self._pair = pair
         return self._pair
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Size difference (bad minus good) and good size, both per byte of the whole text."""
+    def difference(self, text: str | None) -> float:
+        """Sizes of the whole text, bad minus good, per byte of it; 0 for an empty one."""
         data = (text or "").encode()
         if not data:
-            return 0.0, 1.0
+            return 0.0
         good, bad = self._compressors()
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         g, b = sum(len(good.compress(x)) for x in blocks), sum(len(bad.compress(x)) for x in blocks)
-        return (b - g) / len(data), g / len(data)
+        return (b - g) / len(data)
 
     def score(self, text: str | None) -> float:
-        z = self.weights[0]
-        for x, w, (mean, sd) in zip(self.features(text), self.weights[1:], self.scale):
-            z += w * (x - mean) / sd
+        z = self.weights[0] + self.weights[1] * (self.difference(text) - self.scale[0]) / self.scale[1]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -81,22 +79,22 @@ def fit(rows: list[tuple[str, int]]) -> CompressionModel:
     or none every score is 0.5."""
     by = {k: [t for t, q in rows if q == k] for k in (0, 1)}
     model = CompressionModel(_dictionary(by[1][::2]), _dictionary(by[0][::2]))
-    held = [(model.features(t), k) for k in (0, 1) for t in by[k][1::2]]
+    held = [(model.difference(t), k) for k in (0, 1) for t in by[k][1::2]]
     y = np.array([k for _, k in held], dtype=float)
     if len(set(y.tolist())) < 2:
         return model
-    x = np.array([f for f, _ in held])
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
+    x = np.array([d for d, _ in held])
+    mean, sd = float(x.mean()), float(x.std()) + 1e-9
     x = np.column_stack([np.ones(len(x)), (x - mean) / sd])
-    w = np.zeros(3)
+    w = np.zeros(2)
     for _ in range(50):  # Newton steps with a little shrinkage
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
         step = np.linalg.solve(hessian, x.T @ (y - p) - 1e-2 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    model.weights, model.scale = tuple(w.tolist()), tuple(zip(mean.tolist(), sd.tolist()))
+    model.weights, model.scale = tuple(w.tolist()), (mean, sd)
     return model
 
 

@@ -82,3 +82,20 @@ def test_classifier_edge_cases(spark, edge, empty):
     model = qc.fit(qc.labelled_sample(edge, labels))
     scored = qc.score_quality(edge, model).select("text", "score").collect()
     assert len(scored) == edge.count() and all(0 <= r.score <= 1 for r in scored)
+
+
+def test_score_is_the_size_difference_alone():
+    """Of equal differences per byte the scores are equal, and the score rises with the difference."""
+    good, bad = [f"the river runs {w} and slow past the old mill {w}" for w in "abcdefghij"], [f"BUY {w} now!!! cheap $$$ {w} click" for w in "abcdefghij"]
+    model = qc.fit([(t, 1) for t in good * 40] + [(t, 0) for t in bad * 40])
+    texts = [*good, *bad, "", None, "ü" * 2_000, good[0] * 100]
+    sizes = [model._compressors()[i] for i in (0, 1)]
+
+    def difference(text):
+        data = (text or "").encode()
+        size = lambda z: sum(len(z.compress(data[i : i + qc.BLOCK])) for i in range(0, len(data), qc.BLOCK))
+        return (size(sizes[1]) - size(sizes[0])) / len(data) if data else 0.0
+
+    pairs = sorted((difference(t), model.score(t)) for t in texts)
+    assert all(a[1] <= b[1] if a[0] < b[0] else a[1] == b[1] for a, b in zip(pairs, pairs[1:]))
+    assert all(model.score(t) > 0.5 for t in good) and all(model.score(t) < 0.5 for t in bad)
