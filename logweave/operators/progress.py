@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import BLOCK
+
 # Ids of the outer states of a job.
 STATES = {0: "DBFullSync", 1: "DBTablesIncrementalSync", 3: "DBIncrementalSync", 500: "TableFullSync", 501: "TableIncrementalSync"}
 
@@ -47,10 +49,17 @@ def latest_progress(progress: DataFrame) -> DataFrame:
     return progress.groupBy("job").agg(row).select("job", F.col("r.commit_seq").alias("commit_seq"), names[F.col("r.sync_state").cast("int")].alias("state"))
 
 
-def full_sync_events(progress: DataFrame) -> DataFrame:
-    """Progress rows at which a full sync began: its start differs from the row before."""
-    before = F.lag("full_sync_start_at").over(Window.partitionBy("job").orderBy("commit_seq"))
-    return progress.withColumn("before", before).where("before IS NOT NULL AND before != full_sync_start_at").drop("before")
+def full_sync_events(progress: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Progress rows at which a full sync began: its start differs from the row before. A job's history is compared block
+    by block of positions; the first row of a block meets the end of the block before, so no task has a whole history."""
+    of_block = F.floor(F.col("commit_seq") / F.lit(block))
+    value = F.struct("full_sync_start_at")
+    rows = progress.withColumn("__block", of_block)
+    inside = rows.withColumn("__before", F.lag(value).over(Window.partitionBy("job", "__block").orderBy("commit_seq")))
+    ends = rows.groupBy("job", "__block").agg(F.max_by(value, "commit_seq").alias("__end"))
+    ends = ends.select("job", "__block", F.lag("__end").over(Window.partitionBy("job").orderBy("__block")).alias("__end"))
+    before = F.coalesce("__before", "__end")["full_sync_start_at"]
+    return inside.join(ends, ["job", "__block"]).where(before.isNotNull() & (before != F.col("full_sync_start_at"))).drop("__block", "__before", "__end")
 
 
 # Record types.
