@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clauses import tokens
+
 
 def range_bounds(uppers: DataFrame) -> DataFrame:
     """``part, lo, hi`` from LESS THAN bounds (part, hi): the lower bound is the bound before."""
@@ -47,3 +49,16 @@ def add_partition_sql(sql: Column, temporary: Column) -> Column:
     empty = of_range & ~F.regexp_extract(bounds, r"(?s)^VALUES\s*\[(.*?\).*?\))\)", 1).rlike(r"[^\s(),]")
     said = F.when(empty, F.lit("")).when(bounds.rlike(r"^VALUES\s+IN\s*\(\("), F.concat(F.lit("VALUES IN (("), values, F.lit("))"))).otherwise(bounds)
     return F.when(head == "", sql).otherwise(F.concat(named, said))
+
+
+def distribution_sql(sql: Column, columns: Column, buckets: Column) -> Column:
+    """The text of an ADD PARTITION with the source's distribution: one that states a number of buckets stays as it is;
+    AUTO becomes the source's number; a text without DISTRIBUTED BY gets HASH of the columns, or RANDOM if there
+    are none. Words in quotes say nothing."""
+    text = F.regexp_replace(sql, r"[\s;]+$", "")
+    words = F.transform(tokens(text), F.upper)
+    after = lambda word: F.get(words, F.array_position(words, word).cast("int"))
+    has_number, auto = F.array_contains(words, "BUCKETS") & (after("BUCKETS") != "AUTO"), F.array_contains(words, "BUCKETS")
+    cut = F.when(auto, F.regexp_replace(text, r"(?is)\s*\bBUCKETS\s+AUTO\b[^\"'`]*$", "")).otherwise(text)
+    by = F.when(F.array_contains(words, "DISTRIBUTED"), F.lit("")).when(F.size(columns) > 0, F.concat(F.lit(" DISTRIBUTED BY HASH("), F.array_join(columns, ","), F.lit(")"))).otherwise(F.lit(" DISTRIBUTED BY RANDOM"))
+    return F.when(F.coalesce(has_number, F.lit(False)), text).otherwise(F.concat(cut, by, F.lit(" BUCKETS "), buckets.cast("string")))

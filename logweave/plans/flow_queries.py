@@ -9,6 +9,7 @@ from ..functions import payloads as P
 from ..operators import filters
 from ..operators.evolution import as_table
 from ..operators.folds import latest
+from ..sources import buckets as B
 from ..sources import log as L
 from ..sources import snapshots as S
 from ..sources.folders import new_folder
@@ -44,6 +45,11 @@ def summary(df):
     return df.groupBy("st").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 
+def database(folder: str) -> str:
+    """A name in the catalogue as new as the folder."""
+    return folder.rpartition("/")[2].replace("-", "_")
+
+
 @query("snapshot_full", _SUM.format(X.SOURCE))
 def _(s, d):
     folder = new_folder(s, "snapshot")
@@ -79,7 +85,7 @@ def _(s, d):
 def _(s, d):
     """The name stands for the old rows until the staged folder is complete and put in its place."""
     folder = new_folder(s, "atomic")
-    names, out = S.Names(s, f"{folder}/names"), None
+    names, out = S.Names(s, database(folder)), None
     for seen, rows in (("before", X.REPLICA), ("staged", X.SOURCE), ("after", None)):
         if rows:
             S.snapshot(frame(s, d, rows), f"{folder}/{seen}")
@@ -107,7 +113,7 @@ UNION ALL SELECT 'drop', 'to', count(*) FROM ({X.SOURCE}) s""")
 def _(s, d):
     folder, out = new_folder(s, "replace"), None
     for mode in ("swap", "drop"):
-        names = S.Names(s, f"{folder}/{mode}/names")
+        names = S.Names(s, f"{database(folder)}_{mode}")
         for name, rows in (("to", X.REPLICA), ("from", X.SOURCE)):
             S.snapshot(frame(s, d, rows), f"{folder}/{mode}/{name}")
             names.point({name: f"{folder}/{mode}/{name}"})
@@ -120,6 +126,26 @@ def _(s, d):
     return out
 
 
+def bucketed_pair(s, d):
+    """Source and target, laid out alike after the target has taken the source's number of buckets."""
+    folder, of = new_folder(s, "buckets"), B.Layout(("k",), 12)
+    names = S.Names(s, database(folder))
+    table = lambda name: f"{names.database}.{name}"
+    B.write_bucketed(frame(s, d, X.SOURCE), table("source_12"), f"{folder}/source", of)
+    B.write_bucketed(frame(s, d, X.REPLICA), table("target_4"), f"{folder}/target_4", B.Layout(("k",), 4))
+    names.point({"source": table("source_12"), "target": table("target_4")})
+    B.follow_layout(s, names, "target", table("target_12"), f"{folder}/target_12", B.layout_of(s, table("target_4")).like(of))
+    return names.read("source"), names.read("target")
+
+
+@query("bucketed_join", f"SELECT s.st, count(*) AS n, count(CASE WHEN s.cents <> r.cents THEN 1 END) AS n_differ FROM ({X.SOURCE}) s JOIN ({X.REPLICA}) r ON s.k = r.k GROUP BY s.st")
+def _(s, d):
+    """Two tables of one layout: the join moves no row of either."""
+    source, target = bucketed_pair(s, d)
+    both = source.join(target.select("k", F.col("cents").alias("of_target")), "k")
+    return both.groupBy("st").agg(F.count("*").alias("n"), F.count(F.when(F.col("cents") != F.col("of_target"), 1)).alias("n_differ"))
+
+
 def _overwritten(s, d):
     folder = new_folder(s, "overwrite")
     S.snapshot(frame(s, d, X.REPLICA), folder, ("p",))
@@ -314,15 +340,14 @@ def _(s, d):
 def _(s, d):
     """Table 103 is lost midway, copied anew at its cursor under an alias, swapped in, and goes on."""
     folder, r, c = new_folder(s, "partial"), _rows(s, d), middle(s, d)
-    names, of = S.Names(s, f"{folder}/names"), F.col("table_id") == 103
+    names, of = S.Names(s, database(folder)), F.col("table_id") == 103
     tables = {"others": _table(s, f"{folder}/others"), "t_103": _table(s, f"{folder}/old"), "alias": _table(s, f"{folder}/alias")}
-    names.point({n: t.folder for n, t in tables.items() if n != "alias"})
     tables["others"].apply(-1, r.where((F.col("commit_seq") <= c) & ~of))
     tables["t_103"].apply(-1, r.where((F.col("commit_seq") <= c // 2) & of))
     tables["alias"].apply(-1, latest(r.where(of & (F.col("commit_seq") <= c + 100)), KEYS, ["commit_seq"], F.expr("op = 'D'")))
-    names.point({"alias": tables["alias"].folder})
+    names.point({n: f"{t.folder}/batch--1" for n, t in tables.items()})
     names.replace("t_103", "alias")
-    now = {n: S.ChangeTable(s, path, KEYS) for n, path in names.now().items()}
+    now = {n: S.ChangeTable(s, path.rpartition("/")[0], KEYS) for n, path in names.now().items()}
     # The others go on from the middle, the new copy after its own cursor: what it has is not applied again.
     rest = _files(r.where(F.col("commit_seq") > c), folder)
     follow.replicate(follow.stream(s, rest), now["others"], f"{folder}/checkpoint", lambda b: b.where(~of))

@@ -185,6 +185,18 @@ def _(s, d):
     return frame(s, d, _ADD).select("commit_seq", routing.add_partition_sql(F.col("sql_text"), F.col("is_temp")).alias("sql_text"))
 
 
+_DIST = f"""SELECT commit_seq, commit_seq % 3 = 1 AS is_random, CAST(commit_seq % 50 + 1 AS BIGINT) AS n_buckets, 'ALTER TABLE t ADD PARTITION p VALUES LESS THAN ("buckets 5")' || CASE commit_seq % 5 WHEN 0 THEN ';'
+  WHEN 1 THEN ' DISTRIBUTED BY HASH(`k`) BUCKETS AUTO;' WHEN 2 THEN ' distributed by random buckets 7 ; ' WHEN 3 THEN ' DISTRIBUTED BY HASH(k)' ELSE ' BUCKETS auto' END AS sql_text FROM ({X.LOG}) l"""
+
+
+@query("distribution_sql", f"""SELECT commit_seq, 'ALTER TABLE t ADD PARTITION p VALUES LESS THAN ("buckets 5")' || CASE commit_seq % 5 WHEN 1 THEN ' DISTRIBUTED BY HASH(`k`) BUCKETS ' || n_buckets
+  WHEN 2 THEN ' distributed by random buckets 7' WHEN 3 THEN ' DISTRIBUTED BY HASH(k) BUCKETS ' || n_buckets
+  ELSE CASE WHEN is_random THEN ' DISTRIBUTED BY RANDOM' ELSE ' DISTRIBUTED BY HASH(k,v)' END || ' BUCKETS ' || n_buckets END AS sql_text FROM ({_DIST}) d""")
+def _(s, d):
+    columns = F.when(F.col("is_random"), F.array().cast("array<string>")).otherwise(F.array(F.lit("k"), F.lit("v")))
+    return frame(s, d, _DIST).select("commit_seq", routing.distribution_sql(F.col("sql_text"), columns, F.col("n_buckets")).alias("sql_text"))
+
+
 @query("rollup", "SELECT l_partkey, sum(CAST(l_quantity AS BIGINT))::BIGINT AS sum_quantity, max(CAST(l_quantity AS BIGINT)) AS max_quantity FROM lineitem GROUP BY ALL")
 def _(s, d):
     base = frame(s, d, "SELECT l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem")

@@ -46,19 +46,3 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _file_system(spark, path)
     fs.delete(where, True)
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A new file, seen only once it is whole; FileExistsError if another writer was first."""
-    fs, where = _file_system(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
-    out = fs.create(part, False)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.exists(where) or not fs.rename(part, where):
-        fs.delete(part, False)
-        raise FileExistsError(path)
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]

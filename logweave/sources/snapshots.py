@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.folds import alike, latest
-from .folders import children, delete, exists, read_text, write_text
+from .folders import children, delete, exists, new_folder
 
 
 def _by_partition(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -47,40 +46,44 @@ def refresh_view(base: DataFrame, define, folder: str, partition: str, touched:
 
 
 class Names:
-    """Which folder each table name stands for.
+    """Which folder or table each name stands for: a view of Spark's catalogue for each name.
 
-    A change of any number of names is one new small file, seen whole or not at all: a reader finds the
-    old or the new folder behind a name and never none. Of two writers at once one gets a FileExistsError.
+    A change of a name is one statement, so a reader finds the old or the new rows behind it and never
+    none.  No folder is deleted here: who has begun to read the old one can end.  Names live as long as
+    the catalogue, those of a metastore beyond the session.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, database: str) -> None:
+        self.spark, self.database = spark, database
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{new_folder(spark, 'names')}'")
 
-    def _files(self) -> list[str]:
-        return [p for p in children(self.spark, self.folder) if p.endswith(".json")]
+    def _view(self, name: str) -> str:
+        return f"`{self.database}`.`{name}`"
 
     def now(self) -> dict[str, str]:
-        files = self._files()
-        return json.loads(read_text(self.spark, files[-1])) if files else {}
+        names = [r.viewName for r in self.spark.sql(f"SHOW VIEWS IN `{self.database}`").collect() if not r.isTemporary]
+        return {n: self.spark.sql(f"SHOW TBLPROPERTIES {self._view(n)} ('stands_for')").first().value for n in names}
 
     def point(self, changes: dict[str, str | None]) -> None:
-        """Names to folders; None takes the name away."""
-        named = {k: v for k, v in (self.now() | changes).items() if v is not None}
-        write_text(self.spark, f"{self.folder}/{len(self._files()):012d}.json", json.dumps(named))
+        """Names to folders (paths) or tables of the catalogue; None takes the name away. One statement a name, in
+        the given order."""
+        for name, of in changes.items():
+            if of is None:
+                self.spark.sql(f"DROP VIEW IF EXISTS {self._view(name)}")
+            else:
+                rows = f"parquet.`{of}`" if "/" in of else of
+                self.spark.sql(f"CREATE OR REPLACE VIEW {self._view(name)} TBLPROPERTIES ('stands_for' = '{of}') AS SELECT * FROM {rows}")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.now()[name])
+        return self.spark.table(self._view(name))
 
     def replace(self, target: str, staged: str, swap: bool = False) -> bool:
-        """The table ``staged`` takes the place of ``target``. With swap both change places, else the
-        old one goes, its folder too. Idempotent: without a staged table nothing happens."""
+        """The table ``staged`` takes the place of ``target``, in one statement. With swap the staged name then
+        stands for the old one, else it goes. Idempotent: without a staged table nothing happens."""
         named = self.now()
         if staged not in named:
             return False
-        old = named.get(target)
-        self.point({target: named[staged], staged: old if swap else None})
-        if old and not swap:
-            delete(self.spark, old)
+        self.point({target: named[staged], staged: named.get(target) if swap else None})
         return True
 
 

@@ -136,17 +136,15 @@ def test_rollback_and_unfinished_batches(spark, tmp_path):
 def test_names_always_stand_for_a_table(spark, tmp_path):
     from logweave.sources.snapshots import Names
 
-    names = Names(spark, f"file://{tmp_path}/names")
+    names = Names(spark, "test_names")
     for n in ("a", "b"):
         spark.range(1 + (n == "b")).write.parquet(f"{tmp_path}/{n}")
         names.point({n: f"file://{tmp_path}/{n}"})
+    begun = names.read("a")
     assert names.replace("a", "b", swap=True) and names.read("a").count() == 2 and names.read("b").count() == 1
     assert names.replace("a", "b") and not names.replace("a", "b") and names.read("a").count() == 1 and set(names.now()) == {"a"}
-    assert not (tmp_path / "b").exists()
-    late = Names(spark, names.folder)
-    late._files = lambda: []
-    with pytest.raises(FileExistsError):
-        late.point({"c": "x"})
+    names.point({"a": f"file://{tmp_path}/b"})
+    assert begun.count() == 1 and Names(spark, "test_names").read("a").count() == 2
 
 
 @pytest.mark.parametrize("broken", ["__missing__", "corpus_pipeline", "logweave.llm.registry"])
