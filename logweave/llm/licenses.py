@@ -1,11 +1,12 @@
 """Licence scans: a trained paragraph classifier in DataFrame functions.
 
 A sparse multinomial logistic regression over word 1-grams and 2-grams is trained on the licence
-notices below, shortened variants of them, and paragraphs that only talk about licences (the
-unknown class).  Paragraphs of the corpus are a line, or a few short lines in a row, as notices are
-wrapped.  Those with a word that every notice has one of are scored by joining their n-grams with the
-weight table, whose size is fixed by the notices; a comparison with the family's notices, word pair
-by word pair, confirms a prediction.
+notices below, short ones made of the licences' names and SPDX identifiers, shortened variants of
+them, and paragraphs that only talk about licences or deny one (the unknown class).  Paragraphs of the
+corpus are a line, several lines in a row, as notices are wrapped, or all lines between two blank ones.
+Those with a word that every notice has one of are scored by joining their n-grams with the weight
+table, whose size is fixed by the notices; a comparison with the family's notices, word pair by word
+pair, confirms a prediction.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import UID, Scratch, table, with_uid
 
 # Notices of common licence families.
-NOTICES = (
+_WRITTEN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Apache License, Version 2.0"),
@@ -49,6 +50,12 @@ NOTICES = (
     ("BSD", "SPDX-License-Identifier: BSD-3-Clause"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."),
+    ("EPL", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("CC-BY-SA", "This text is available under the Creative Commons Attribution-ShareAlike License 4.0."),
+    ("CC-BY", "This text is available under the Creative Commons Attribution License 4.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("ISC", "SPDX-License-Identifier: ISC"),
     ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -64,6 +71,27 @@ NOTICES = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."),
 )
+# Names of licences by family, their SPDX identifiers, and phrases that put a work under one.
+NAMES = (
+    ("Apache-2.0", ("Apache License 2.0", "Apache License", "Apache 2.0 license")), ("MIT", ("MIT License", "MIT")),
+    ("GPL", ("GPL", "GPLv2", "GPLv3", "GPL v2", "GPL v3", "GNU GPL", "GNU General Public License", "GNU General Public License v3.0")),
+    ("LGPL", ("LGPL", "LGPLv2.1", "LGPLv3", "LGPL v3", "GNU LGPL", "GNU Lesser General Public License")), ("AGPL", ("AGPL", "AGPLv3", "AGPL v3", "GNU AGPL", "GNU Affero General Public License")),
+    ("BSD", ("BSD license", "BSD 2-Clause License", "BSD 3-Clause License", "new BSD license")), ("MPL-2.0", ("Mozilla Public License 2.0", "MPL 2.0", "MPL")),
+    ("ISC", ("ISC License",)), ("Zlib", ("zlib license",)), ("EPL", ("Eclipse Public License 2.0", "Eclipse Public License v1.0", "EPL 2.0")), ("CC0", ("CC0", "CC0 1.0")), ("Unlicense", ("Unlicense",)),
+)
+SPDX = (
+    ("Apache-2.0", ("Apache-2.0",)), ("MIT", ("MIT",)), ("GPL", ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0", "GPL-3.0")),
+    ("LGPL", ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-2.1", "LGPL-3.0")), ("AGPL", ("AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-3.0")),
+    ("BSD", ("BSD-2-Clause", "BSD-3-Clause")), ("MPL-2.0", ("MPL-2.0",)), ("ISC", ("ISC",)), ("Zlib", ("Zlib",)), ("EPL", ("EPL-1.0", "EPL-2.0")), ("CC-BY", ("CC-BY-3.0", "CC-BY-4.0")),
+    ("CC-BY-SA", ("CC-BY-SA-3.0", "CC-BY-SA-4.0")), ("CC-BY-NC", ("CC-BY-NC-4.0",)), ("CC0", ("CC0-1.0",)), ("Unlicense", ("Unlicense",)),
+)
+PHRASES = ("Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "It is available under the {}.")
+NOTICES = tuple(dict.fromkeys((
+    *_WRITTEN, *((family, phrase.format(name)) for family, names in NAMES for name in names for phrase in PHRASES),
+    *((family, f"SPDX-License-Identifier: {name}") for family, names in SPDX for name in names))))
+# Phrases that deny a licence or only name one, and word pairs that deny one.
+DENIALS = ("This is not released under the {}.", "It is no longer licensed under the {}.", "The code was never available under the {}.", "Students compare the {} with other texts in their first year.")
+DENYING = tuple(f"{a} {b}" for a in ("not", "never", "longer", "t") for b in ("released", "licensed", "distributed", "available", "covered", "governed", "published", "offered", "under"))
 # Paragraphs that share words with notices without being one.
 OTHERS = (
     "The driver was asked for a license and a registration.",
@@ -84,7 +112,12 @@ OTHERS = (
     "Licensed plumbers work under the terms of the city.",
     "The author reserved a table for any later guests.",
     "All rights come with duties.",
-    "Licensed under the Eclipse Public License 2.0.",
+    "Licensed under the Artistic License 2.0.",
+    "Licensed under the European Union Public Licence 1.1.",
+    "Released under the Open Font License.",
+    "SPDX-License-Identifier: Artistic-2.0",
+    "SPDX-License-Identifier: OFL-1.1",
+    "SPDX-License-Identifier: Python-2.0",
     "This product is licensed under the terms of a licence agreement.",
     "The licence agreement is subject to the terms of the contract.",
     "Copyright law protects the work of an author.",
@@ -102,9 +135,12 @@ OTHERS = (
 STOP = frozenset("a an and any are as at be by can for from if in is it its no not of on or that the this to was were with you your we they he she may under all".split())
 WORDS = r"[^a-z0-9]+"
 # Each notice has one of these words; in lower case "mit" is a common word of German.
-ANCHORS = r"\b(?:MIT|(?i:affero|apache|bsd|cc|cc0|copyright|gnu|gpl|lgpl|agpl|isc|mit[ -]licen[cs]e|mozilla|mpl|licen[cs]ed?|creative|attribution|spdx|permission|redistribut\w+|unencumbered|waived|reserved|proprietary|confidential))\b"
-#: (lines before the line with such a word, lines in all) of paragraphs; a line of several is at most WRAP long.
-RUNS, WRAP = ((0, 1), (0, 2), (0, 3), (0, 5), (1, 2), (1, 3)), 160
+ANCHORS = r"\b(?:MIT|(?i:affero|apache|bsd|cc|cc0|copyright|eclipse|epl|gnu|[al]?gpl\w*|isc|mit[ -]licen[cs]e|mozilla|mpl|zlib|unlicense|warranty|licen[cs]ed?|creative|attribution|spdx|permission|redistribut\w+|unencumbered|waived|reserved|proprietary|confidential))\b"
+#: (lines before the line with such a word, lines in all) of paragraphs; those between blank lines come besides.
+RUNS = ((0, 1), (0, 2), (0, 3), (0, 5), (1, 2), (1, 3), (0, 8), (2, 8), (0, 16), (4, 16))
+#: Characters of a paragraph of several lines: the longest notice with as much again before and after it.
+#: Longer ones are told by their parts, down to single lines, which have any length.
+LONGEST = 3 * max(len(text) for _, text in NOTICES)
 #: The calibrated probability that a paragraph is a notice at all, that of a family, and the share of a
 #: notice's word pairs that confirms it, of a notice of fewer than SHORT pairs a larger one. One of them must
 #: be a pair that no other family's notices have.
@@ -165,7 +201,8 @@ def train(rounds: int = 250, rate: float = 1.0, decay: float = 1e-4, folds: int
     inputs are the fixed texts above.
     """
     families = [*dict.fromkeys(k for k, _ in NOTICES), "unknown"]
-    texts = [(name, text) for name, text in NOTICES] + [("unknown", text) for text in OTHERS]
+    denied = [denial.format(names[0]) for _, names in NAMES for denial in DENIALS]
+    texts = [(name, text) for name, text in NOTICES] + [("unknown", text) for text in (*OTHERS, *denied)]
     seen, samples = [0] * len(families), []
     for name, text in texts:
         k = families.index(name)
@@ -204,7 +241,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", min_known: float = MI
     n_paragraphs counts the blocks between blank lines.  n_predicted counts the lines at which the model sees
     a notice begin, n_notices those at which the comparison confirms a family.  family is the most probable
     confirmed one, else null; probability belongs to it, or to the best unconfirmed one; families lists
-    the confirmed ones, several for one line too (dual licences).  Null counts as empty: no paragraphs.
+    the confirmed ones, several for one line too (dual licences).  A paragraph that denies a licence
+    ("not released under") confirms none.  Null counts as empty: no paragraphs.
     Lines of any length are paragraphs whole.  Rows that repeat a text are judged alike; of equally probable
     families the last by name is given; an empty table gives an empty result.  Only doc_id and the text
     are read, so other columns can't clash.
@@ -220,18 +258,24 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", min_known: float = MI
     blocks = F.size(F.filter(F.split("text", r"\n[ \t\r\x0B\f]*\n"), lambda x: F.trim(F.translate(x, "\t\r\n\x0b\x0c", "     ")) != "")).cast("long")
     lines = F.when(F.col("text").rlike(ANCHORS), F.split("text", "\n"))
     lined = rows.select(UID, "doc_id", blocks.alias("n_paragraphs"), lines.alias("lines"))
-    # Runs of lines around each line with an anchor: no blank and no long line in a run of several.
+    # Runs of lines from or around each line with an anchor; no blank line in a run of several.
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))), lambda i: F.get("lines", i).rlike(ANCHORS))
 
-    def run(i, before, n):
-        part = F.slice("lines", i - before + 1, n)
-        fits = F.forall(part, lambda x: (F.length(x) <= WRAP) & (F.trim(x) != ""))
-        return F.when((i >= before) & (i - before + n <= F.size("lines")) & (F.lit(n == 1) | fits), F.struct((i - before).alias("line"), F.lit(n).alias("n_lines"), F.array_join(part, " ").alias("text")))
-
-    runs = F.flatten(F.transform(at, lambda i: F.filter(F.array(*[run(i, b, n) for b, n in RUNS]), lambda x: x.isNotNull())))
-    found = scratch.keep(lined.select(UID, "doc_id", "n_paragraphs", F.when(F.col("lines").isNotNull(), runs).alias("runs")), "found")
+    def run(start, n):
+        part = F.slice("lines", start + 1, n)
+        length = F.aggregate(part, n.cast("long") - 1, lambda a, x: a + F.length(x))
+        fits = (length <= LONGEST) & F.forall(part, lambda x: F.trim(x) != "")
+        return F.when((start >= 0) & (start + n <= F.size("lines")) & ((n == 1) | fits), F.struct(start.alias("line"), n.alias("n_lines"), F.array_join(part, " ").alias("text")))
+
+    # The block of a line: from the blank line before it to the one after it.
+    blank = F.filter(F.transform("lines", lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
+    lined = lined.withColumn("ends", F.when(F.col("lines").isNotNull(), F.concat(F.array(F.lit(-1)), blank, F.array(F.size("lines")))))
+    blocks_of = F.filter(F.zip_with("ends", F.slice("ends", F.lit(2), F.size("ends")), lambda a, b: F.when(b - a > 1, F.struct((a + 1).alias("a"), (b - a - 1).alias("n")))), lambda x: x.isNotNull())
+    long_ones = F.filter(F.transform(blocks_of, lambda x: F.when(F.exists(F.slice("lines", x["a"] + 1, x["n"]), lambda y: y.rlike(ANCHORS)), run(x["a"], x["n"]))), lambda x: x.isNotNull())
+    runs = F.concat(F.flatten(F.transform(at, lambda i: F.filter(F.array(*[run(i - b, F.lit(n)) for b, n in RUNS]), lambda x: x.isNotNull()))), long_ones)
+    found = scratch.keep(lined.select(UID, "doc_id", "n_paragraphs", F.when(F.col("lines").isNotNull(), F.array_distinct(runs)).alias("runs")), "found")
     words = F.filter(F.split(F.lower("text"), WORDS), lambda w: w != "")
-    paragraphs = found.where("size(runs) > 0").select(UID, F.inline(F.array_distinct("runs"))).select(UID, "line", "n_lines", words.alias("words"))
+    paragraphs = found.where("size(runs) > 0").select(UID, F.inline("runs")).select(UID, "line", "n_lines", words.alias("words"))
     stop = F.array(*map(F.lit, sorted(STOP)))
     content = lambda w: ~F.array_contains(stop, w)
     pairs = F.filter(_pairs("words"), lambda p: content(F.substring_index(p, " ", 1)) | content(F.substring_index(p, " ", -1)))
@@ -248,7 +292,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", min_known: float = MI
     likely = F.filter(F.arrays_zip(names.alias("family"), F.slice("p", 1, known).alias("probability")), lambda x: x["probability"] >= min_probability)
     named = scored.where(1 - F.element_at("p", -1) >= min_known).select(*key, F.inline(likely))
     least = F.when(F.size("notice") < SHORT, F.lit(max(min_cover, SHORT_COVER))).otherwise(F.lit(min_cover))
-    covered = (F.size(F.array_intersect("pairs", "notice")) >= least * F.size("notice")) & F.arrays_overlap("pairs", "own")
+    covered = (F.size(F.array_intersect("pairs", "notice")) >= least * F.size("notice")) & F.arrays_overlap("pairs", "own") & ~F.arrays_overlap("pairs", F.array(*map(F.lit, DENYING)))
     named = named.join(paragraphs.select(*key, _pairs("words").alias("pairs")), key).join(F.broadcast(notices), "family").groupBy(*key, "family").agg(
         F.any_value("probability").alias("probability"), F.bool_or(covered).alias("confirmed"))
     top = F.max(F.struct("confirmed", "probability", "family"))
