@@ -13,6 +13,7 @@ from ..sources import buckets as B
 from ..sources import log as L
 from ..sources import snapshots as S
 from ..sources.folders import new_folder
+from ..sources.view_texts import TargetViews
 from ..sources.views import View, apply_with_views
 from ..streaming import follow
 from ..streaming.replay import Replica
@@ -146,6 +147,22 @@ def _(s, d):
     return both.groupBy("st").agg(F.count("*").alias("n"), F.count(F.when(F.col("cents") != F.col("of_target"), 1)).alias("n_differ"))
 
 
+@query("views_recreated", f"""SELECT 'v_year' AS view, p, count(*) AS n, sum(cents * 2)::BIGINT AS total FROM ({X.SOURCE}) s GROUP BY p
+UNION ALL SELECT 'v_late', p, count(*), sum(cents * 2)::BIGINT FROM ({X.SOURCE}) s WHERE p >= 1996 GROUP BY p""")
+def _(s, d):
+    """A table gets a column by a swap; a view of it and a view of that view are created anew around the swap."""
+    folder = new_folder(s, "views")
+    names, views = S.Names(s, database(folder)), TargetViews(s, database(folder), "src")
+    S.snapshot(frame(s, d, X.REPLICA), f"{folder}/old")
+    S.snapshot(frame(s, d, X.SOURCE).withColumn("twice", F.col("cents") * 2), f"{folder}/new")
+    names.point({"orders": f"{folder}/old", "staged": f"{folder}/new"})
+    views.create("v_year", "CREATE VIEW `v_year` AS SELECT * FROM `internal`.`src`.`orders`")
+    views.create("v_late", "CREATE VIEW `v_late` COMMENT 'late' AS SELECT * FROM `internal`.`src`.`v_year` WHERE p >= 1996;")
+    views.around(["orders"], lambda: names.replace("orders", "staged"))
+    of = lambda view: s.table(f"{names.database}.{view}").groupBy("p").agg(F.count("*").alias("n"), F.sum("twice").alias("total")).withColumn("view", F.lit(view))
+    return of("v_year").unionByName(of("v_late"))
+
+
 def _overwritten(s, d):
     folder = new_folder(s, "overwrite")
     S.snapshot(frame(s, d, X.REPLICA), folder, ("p",))

@@ -62,7 +62,8 @@ class Names:
 
     def now(self) -> dict[str, str]:
         names = [r.viewName for r in self.spark.sql(f"SHOW VIEWS IN `{self.database}`").collect() if not r.isTemporary]
-        return {n: self.spark.sql(f"SHOW TBLPROPERTIES {self._view(n)} ('stands_for')").first().value for n in names}
+        said = {n: {p.key: p.value for p in self.spark.sql(f"SHOW TBLPROPERTIES {self._view(n)}").collect()} for n in names}
+        return {n: p["stands_for"] for n, p in said.items() if "stands_for" in p}
 
     def point(self, changes: dict[str, str | None]) -> None:
         """Names to folders (paths) or tables of the catalogue; None takes the name away. One statement a name, in
