@@ -50,8 +50,9 @@ def reason(kind: str) -> Column:
 
 
 def parsed(records: DataFrame, kind: str, data: str = "data") -> DataFrame:
-    """``records`` with the payload ``p`` and the ``reason`` it is refused for, if any."""
-    return records.withColumn("p", F.from_json(data, SCHEMAS[kind])).withColumn("reason", reason(kind))
+    """``records`` with the payload ``p`` and the ``reason`` it is refused for, if any. The payload is a row of a generator, so
+    that no filter or projection on its fields parses the text once more."""
+    return records.select("*", F.explode(F.array(F.from_json(data, SCHEMAS[kind]))).alias("p")).withColumn("reason", reason(kind))
 
 
 def accepted(records: DataFrame, kind: str) -> DataFrame:

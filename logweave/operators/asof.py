@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Positions of the log that one block spans.
@@ -13,18 +13,24 @@ def as_of(records: DataFrame, keys: list[str], order: str, value: str, out: str,
     """``records`` with ``out``: the last value of the key that isn't null, at or before each position.
 
     sets: the rows (keys, order, value) that set values, where they are known apart from the records;
-    else they are taken from ``records``.  Only they are grouped: what is set inside a block of
-    positions becomes one row for each key and block, and the last value of each such block one entry
-    of its key.  The records meet these rows by two equi-joins and look the value up, so they are
-    neither sorted nor windowed, and a key with most of the records is spread as Spark joins allow.
-    Keys must not be null.
+    else they are taken from ``records``.  Positions are whole numbers, values can be ordered.  What is set
+    and what reads it are sorted inside a block of positions of each key, so no row carries more than its
+    value and a key with most of the records is spread over its blocks.  The last value before a
+    block comes from one row for each key and block.  Keys must not be null.
     """
-    of_block = F.floor(F.col(order) / F.lit(block))
-    sets = (records if sets is None else sets).where(F.col(value).isNotNull()).select(*keys, F.col(order).alias("__at"), F.col(value).alias("__value"), of_block.alias("__block"))
-    entry = F.struct("__at", "__value")
-    inside = sets.groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(entry)).alias("__inside"))
-    ends = inside.select(*keys, "__block", F.element_at("__inside", -1)["__value"].alias("__end")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__block", "__end"))).alias("__ends"))
-    rows = records.withColumn("__block", of_block).join(inside, [*keys, "__block"], "left").join(ends, keys, "left")
-    here = F.try_element_at(F.filter("__inside", lambda x: x["__at"] <= F.col(order)), F.lit(-1))["__value"]
-    before = F.try_element_at(F.filter("__ends", lambda x: x["__block"] < F.col("__block")), F.lit(-1))["__end"]
-    return rows.withColumn(out, F.coalesce(here, before)).drop("__block", "__inside", "__ends")
+    known = F.col(order).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    start = F.col(order) - F.pmod(F.col(order), F.lit(block))
+    told = F.when(known & F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("value")))
+    place = [F.col(order).alias("__at"), start.alias("__block")]
+    marks = (records if sets is None else sets).select(*keys, *place, told.alias("__set")).where("__set IS NOT NULL")
+    null = F.lit(None).cast(marks.schema["__set"].dataType)
+    rows = records.select("*", *place, (told if sets is None else null).alias("__set"), F.lit(True).alias("__record"))
+    blocks = rows.select(*keys, "__block").distinct().withColumn("__set", null).unionByName(marks.drop("__at"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = blocks.groupBy(*keys, "__block").agg(F.max("__set").alias("__set")).withColumn("__set", F.max("__set").over(before))
+    carried = ends.where("__set IS NOT NULL").select(*keys, F.col("__block").alias("__at"), "__block", "__set")
+    both = rows.unionByName(carried if sets is None else marks.unionByName(carried), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys, "__block").orderBy("__at")  # rows of one position see one another
+    return both.withColumn("__set", F.max("__set").over(so_far)).where("__record").withColumn(out, F.col("__set.value")).drop("__at", "__block", "__set", "__record")

@@ -70,7 +70,7 @@ def in_last_schema(rows: DataFrame, versions: DataFrame, payload: str = "data")
     """``rows`` (table_id, commit_seq, JSON payload) with ``row``, an array of name, type, value (text): the columns of
     the table's last version. A payload names its columns as the version in force at its commit does; a
     column that came later has its default."""
-    held = as_of(rows.withColumn("__values", F.from_json(payload, "map<string,string>")), ["table_id"], "commit_seq", "columns", "__then", sets=versions)
+    held = as_of(rows, ["table_id"], "commit_seq", "columns", "__then", sets=versions).withColumn("__values", F.from_json(payload, "map<string,string>"))
     last = versions.groupBy("table_id").agg(F.max_by("columns", "commit_seq").alias("__last"))
 
     def value(c: Column) -> Column:

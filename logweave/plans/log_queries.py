@@ -173,13 +173,16 @@ def _(s, d):
 
 _DROP = """'{"tableId":' || table_id || ',"tableName":"' || CASE WHEN commit_seq % 2 = 0 THEN 't_' || table_id ELSE '' END || '"}'"""
 _NAMES = f"SELECT commit_seq, table_id, type, CASE WHEN type = 'RENAME_TABLE' THEN 't_' || table_id || '_' || commit_seq WHEN commit_seq = min(commit_seq) OVER (PARTITION BY table_id) THEN 't_' || table_id END AS new_name FROM ({X.LOG}) l"
+#: The same rows for Spark: the first position of each table comes from an aggregate and no table is a window's partition.
+_NAMED = f"""SELECT l.commit_seq, l.table_id, type, CASE WHEN type = 'RENAME_TABLE' THEN 't_' || l.table_id || '_' || l.commit_seq WHEN l.commit_seq = first_seq THEN 't_' || l.table_id END AS new_name
+FROM ({X.LOG}) l JOIN (SELECT table_id, min(commit_seq) AS first_seq FROM ({X.LOG}) f GROUP BY table_id) f ON l.table_id IS NOT DISTINCT FROM f.table_id"""
 _ASOF = f"SELECT commit_seq, table_id, type, new_name, last_value(new_name IGNORE NULLS) OVER (PARTITION BY table_id ORDER BY commit_seq ROWS UNBOUNDED PRECEDING) AS name FROM ({_NAMES}) n"
 
 
 @query("decode_drop_table", f"SELECT commit_seq, table_id, CASE WHEN commit_seq % 2 = 0 THEN 't_' || table_id ELSE name END AS table_name FROM ({_ASOF}) a WHERE type = 'DROP_TABLE'")
 def _(s, d):
     got = P.accepted(frame(s, d, _payload("DROP_TABLE", _DROP)), "DROP_TABLE").select("commit_seq", F.nullif("p.tableName", F.lit("")).alias("own"))
-    names = mapping.name_asof(frame(s, d, _NAMES)).where("type = 'DROP_TABLE'")
+    names = mapping.name_asof(frame(s, d, _NAMED)).where("type = 'DROP_TABLE'")
     return got.join(names, "commit_seq").select("commit_seq", "table_id", F.coalesce("own", "name").alias("table_name"))
 
 
@@ -318,7 +321,7 @@ def _(s, d):
 
 @query("table_name_asof", f"SELECT commit_seq, table_id, name FROM ({_ASOF}) a")
 def _(s, d):
-    return mapping.name_asof(frame(s, d, _NAMES)).select("commit_seq", "table_id", "name")
+    return mapping.name_asof(frame(s, d, _NAMED)).select("commit_seq", "table_id", "name")
 
 
 _RENAMES = f"""SELECT CASE commit_seq % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'ROLLUP' ELSE 'PARTITION' END AS kind, CASE commit_seq % 3 WHEN 0 THEN table_id WHEN 1 THEN table_id * 10 ELSE table_id * 100 + part_day END AS id, commit_seq,

@@ -62,6 +62,27 @@ def test_as_of_blocks(spark):
         assert sorted(map(tuple, as_of(df, ["key"], "at", "v", "got", block).select("key", "at", "got").collect())) == sorted(want)
 
 
+def test_as_of_rows_carry_one_value(spark):
+    """What is set near a record or before its block is never gathered into arrays beside the record."""
+    from logweave.operators.asof import as_of
+
+    df = spark.createDataFrame([(1, -3, "a"), (1, 2, "b"), (1, 2, "c"), (1, 2, None), (1, 900, None), (2, 1, None), (1, None, None), (None, 5, "x")], "key long, at long, v string")
+    got = as_of(df, ["key"], "at", "v", "got", 5)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted((r.at, r.got) for r in got.where("key = 1 AND at IS NOT NULL").collect())
+    assert rows == [(-3, "a"), (2, "c"), (2, "c"), (2, "c"), (900, "c")]
+    apart = as_of(df.drop("v"), ["key"], "at", "v", "got", 5, sets=df)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, got.select("key", "at", "got").collect()))
+
+
+def test_payloads_are_parsed_once(spark):
+    from logweave.functions import payloads as P
+
+    df = P.accepted(spark.createDataFrame([(1, '{"tableId":5,"sql":"x"}'), (2, '{"sql":"x"}'), (3, None), (4, "no json")], "commit_seq long, data string"), "ADD_PARTITION")
+    assert [r.commit_seq for r in df.collect()] == [1]
+    assert df.select("p.sql", "p.tableId")._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+
+
 def test_comments_stay_on_columns(spark, tmp_path):
     from logweave.operators.evolution import with_comments
 
