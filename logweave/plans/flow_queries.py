@@ -434,6 +434,10 @@ def _(s, d):
     return follow.counter_totals(kept, "table_id", "category")
 
 
+# As many files as an option can name.
+_ALL_FILES = 2**31 - 1
+
+
 @query("stream_shadow_indexes", LOG_SQL["filter_shadow_indexes"])
 def _(s, d):
     """Uses and alter jobs as one stream in three parts of the log, the second delivered twice; each part after a restart."""
@@ -441,8 +445,8 @@ def _(s, d):
     uses = P.upsert_indexes(frame(s, d, X.PAYLOAD)).select("index_id", "commit_seq", F.lit(None).cast("string").alias("turn"))
     records = uses.unionByName(index_turns(frame(s, d, X.ALTER)))
     for low, high in ((-1, c // 2), (c // 2, c), (c // 2, c), (c, 4 * c)):
-        records.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
-        kept = stream_without_shadows(follow.stream(s, f"{folder}/log"))
+        records.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high)).write.mode("append").parquet(f"{folder}/log")
+        kept = stream_without_shadows(follow.stream(s, f"{folder}/log", _ALL_FILES))  # a part's files are one batch: they have no order
         follow.drain(kept, f"{folder}/checkpoint", lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     return s.read.parquet(f"{folder}/out").select("commit_seq", "index_id")
 

@@ -12,9 +12,12 @@ from ..operators.progress import counters
 from ..sources.snapshots import ChangeTable
 
 
-def stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    """The log files of a folder as a stream. The schema is read from the files there are."""
-    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def stream(spark: SparkSession, folder: str, files_per_batch: int = 1, bytes_per_batch: int | None = None) -> DataFrame:
+    """The log files of a folder as a stream. The schema is read from the files there are. bytes_per_batch: batches by
+    size, whatever number of files a part of the log has."""
+    reader = spark.readStream.schema(spark.read.parquet(folder).schema)
+    reader = reader.option("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def drain(source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
