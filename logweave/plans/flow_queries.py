@@ -471,13 +471,17 @@ def _replayed(s, d):
     return _replay(s, frame(s, d, _RECORDS), middle(s, d))
 
 
+# Bytes of log files in one batch of a replay: the cost of a batch's tables is small beside its records.
+_BATCH = 2**30
+
+
 def _replay(s, records, c, make=Replica):
-    """The log in four files, the later ones first."""
+    """The log in four parts, the later ones first, followed in batches by size."""
     folder = new_folder(s, "replay")
     for low, high in ((3 * c // 2, 4 * c), (c, 3 * c // 2), (c // 2, c), (-1, c // 2)):
         records.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high)).write.mode("append").parquet(f"{folder}/log")
     replica = make(s, f"{folder}/replica")
-    follow.drain(follow.stream(s, f"{folder}/log", 4), f"{folder}/checkpoint", lambda batch, number: replica.apply(number, batch))
+    follow.drain(follow.stream(s, f"{folder}/log", bytes_per_batch=_BATCH), f"{folder}/checkpoint", lambda batch, number: replica.apply(number, batch))
     return replica
 
 
@@ -525,6 +529,13 @@ _SILENT = f"""SELECT table_id, CASE WHEN type = 'REPLACE_PARTITIONS' AND commit_
   WHERE type = 'DUMMY' OR (type = 'ALTER_JOB' AND commit_seq % 7 <> 0 AND commit_seq % 3 <> 0) OR (type = 'REPLACE_PARTITIONS' AND commit_seq % 5 <> 0)"""
 
 
+def _last_of_scopes(rows, records, name):
+    """``rows`` with the last position of ``records`` (table_id, part or empty, commit_seq) on their table or partition."""
+    last = records.groupBy("table_id", "part").agg(F.max("commit_seq").alias("at"))
+    whole, parts = last.where("part = ''").select("table_id", F.col("at").alias("of_table")), last.where("part != ''")
+    return rows.join(whole, "table_id", "left").join(parts, ["table_id", "part"], "left").withColumn(name, F.greatest("of_table", "at")).drop("of_table", "at")
+
+
 def _source_copy(s, d):
     """The source's rows of the wanted scopes, 50 records after the last record that called for a copy of their table."""
     r = frame(s, d, X.ROWS).select("table_id", F.concat(F.lit("p"), F.col("part_day")).alias("part"), "k", "commit_seq", "v", "op")

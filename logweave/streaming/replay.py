@@ -41,7 +41,8 @@ class Replica:
         self.refused = table("refused", "commit_seq", "reason")
 
     def apply(self, batch: int, records: DataFrame) -> None:
-        records = records.persist()  # each kept table reads the batch
+        rows = records.where("type = 'UPSERT'").select("table_id", "part", "k", "commit_seq", "v", "op", "data")
+        records = records.where(~F.col("type").eqNullSafe("UPSERT")).persist()  # few beside the rows, which are read once; most kept tables read them
         parsed = {kind: P.parsed(records.where(F.col("type") == kind).select("commit_seq", "part", "data"), kind) for kind in _KINDS}
         good = {kind: d.where("reason IS NULL") for kind, d in parsed.items()}
         t = F.from_json("data", _TRIAGE)
@@ -50,8 +51,9 @@ class Replica:
         refused = acted.where("action = 'ERROR'").select("commit_seq", F.lit("unknown type").alias("reason"))
         for d in parsed.values():
             refused = refused.unionByName(d.where("reason IS NOT NULL").select("commit_seq", "reason"))
+        refused = refused.persist()
 
-        self.rows.apply(batch, records.where("type = 'UPSERT'").select("table_id", "part", "k", "commit_seq", "v", "op", "data"))
+        self.rows.apply(batch, rows)
         self.cuts.apply(batch, _cuts(good))
         self.names.apply(batch, good["RENAME_TABLE"].where(P.rename_kind() == "TABLE").select(F.col("p.tb").alias("table_id"), "commit_seq", F.col("p.nT").alias("name")))
         self.partitions.apply(batch, _partition_names(good))
@@ -63,6 +65,7 @@ class Replica:
         called = called.join(refused.select("commit_seq"), "commit_seq", "left_anti")
         self.syncs.apply(batch, called.drop("partitions"))
         self.carry_out(batch, called)
+        refused.unpersist()
         changes.unpersist()
         records.unpersist()
 
