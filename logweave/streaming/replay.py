@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,19 +134,21 @@ def _partition_names(good: dict[str, DataFrame]) -> DataFrame:
 
 def _bound_names(names: DataFrame) -> DataFrame:
     """``table_id, part, commit_seq, id``: from this position on the name ``part`` stands for the partition ``id``. Where
-    partitions of a table were renamed, the names of that table, not its rows, are gone through in order."""
+    partitions of a table were renamed, the names of that table, not its rows, are gone through in order, each once."""
     renamed = names.where("old IS NOT NULL").select("table_id").distinct()
     plain = names.join(renamed, "table_id", "left_anti").select("table_id", F.col("name").alias("part"), "commit_seq", "id")
-    told = names.join(renamed, "table_id").groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("commit_seq", "name", "id", "old"))).alias("events"))
-    kind = "struct<now:map<string,string>,all:array<struct<part:string,commit_seq:bigint,id:string>>>"
-
-    def step(acc, x):
-        bound = F.coalesce(x["id"], acc["now"][x["old"]], x["old"])
-        now = F.map_concat(F.map_filter(acc["now"], lambda k, v: k != x["name"]), F.create_map(x["name"], bound))
-        return F.struct(now.alias("now"), F.array_append(acc["all"], F.struct(x["name"].alias("part"), x["commit_seq"].alias("commit_seq"), bound.alias("id"))).alias("all")).cast(kind)
-
-    zero = F.struct(F.create_map().cast("map<string,string>").alias("now"), F.array().cast("array<struct<part:string,commit_seq:bigint,id:string>>").alias("all")).cast(kind)
-    return plain.unionByName(told.select("table_id", F.inline(F.aggregate("events", zero, step, lambda acc: acc["all"]))))
+    told = names.join(renamed, "table_id").select("table_id", "commit_seq", "name", "id", "old")
+    return plain.unionByName(told.groupBy("table_id").applyInPandas(_bound_in_order, "table_id long, part string, commit_seq long, id string"))
+
+
+def _bound_in_order(events: pd.DataFrame) -> pd.DataFrame:
+    events = events.sort_values(["commit_seq", "name"])
+    now: dict[str, str] = {}
+    bound = []
+    for name, own, old in zip(events["name"], events["id"], events["old"]):
+        now[name] = own if own is not None else now.get(old, old)
+        bound.append(now[name])
+    return pd.DataFrame({"table_id": events["table_id"], "part": events["name"], "commit_seq": events["commit_seq"], "id": pd.Series(bound, index=events.index, dtype=object)})
 
 
 def _column_changes(good: dict[str, DataFrame]) -> DataFrame:
