@@ -544,11 +544,9 @@ def _source_copy(s, d):
     def copy(wanted):
         positions = wanted.groupBy("table_id").agg((F.max("called_seq") + 50).alias("cursor_seq"))
         then = lambda df: df.join(positions, "table_id").where("commit_seq <= cursor_seq").drop("cursor_seq")
-        now = latest(then(r), ["table_id", "part", "k"], ["commit_seq"], F.expr("op = 'D'")).alias("r")
-        on = lambda other: (F.col("r.table_id") == F.col(f"{other}.table_id")) & F.col(f"{other}.part").isin("", F.col("r.part")) & (F.col(f"{other}.commit_seq") > F.col("r.commit_seq"))
-        left = now.join(then(cuts).alias("c"), on("c"), "left_anti")
-        changed = left.join(then(silent).alias("s"), on("s"), "left").groupBy("r.table_id", "r.part", "k", "r.commit_seq", "v").agg(F.max("s.commit_seq").alias("plus"))
-        changed = changed.withColumn("v", F.col("v") + F.coalesce("plus", F.lit(0))).drop("plus")
+        now = latest(then(r), ["table_id", "part", "k"], ["commit_seq"], F.expr("op = 'D'"))
+        now = _last_of_scopes(_last_of_scopes(now, then(cuts), "cut"), then(silent), "told").where("cut IS NULL OR cut <= commit_seq")
+        changed = now.withColumn("v", F.col("v") + F.when(F.col("told") > F.col("commit_seq"), F.col("told")).otherwise(0)).select("table_id", "part", "k", "commit_seq", "v")
         rows = changed.join(wanted.select("table_id", "scope"), "table_id").where("scope IN ('', part)")
         return rows.withColumn("data", F.lit(None).cast("string")), positions
 
