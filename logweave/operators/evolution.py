@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .asof import as_of
-
 
 def add_columns(df: DataFrame, columns: dict[str, tuple[str, object]], after: str | None = None, first: bool = False) -> DataFrame:
     """``columns``: name -> (type, default); placed first, after a column, or last."""
@@ -70,14 +68,16 @@ def in_last_schema(rows: DataFrame, versions: DataFrame, payload: str = "data")
     """``rows`` (table_id, commit_seq, JSON payload) with ``row``, an array of name, type, value (text): the columns of
     the table's last version. A payload names its columns as the version in force at its commit does; a
     column that came later has its default."""
-    held = as_of(rows, ["table_id"], "commit_seq", "columns", "__then", sets=versions).withColumn("__values", F.from_json(payload, "map<string,string>"))
-    last = versions.groupBy("table_id").agg(F.max_by("columns", "commit_seq").alias("__last"))
+    told = versions.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("commit_seq", "columns"))).alias("__all"))  # as few as the statements that alter it
+    held = rows.join(told, "table_id", "left").withColumn("__values", F.from_json(payload, "map<string,string>"))
+    then = F.try_element_at(F.filter("__all", lambda x: x["commit_seq"] <= F.col("commit_seq")), F.lit(-1))["columns"]
+    held = held.withColumn("__then", then).withColumn("__last", F.try_element_at("__all", F.lit(-1))["columns"])
 
     def value(c: Column) -> Column:
         then = F.get(F.filter("__then", lambda t: t["id"] == c["id"]), 0)
         return F.struct(c["name"].alias("name"), c["type"].alias("type"), F.when(then.isNull(), c["default"]).otherwise(F.col("__values")[then["name"]]).alias("value"))
 
-    return held.join(last, "table_id", "left").withColumn("row", F.transform("__last", value)).drop("__values", "__then", "__last")
+    return held.withColumn("row", F.transform("__last", value)).drop("__all", "__values", "__then", "__last")
 
 
 def as_table(rows: DataFrame, columns: list[tuple[str, str]], *keys: str) -> DataFrame:
